@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, line_dedup, mixing
+from . import bpe, language, line_dedup, mixing, token_files
 
-MODULES = (mixing, line_dedup, language)
+MODULES = (token_files, bpe, mixing, line_dedup, language)
 
 
 def queries() -> dict:
