@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, language, line_dedup, mixing, token_files
+from . import bpe, language, line_dedup, mixing, quality, token_files, toxicity
 
-MODULES = (token_files, bpe, mixing, line_dedup, language)
+MODULES = (quality, token_files, bpe, mixing, toxicity, line_dedup, language)
 
 
 def queries() -> dict:
