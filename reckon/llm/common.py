@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
 
@@ -55,6 +55,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (of narrow rows) marked for broadcast if it has at most ``rows`` rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     col = batch.column(batch.schema.get_field_index(name))
     return col.cast(pa.string()) if not pa.types.is_string(col.type) else col

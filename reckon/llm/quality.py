@@ -21,10 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import prepare, slices, span_hashes, table, text_bytes, text_column, words
+from .common import broadcast_if_small, prepare, slices, span_hashes, table, text_bytes, text_column, words
 
 #: Hashed features, byte n-gram lengths, and labelled rows in the fit at most.
-BITS, GRAMS, SAMPLE = 18, (3, 5), 4000
+BITS, GRAMS, SAMPLE = 18, (3, 5), 3000
 FEATURES = 1 << BITS
 #: Longest run of one repeated word that has a feature of its own.
 REPEATED = 4
@@ -73,18 +73,18 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if at[d + 1] - less > at[d]:
                 flag[slot[at[d] : at[d + 1] - less]] = True
         flag[0] = False
-        own = np.flatnonzero(flag)
+        own = np.flatnonzero(flag).astype(np.int32)
         flag[own] = False
         out.append(own)
     begin = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
-    return (np.concatenate(out) if out else np.zeros(0, np.int64)), begin
+    return (np.concatenate(out) if out else np.zeros(0, np.int32)), begin
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """doc_id, text, label (0 or 1) of the training rows."""
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out())
-    return rows.join(known, "doc_id")
+    return rows.join(broadcast_if_small(known), "doc_id")
 
 
 def class_counts(rows: DataFrame) -> np.ndarray:
