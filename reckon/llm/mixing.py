@@ -28,13 +28,13 @@ REPEATS = 2
 BITS, LEVELS = 12, 5
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and a 60-bit hash of each document."""
+def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, source, size in words and a 60-bit hash of each document, with ``keep`` after all other columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
+    own = [c for c in docs.columns if c not in ("size", "h", "source_size", "target", "taken")] if keep else ["doc_id", "source"]
     return docs.select(
-        "doc_id",
-        "source",
+        *own,
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.conv(F.substring(ident, 1, 15), 16, 10).cast("long").alias("h"),
     )
@@ -107,16 +107,21 @@ def thresholds(sizes: DataFrame, targets: DataFrame, bits: int = BITS, levels: i
     return state.select("source", "copies", "limit")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, h, source_size, target, taken for every document."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every document; with ``keep`` after all columns of ``docs``.
+
+    With ``keep``, columns of ``docs`` named like the added ones are replaced.
+    """
+    added = ("size", "h", "source_size", "target", "taken")
     sizes = stored(sized(docs), "sizes")
     targets = stored(source_targets(sizes, weights, share, repeats), "targets")
     limits = stored(thresholds(sizes, targets), "limits")
     plan = targets.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumnRenamed("source", "plan_source")
     taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("limit")).cast("long"))
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        "doc_id", "source", "size", "h", "source_size", "target", taken.alias("taken")
+    rows, own = (sizes, ["doc_id", "source"]) if not keep else (sized(docs, True), [c for c in docs.columns if c not in added])
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
+        *own, "size", "source_size", "target", taken.alias("taken")
     )
 
 
