@@ -80,11 +80,23 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(out) if out else np.zeros(0, np.int32)), begin
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label (0 or 1) of the training part, one row for each id."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out())
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label (0 or 1) of the training rows."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    """doc_id, text, label of all training rows."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~held_out())
-    return rows.join(broadcast_if_small(known), "doc_id")
+    return rows.join(broadcast_if_small(known_labels(labels, label)), "doc_id")
+
+
+def sampled(docs: DataFrame, known: DataFrame, rows: int, salt: str) -> DataFrame:
+    """doc_id, text, label of at most ``rows`` training rows: ids are drawn by hash first, then their texts are read."""
+    drawn = known.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(drawn), "doc_id").limit(rows)
 
 
 def class_counts(rows: DataFrame) -> np.ndarray:
@@ -169,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     p, q = counts[1, :FEATURES] + 1.0, counts[0, :FEATURES] + 1.0
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     ratio[counts[:, :FEATURES].sum(0) == 0] = 0
-    drawn = rows.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id").limit(sample).select("text", "label").toArrow()
+    drawn = sampled(docs, known_labels(labels, label), sample, label).select("text", "label").toArrow()
     found, begin = features(*text_bytes(drawn["text"].combine_chunks()))
     lists = [found[a:b] for a, b in zip(begin[:-1], begin[1:])]
     y = drawn["label"].to_numpy().astype(float) * 2 - 1

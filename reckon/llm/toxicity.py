@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import mixed, prepare, slices, span_hashes, table, text_bytes, text_column, words
-from .quality import held_out, labelled
+from .quality import held_out, known_labels, sampled
 
 #: Labelled rows in the sample at most, toxic and ordinary.
 TOXIC, ORDINARY = 1200, 2400
@@ -170,9 +170,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> Model:
-    rows = labelled(docs, labels, "toxic")
-    order = (F.xxhash64("doc_id", F.lit("toxic")), "doc_id")
-    texts = [[r["text"] for r in rows.where(f"label = {c}").orderBy(*order).limit(n).select("text").collect()] for c, n in ((1, toxic), (0, ordinary))]
+    known = known_labels(labels, "toxic")
+    drawn = [sampled(docs, known.where(f"label = {c}"), n, "toxic") for c, n in ((1, toxic), (0, ordinary))]
+    texts = [[r["text"] for r in rows.select("text").collect()] for rows in drawn]
     return fit(*texts)
 
 
