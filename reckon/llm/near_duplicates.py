@@ -4,10 +4,12 @@ Texts are sets of ``WIDTH``-word shingles. Equal texts form one class. Each
 class has a MinHash signature whose coordinates are the tokens of its set. In
 every run a node of the recursion samples a few coordinates, and classes that
 share a sampled token go to the same child; nodes of one class end, small nodes
-are compared by brute force, larger ones split again. After ``DEPTH`` splits a
-node is compared in square blocks, so no class is ever left out. Runs are
-repeated until pairs at the threshold are found with the target recall.
-Pairs whose signatures agree enough are then compared on their whole sets.
+are compared by brute force, larger ones split again. After ``DEPTH`` splits, or
+where splitting would not part a node, it is compared in square blocks, so no
+class is ever left out. Runs are repeated until pairs at the threshold are
+found with the target recall. Pairs whose signatures agree enough are compared
+on their whole sets; what leaves a block are each class's links and one class
+that they lead to, never the pairs.
 
 Defined results: a text of one to four words has one shingle of all its words;
 a null text or one without words has none and links to nothing, not even to its
@@ -26,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import checkpointed, mixed, prepare, shingles, slices, stored, table, text_bytes, text_column
+from .common import broadcast_if_small, checkpointed, prepare, shingles, slices, stored, table, text_bytes, text_column
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of a signature, tokens sampled at a node, and splits before square blocks.
-COORDINATES, SAMPLED, DEPTH = 64, 2, 3
+COORDINATES, SAMPLED, DEPTH = 64, 2, 2
+#: A large node is dense if a sampled token keeps this share of its classes together.
+DENSE = 0.5
 #: Classes in a node that is compared at once, and classes along the side of a square block.
-SMALL = 128
+SMALL = 256
 #: Share of pairs at the threshold that the runs must find.
 RECALL = 0.9999
 #: Signatures of pairs worth comparing agree in at least this share of coordinates (four standard deviations below 0.8).
@@ -90,33 +94,44 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _children(nodes: DataFrame, sampled: int) -> DataFrame:
-    """path, key of the children of the nodes of ``path, key, sig``."""
+    """path, key, parent and held (classes of the parent) of the children of ``path, key, sig, held``."""
     picks = [F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(sampled)]
 
     def child(pick: Column) -> Column:
         return F.xxhash64("path", pick, F.substring("sig", pick * 4 + 1, 4))
 
-    return nodes.select(F.explode(F.array_distinct(F.array(*[child(p) for p in picks]))).alias("path"), "key")
+    children = F.array_distinct(F.array(*[child(p) for p in picks]))
+    return nodes.select(F.explode(children).alias("path"), "key", F.col("path").alias("parent"), "held")
 
 
 def buckets(sets: DataFrame, runs: int, sampled: int = SAMPLED, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """path, key, side: nodes to compare; side is the block of the class in a node beyond ``small``, else 0."""
+    """path, key, side, sides: nodes to compare; side is the block of the class in a node beyond ``small``.
+
+    A large node whose tokens keep most of its classes together is not split
+    further, as its classes are alike and splitting would not part them.
+    """
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.xxhash64(F.lit("run"), r)))
-    nodes = sets.select(roots.alias("path"), "key", "sig")
+    nodes = sets.select(roots.alias("path"), "key", "sig", F.lit(None).cast("long").alias("held"))
     leaves = []
+    sides = F.ceil(F.col("count") / small).cast("int")
+    side = F.pmod(F.hash("key"), sides)
     for level in range(1, depth + 1):
         split = _children(nodes, sampled)
-        sized = split.groupBy("path").count().where("count > 1")
-        split = stored(split.join(sized, "path"), f"level{level}")
-        leaves.append(split.where(F.col("count") <= small).select("path", "key", F.lit(0).alias("side"), F.lit(1).alias("sides")))
-        large = split.where(F.col("count") > small)
-        if level < depth:
-            if large.isEmpty():
-                break
-            nodes = large.select("path", "key").join(sets, "key")
-        else:
-            sides = F.ceil(F.col("count") / small).cast("int")
-            leaves.append(large.select("path", "key", F.pmod(F.hash("key"), sides).alias("side"), sides.alias("sides")))
+        sized = split.groupBy("path").agg(F.count("*").alias("count"), F.first("parent").alias("parent"), F.first("held").alias("held"))
+        dense = sized.groupBy("parent").agg((F.max("count") >= DENSE * F.first("held")).alias("dense"))
+        if level > 1:
+            dense = stored(dense, "dense")
+            whole = kept.join(dense.where("dense"), kept["path"] == dense["parent"], "left_semi")
+            leaves.append(whole.select("path", "key", side.alias("side"), sides.alias("sides")))
+            split = split.join(dense.where("NOT dense").select("parent"), "parent", "left_semi")
+        split = stored(split.select("path", "key").join(sized.where("count > 1").select("path", "count"), "path"), f"level{level}")
+        last = level == depth
+        done = split if last else split.where(F.col("count") <= small)
+        leaves.append(done.select("path", "key", side.alias("side"), sides.alias("sides")))
+        kept = split.where(F.col("count") > small)
+        if last or kept.isEmpty():
+            break
+        nodes = kept.select("path", "key", F.col("count").alias("held")).join(sets, "key")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -124,108 +139,141 @@ def buckets(sets: DataFrame, runs: int, sampled: int = SAMPLED, depth: int = DEP
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """node, left, plus the members' columns: each class once for every square block of its node that it is in.
+    """node, half and the members' columns: each class once for every square block of its node that it is in.
 
-    A node of s sides has the blocks (i, j), i <= j; a class of side k is in those
-    with i = k (left) or j = k, and pairs of a diagonal block are compared once.
+    A node of s sides has the blocks (i, j), i <= j. half is 2 in a diagonal
+    block, else 0 on its side i and 1 on its side j; pairs of one half of an
+    off-diagonal block meet elsewhere.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    wide = members.withColumn("other", other)
+    wide = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    return wide.withColumn("node", F.xxhash64("path", lo, hi)).withColumn("half", (F.col("side") > F.col("other")).cast("int") + 2 * (F.col("side") == F.col("other")).cast("int"))
+    half = F.when(F.col("side") == F.col("other"), 2).otherwise((F.col("side") > F.col("other")).cast("int"))
+    return wide.select(F.xxhash64("path", lo, hi).alias("node"), "path", "key", half.alias("half"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[list]]:
-    """Rows of sorted batches, whole groups of equal first columns at a time."""
+    """The columns of each run of equal first values in sorted batches, a run at a time."""
     held: list[list] = [[] for _ in names]
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-        for h, c in zip(held, columns):
-            h.extend(c)
-        node = held[0]
-        cut = len(node)
-        while cut and node[cut - 1] == node[-1]:
-            cut -= 1
-        if cut:
-            yield [h[:cut] for h in held]
-            held = [h[cut:] for h in held]
+        first = columns[0]
+        edges = [0, *(k for k in range(1, len(first)) if first[k] != first[k - 1]), len(first)] if first else [0]
+        for a, b in zip(edges, edges[1:]):
+            if held[0] and held[0][-1] != first[a]:
+                yield held
+                held = [[] for _ in names]
+            for h, c in zip(held, columns):
+                h.extend(c[a:b])
     if held[0]:
         yield held
 
 
-def _spans(node: list) -> list[tuple[int, int]]:
-    edges = [0, *(k for k in range(1, len(node)) if node[k] != node[k - 1]), len(node)]
-    return list(zip(edges, edges[1:]))
-
-
-def candidates(sets: DataFrame, members: DataFrame, agree: float = AGREE) -> DataFrame:
-    """path, a, b (a < b): pairs of a node whose signatures agree."""
-    placed = _blocks(members).select("node", "half", "key").join(sets, "key")
-    placed = placed.repartition("node").sortWithinPartitions("node")
+def _pairs(path: int, half: list[int], sig: list[bytes], paths: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of a block whose signatures agree and that meet in no node of a smaller path."""
+    rows = np.frombuffer(b"".join(sig), "<u4").reshape(-1, COORDINATES)
+    half_ = np.array(half)
+    whole = half_[0] == 2
+    left = np.arange(len(half)) if whole else np.flatnonzero(half_ == 0)
+    right = left if whole else np.flatnonzero(half_ == 1)
+    before = [frozenset(p for p in own if p < path) for own in paths]
+    a, b = [], []
+    for k, i in enumerate(left.tolist()):
+        others = right[k + 1 :] if whole else right
+        near = others[(rows[others] == rows[i]).sum(1) >= least]
+        for j in near.tolist():
+            if before[i].isdisjoint(before[j]):
+                a.append(i)
+                b.append(j)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def candidates(blocks: DataFrame, sets: DataFrame, agree: float = AGREE) -> DataFrame:
+    """node, path, half, key: the classes of each block that have a partner there to be compared with."""
+    placed = blocks.join(sets.select("key", "sig", "paths"), "key").repartition("node").sortWithinPartitions("node")
     least = int(np.ceil(agree * COORDINATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, half, key, sig in _grouped(batches, ["node", "half", "key", "sig"]):
-            rows = np.frombuffer(b"".join(sig), "<u4").reshape(-1, COORDINATES)
-            out: list[tuple[int, bytes, bytes]] = []
-            for a, b in _spans(node):
-                whole = half[a] == 2
-                left = [k for k in range(a, b) if half[k] != 1]
-                right = left if whole else [k for k in range(a, b) if half[k] == 1]
-                for k, i in enumerate(left):
-                    others = right[k + 1 :] if whole else right
-                    if not others:
-                        continue
-                    same = (rows[others] == rows[i]).sum(1)
-                    for j in np.flatnonzero(same >= least).tolist():
-                        pair = sorted((key[i], key[others[j]]))
-                        if pair[0] != pair[1]:
-                            out.append((node[a], *pair))
-            if out:
-                columns = list(zip(*out))
-                kinds = (pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["path", "a", "b"])
-
-    found = placed.mapInArrow(run, "path long, a binary, b binary")
-    return found.groupBy("a", "b").agg(F.min("path").alias("path"))
+        out: list[tuple] = []
+        for node, path, half, key, sig, paths in _grouped(batches, ["node", "path", "half", "key", "sig", "paths"]):
+            if len(node) < 2:
+                continue
+            a, b = _pairs(path[0], half, sig, paths, least)
+            out.extend((node[k], path[k], half[k], key[k]) for k in np.unique(np.concatenate([a, b])).tolist())
+            if len(out) > 10_000:
+                yield _batch(out, _PLACED)
+                out = []
+        yield _batch(out, _PLACED)
+
+    return placed.mapInArrow(run, "node long, path long, half int, key binary")
+
+
+_PLACED = pa.schema([("node", pa.int64()), ("path", pa.int64()), ("half", pa.int32()), ("key", pa.binary())])
+_LINKED = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("near", pa.int64())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [() for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the pairs (a, b): pair by pair, or for many pairs of few sets all at once."""
+    if len(a) < 8 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(token[-1]) + 1, 4096):
+        at, to = np.searchsorted(token, [low, low + 4096])
+        some = np.zeros((len(sets), 4096), np.float32)
+        some[owner[at:to], token[at:to] - low] = 1
+        both += some @ some.T
+    return both[a, b]
 
 
 def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """a, b, jaccard: pairs of classes at the threshold or above, compared on their whole sets."""
-    members = stored(buckets(sets, runs_needed(threshold, recall)), "nodes")
-    pairs = stored(candidates(sets, members), "pairs")
-    of = pairs.select("path", F.explode(F.array("a", "b")).alias("key")).distinct()
+    """key, root, near: for each class and block, a class that links lead to and the linked documents.
+
+    ``sets`` holds key, sig, n. Every pair of classes at the threshold is counted
+    in one block, the first in which it meets; whole sets are compared.
+    """
+    members = stored(buckets(sets.select("key", "sig"), runs_needed(threshold, recall)), "nodes")
+    paths = members.groupBy("key").agg(F.collect_set("path").alias("paths"))
+    known = stored(sets.join(paths, "key"), "paths")
+    asked = stored(candidates(_blocks(members), known), "asked")
+    wanted = stored(asked.select("key").distinct(), "wanted")
     keyed = docs.where(F.col("text").isNotNull()).select(F.unhex(F.md5("text")).alias("key"), "text")
-    texts = keyed.join(of.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    empty = F.lit(None).cast("binary")
-    held = of.join(texts, "key").select("path", F.lit(0).alias("kind"), "key", "text", empty.alias("a"), empty.alias("b"))
-    asked = pairs.select("path", F.lit(1).alias("kind"), empty.alias("key"), F.lit(None).cast("string").alias("text"), "a", "b")
-    both = held.unionByName(asked).repartition("path").sortWithinPartitions("path", "kind")
+    texts = keyed.join(broadcast_if_small(wanted, 500_000), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = asked.join(texts, "key").join(known, "key").repartition("node").sortWithinPartitions("node")
+    least = int(np.ceil(AGREE * COORDINATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, sets_of = None, {}
-        for batch in batches:
-            for part in slices(batch):
-                at, kind, key, _, a, b = (c.to_pylist() for c in part.columns)
-                found, begin = shingles(*text_bytes(text_column(part)), WIDTH)
-                out = []
-                for r in range(part.num_rows):
-                    if at[r] != path:
-                        path, sets_of = at[r], {}
-                    if kind[r] == 0:
-                        sets_of[key[r]] = np.unique(found[begin[r] : begin[r + 1]])
-                    else:
-                        x, y = sets_of[a[r]], sets_of[b[r]]
-                        shared = len(np.intersect1d(x, y, assume_unique=True))
-                        value = shared / (len(x) + len(y) - shared)
-                        if value >= threshold - 1e-12:
-                            out.append((a[r], b[r], value))
-                if out:
-                    columns = list(zip(*out))
-                    kinds = (pa.binary(), pa.binary(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["a", "b", "jaccard"])
-
-    return both.mapInArrow(run, "a binary, b binary, jaccard double")
+        for _, path, half, key, text, sig, paths_, n in _grouped(batches, ["node", "path", "half", "key", "text", "sig", "paths", "n"]):
+            a, b = _pairs(path[0], half, sig, paths_, least)
+            if not len(a):
+                continue
+            found, begin = shingles(*text_bytes(pa.array(text, pa.string())), WIDTH)
+            own = [np.unique(found[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+            size = np.array([len(x) for x in own])
+            shared = _shared(own, a, b)
+            linked = shared >= threshold * (size[a] + size[b] - shared) - 1e-9
+            a, b, many = a[linked], b[linked], np.array(n)
+            near = np.bincount(a, many[b], len(key)) + np.bincount(b, many[a], len(key))
+            lead = list(range(len(key)))
+
+            def root(k: int) -> int:
+                while lead[k] != k:
+                    lead[k] = lead[lead[k]]
+                    k = lead[k]
+                return k
+
+            for i, j in zip(a.tolist(), b.tolist()):
+                lead[root(i)] = root(j)
+            yield _batch([(key[k], key[root(k)], int(near[k])) for k in np.flatnonzero(near).tolist()], _LINKED)
+
+    return both.mapInArrow(run, "key binary, root binary, near long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,12 +297,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """doc_id, copy_id (smallest doc_id of equal texts), class_id, n_links, and key for every document."""
     every = stored(classes(docs), "signatures")
     full = every.where(F.col("sig").isNotNull())
-    sized = stored(full.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("copy_id")), "classes")
-    sets = stored(full.select("key", "sig").dropDuplicates(["key"]), "sets")
-    found = stored(links(docs, sets, threshold, recall), "links")
-    root = components(found)
-    both = found.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(found.select(F.col("b").alias("key"), F.col("a").alias("to")))
-    reach = both.join(sized.select(F.col("key").alias("to"), F.col("n").alias("reached")), "to").groupBy("key").agg(F.sum("reached").alias("near"))
+    sets = stored(full.groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("n"), F.min("doc_id").alias("copy_id")), "classes")
+    sized = sets.select("key", "n", "copy_id")
+    found = stored(links(docs, sets.select("key", "sig", "n"), threshold, recall), "links")
+    root = components(found.where("key <> root").select(F.least("key", "root").alias("a"), F.greatest("key", "root").alias("b")))
+    reach = found.groupBy("key").agg(F.sum("near").alias("near"))
     by_key = sized.join(root, "key", "left").join(reach, "key", "left").withColumn("root", F.coalesce("root", "key"))
     linked = by_key.where(F.col("near").isNotNull()).groupBy("root").agg(F.min("copy_id").alias("least"))
     by_key = by_key.join(linked, "root", "left").select(
