@@ -39,8 +39,8 @@ DENSE = 0.5
 SMALL = 256
 #: Share of pairs at the threshold that the runs must find.
 RECALL = 0.9999
-#: Signatures of pairs worth comparing agree in at least this share of coordinates (four standard deviations below 0.8).
-AGREE = 0.6
+#: Signatures of pairs worth comparing agree in at least this share of coordinates (six standard deviations below 0.8).
+AGREE = 0.5
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, sampled: int = SAMPLED, depth: int = DEPTH) -> int:
