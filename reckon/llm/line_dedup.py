@@ -111,19 +111,20 @@ def dedup_lines(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
     """``docs`` with later copies of chunks cut from ``text``, and with n_lines and n_removed."""
     cuts = repeats(docs, rounds)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    wide = docs.select(*own, _ident().alias("_ident")).join(cuts.withColumnRenamed("ident", "_ident"), "_ident", "left")
+    nested = docs.select(F.struct(*own).alias("doc"), "text", _ident().alias("ident"))  # no other column can clash
+    wide = nested.join(cuts, "ident", "left")
     lines = F.split("text", "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    wide = wide.withColumn("_gone", F.when(F.col("cuts").isNotNull(), gone))
-    marked = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda _: F.lit(True)))
-    wide = wide.withColumn("_marked", F.when(F.col("_gone").isNotNull(), marked))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.try_element_at(F.col("_marked"), i), F.lit(False))), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    wide = wide.withColumn("gone", F.when(F.col("cuts").isNotNull(), gone))
+    marked = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda _: F.lit(True)))
+    wide = wide.withColumn("marked", F.when(F.col("gone").isNotNull(), marked))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.try_element_at(F.col("marked"), i), F.lit(False))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return wide.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in own],
+        *[text.alias(c) if c == "text" else F.col(f"doc.{c}").alias(c) for c in own],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

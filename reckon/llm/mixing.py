@@ -29,12 +29,14 @@ BITS, LEVELS = 12, 5
 
 
 def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, source, size in words and a 60-bit hash of each document, with ``keep`` after all other columns."""
+    """doc_id, source, size in words and a 60-bit hash of each document, with ``keep`` its row as doc."""
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
-    own = [c for c in docs.columns if c not in ("size", "h", "source_size", "target", "taken")] if keep else ["doc_id", "source"]
+    nested = [F.struct(*docs.columns).alias("doc")] if keep else []  # where no other column can clash
     return docs.select(
-        *own,
+        "doc_id",
+        "source",
+        *nested,
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
         F.conv(F.substring(ident, 1, 15), 16, 10).cast("long").alias("h"),
     )
@@ -119,10 +121,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     plan = targets.join(limits.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.withColumnRenamed("source", "plan_source")
     taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("limit")).cast("long"))
-    rows, own = (sizes, ["doc_id", "source"]) if not keep else (sized(docs, True), [c for c in docs.columns if c not in added])
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        *own, "size", "source_size", "target", taken.alias("taken")
-    )
+    rows = sizes if not keep else sized(docs, True)
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    own = [F.col(f"doc.{c}").alias(c) for c in docs.columns if c not in added] if keep else [F.col("doc_id"), F.col("source")]
+    return joined.select(*own, "size", "source_size", "target", taken.alias("taken"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

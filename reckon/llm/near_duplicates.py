@@ -316,16 +316,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``docs`` with one document of each class: that of the smallest doc_id, and of its repeated rows one."""
-    found = near_duplicates(docs, threshold, recall)
-    gone = stored(found.where(F.col("key").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    again = stored(found.where(F.col("key").isNotNull()).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), "again")
-    if again.isEmpty():
-        return kept
-    wide = kept.withColumn("_k", F.unhex(F.md5("text")))
-    same = wide["doc_id"].eqNullSafe(again["_id"]) & (wide["_k"] == again["_key"])
-    once = wide.join(again, same, "left_semi").dropDuplicates(["doc_id", "_k"])
-    return wide.join(again, same, "left_anti").unionByName(once).drop("_k")
+    found = near_duplicates(docs, threshold, recall).where(F.col("key").isNotNull())
+    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct(), "gone")
+    again = stored(found.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("again"), F.col("key").alias("again_key")), "again")
+    # a text without words has no key, and is never a copy
+    nested = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("key"))
+    kept = nested.join(broadcast_if_small(gone), F.col("id").eqNullSafe(F.col("gone")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    if not again.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("again")) & (F.col("key") == F.col("again_key"))
+        once = kept.join(again, same, "left_semi").dropDuplicates(["id", "key"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"doc.{c}").alias(c) for c in docs.columns])
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
