@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,6 @@ from .common import prepare, slices, table, text_column
 from .pretokens import PieceCache, encoded
 
 _END = "</w>"
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: White space as the normaliser sees it (Unicode's White_Space).
-_BLANKS = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def byte_signs() -> list[str]:
@@ -52,10 +48,11 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {i: t.encode() for t, i in (*vocab.items(), *self.special.items())}
-        byte = {s: b for b, s in enumerate(signs)}
+        self.path, self.library = path, None
+        self.byte = {s: b for b, s in enumerate(signs)}
         self.inside = np.zeros((256, 256), bool)
         for token in vocab:
-            raw = [byte[c] for c in token.removesuffix(_END)]
+            raw = [self.byte[c] for c in token.removesuffix(_END)]
             self.inside[raw[:-1], raw[1:]] = True
         self.fragments: dict[tuple[bytes, bool], list[int]] = {}
         self.cache = PieceCache(self.words)
@@ -97,8 +94,10 @@ class WordBPE:
         return found
 
     def words(self, words: list[str]) -> list[list[int]]:
+        return self.pieces([w.encode("utf-8") for w in words])
+
+    def pieces(self, raws: list[bytes]) -> list[list[int]]:
         """Ids of normalised words, each cut where the vocabulary forces a boundary."""
-        raws = [w.encode("utf-8") for w in words]
         sizes = np.array([len(r) for r in raws], np.int64)
         flat = np.frombuffer(b"".join(raws), np.uint8)
         forced = np.zeros(len(flat), bool)
@@ -116,14 +115,18 @@ class WordBPE:
         return out
 
     def general(self, text: str) -> list[int]:
+        """Ids of a text beyond the fast path: the library normalises and splits it, as its Unicode tables decide."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
         out: list[int] = []
         for part in self.special_split.split(text):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                norm = _BLANKS.sub(" ", unicodedata.normalize("NFC", part))
-                words = _SPLIT.findall("".join(c.lower() for c in norm))
-                for ids in self.words(words) if words else []:
+                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                for ids in self.pieces([bytes(map(self.byte.__getitem__, w)) for w, _ in words]) if words else []:
                     out.extend(ids)
         return out
 
