@@ -55,7 +55,7 @@ def _neighbours(unit: np.ndarray, k: int) -> np.ndarray:
 def balanced_parts(unit: np.ndarray, graph: np.ndarray, parts: int, draw: np.random.Generator) -> np.ndarray:
     """A part for each node, none above its share by a tenth: balanced centres first, then moves along the graph."""
     n = len(unit)
-    room = int(np.ceil(1.1 * n / parts))
+    room = -(-11 * n // (10 * parts))
     centres = unit[draw.permutation(n)[:parts]]
     label = np.zeros(n, np.int64)
     for _ in range(6):
