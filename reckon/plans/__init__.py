@@ -1 +1,3 @@
 """Registered queries over the settlement relations."""
+
+from . import catalog, desk  # noqa: F401  desk adds its queries to the catalog
