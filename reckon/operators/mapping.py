@@ -138,6 +138,16 @@ def map_rows(rows: DataFrame, mappings: list[FieldMapping], cells: str | None =
     return mapped.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(_missing()))
 
 
+def field_trace(mappings: list[FieldMapping], cells: str | None = "cells", record: str | None = None, zone: str = times.BUSINESS_ZONE) -> Column:
+    """An array of (path, source, value, error code), one for each mapping: how a row became its fields."""
+    steps = []
+    for m in mappings:
+        value, fault = compile_field(m, cells, record, zone)
+        source = F.lit(m.constant) if m.type == "CONSTANT" else _source(m, cells, record)[0]
+        steps.append(F.struct(F.lit(m.path).alias("path"), source.cast("string").alias("source"), value.cast("string").alias("value"), fault["code"].alias("error")))
+    return F.array(*steps)
+
+
 def _missing() -> Column:
     """Errors of the canonical stage: required fields first, then the status's domain."""
     needed = F.filter(F.array(*[F.when(F.col(f).isNull(), _error("MISSING_REQUIRED_FIELD", f)) for f in REQUIRED]), lambda e: e.isNotNull())

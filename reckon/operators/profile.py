@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Texts that stand for a missing value.
@@ -75,3 +77,15 @@ def rule_results(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("broken")) for r in rules])
     out = one.select("n", F.explode(each).alias("r")).select("r.rule", "n", "r.broken")
     return out.withColumn("decision", F.when(F.col("broken") == 0, "PASS").otherwise("REVIEW"))
+
+
+def report(parts: dict[str, DataFrame]) -> tuple[str, str]:
+    """The aggregates of a profile as JSON and as Markdown tables; each part has a few rows by nature."""
+    found = {name: [r.asDict() for r in rows.collect()] for name, rows in parts.items()}
+    lines = []
+    for name, rows in found.items():
+        lines += [f"## {name}", ""]
+        if rows:
+            heads = list(rows[0])
+            lines += [f"| {' | '.join(heads)} |", f"|{'-|' * len(heads)}", *(f"| {' | '.join(str(r[h]) for h in heads)} |" for r in rows), ""]
+    return json.dumps(found, default=str, ensure_ascii=False, indent=1), "\n".join(lines)

@@ -204,6 +204,15 @@ def map_object(spark, d):
     return rows.select("event_id", "id", "amount", "status", F.col("extra")["kind"].alias("kind"), _codes("errors").alias("errors"))
 
 
+@query(f"""WITH {_ROWS}, t AS (SELECT 'id' AS path, CASE WHEN id IS NULL THEN 'MISSING_REQUIRED_FIELD' END AS error, id IS NOT NULL AS there FROM m
+UNION ALL SELECT 'trace', NULL, true FROM m UNION ALL SELECT 'amount', CASE WHEN amount IS NULL THEN 'INVALID_AMOUNT' END, amount IS NOT NULL FROM m
+UNION ALL SELECT 'status', CASE WHEN status IS NULL THEN 'INVALID_STATUS' END, status IS NOT NULL FROM m UNION ALL SELECT 'transDate', CASE WHEN tm IS NULL THEN 'INVALID_TIMESTAMP' END, tm IS NOT NULL FROM m
+UNION ALL SELECT 'currency', NULL, true FROM m) SELECT path, error, count(*) AS n, count(*) FILTER (WHERE there) AS filled FROM t GROUP BY ALL""")
+def map_field_trace(spark, d):
+    each = cells(spark, d).select(F.explode(mapping.field_trace(FIELDS)).alias("t"))
+    return each.groupBy(F.col("t.path").alias("path"), F.col("t.error").alias("error")).agg(F.count("*").alias("n"), F.count("t.value").alias("filled"))
+
+
 @query("SELECT event_type, CASE event_type WHEN 'click' THEN 'SUCCESS' WHEN 'view' THEN 'FAILED' ELSE 'PENDING' END AS status, count(*) AS n FROM events GROUP BY ALL")
 def map_enum_others(spark, d):
     m = mapping.FieldMapping("status", "MAPPING", column=1, required=True, mapping=_TYPES)

@@ -93,3 +93,11 @@ def test_latest_and_pages(spark):
     assert sorted(r["id"] for r in metrics.latest(rows, ["s"], "t", "id").collect()) == [3, 4]
     assert [r["id"] for r in metrics.page_after(rows, "t", "id", (1, 1), 2).collect()] == [4, 2, 3]
     assert [r["id"] for r in metrics.page(rows, ["t", "id"], 1, 2).collect()] == [4, 2]
+
+
+def test_profile_report(spark):
+    from reckon.operators import profile
+
+    rows = spark.createDataFrame([("a", 1), ("N/A", 2), (None, 2)], "x string, y int")
+    data, text = profile.report({"columns": profile.columns(rows, ["x", "y"])})
+    assert '"missing": 2' in data and "| x | 3 | 2 | 1 |" in text
