@@ -25,6 +25,8 @@ from .common import prepare, slices, table, text_column
 from .pretokens import PieceCache, encoded
 
 _END = "</w>"
+#: Fragments cached by a Python worker before it starts afresh.
+FRAGMENTS = 50_000
 
 
 def byte_signs() -> list[str]:
@@ -88,7 +90,7 @@ class WordBPE:
                 ids[-1] = self.final[raw[-1]]
             found = self._merge(ids)
             if len(raw) <= 8:
-                if len(self.fragments) > 200_000:
+                if len(self.fragments) > FRAGMENTS:
                     self.fragments.clear()
                 self.fragments[key] = found
         return found

@@ -15,8 +15,8 @@ from .common import span_hashes
 
 LETTER, DIGIT, BLANK, SIGN = 1, 2, 3, 4
 _LIMIT = 0x250
-#: Pieces cached by a Python worker before it starts afresh.
-CACHE = 500_000
+#: Pieces cached by a Python worker before it starts afresh (about 60 MB; workers outlive their tasks, and keep it).
+CACHE = 100_000
 
 
 def _classes() -> np.ndarray:
