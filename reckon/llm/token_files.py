@@ -111,6 +111,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
     for at in np.flatnonzero(selector == 0).tolist():  # escapes are rare; the word after one is not a selector
         if not raw[at]:
             raw[at + 1] = True
+    selector[raw] = 0  # an escaped id may hold any bits there
     count = np.where(raw, 0, _COUNTS[selector])
     begin = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(begin[-1], np.uint64)

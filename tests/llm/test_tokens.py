@@ -50,6 +50,11 @@ def test_words_round_trip(ids):
     assert got.tolist() == ids
 
 
+def test_escapes_of_any_top_bits():
+    ids = [1, 2**64 - 1, 15 << 60, 0, 1 << 60, 7]
+    assert token_files.unpack(token_files.pack(np.array(ids, np.uint64))).tolist() == ids
+
+
 def test_files(spark, odd, byte_library, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     shards = token_files.write(odd, token_files.vocabulary_path(), folder)
