@@ -9,6 +9,13 @@ and any visible character. Chunks with equal hashes are compared byte by byte;
 the occurrence in the smallest (doc_id, position) stays and the others are cut.
 Only DataFrame functions are used.
 
+The cuts miss short passages, so ``op9_line_dedup``, whose SQL defines them, keeps
+part of what repeats. Without rounds (``RUNS``, ``op9_line_runs``) no cuts are made:
+every two adjacent lines are a chunk, as are a line with the next visible one and
+the blank lines between, and a line of ``MIN_WORDS`` words. Their union is the
+longest equal runs, so a run of two lines goes whatever stands around it; only
+blank lines at the edge of a run, beyond one, stay.
+
 Defined results: a null text stays null and counts no lines; an empty text has
 one empty line; null doc_ids come last in the order of occurrences; rows of
 equal id and text are one document and are cut alike; other columns are kept.
@@ -22,6 +29,8 @@ from .common import stored, table
 
 #: Lines in the rolling window of each round.
 ROUNDS = (1, 2, 1, 2)
+#: No rounds: the chunks are all windows instead.
+RUNS = ()
 #: A single line is a chunk of its own if it has so many words.
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -72,9 +81,34 @@ def _spans(bounds: Column) -> Column:
     )
 
 
+def _windows(lines: Column) -> Column:
+    """start, n of all windows that count: adjacent lines, visible lines with the blank ones between, and long lines."""
+
+    def upto(last: Column) -> Column:
+        return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def seen(i: Column) -> Column:
+        return F.get(lines, i).rlike(_WORD)
+
+    def long(i: Column) -> Column:
+        return (F.length(F.get(lines, i)) >= 2 * MIN_WORDS - 1) & (F.regexp_count(F.get(lines, i), F.lit(_WORD)) >= MIN_WORDS)
+
+    def spans(starts: Column, n: int) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
+
+    visible = F.filter(upto(F.size(lines) - 1), seen)
+    gaps = F.transform(_spans(visible), lambda s: F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n")))
+    gaps = F.when(F.size(visible) > 1, F.filter(gaps, lambda s: s["n"] > 3)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+    pairs = F.filter(upto(F.size(lines) - 2), lambda i: seen(i) | seen(i + 1))
+    return F.concat(spans(pairs, 2), spans(F.filter(upto(F.size(lines) - 1), long), 1), gaps)
+
+
 def chunks(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
     """ident, doc_id, start, n, hash: the chunks that count, of every document."""
     lines = docs.where(F.col("text").isNotNull()).select(_ident().alias("ident"), "doc_id", _lines().alias("lines"))
+    if not rounds:  # hashed before they are laid out in rows, which would each carry all lines
+        hashes = F.transform(_windows(F.col("lines")), lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.xxhash64(_chunk(s["start"], s["n"])).alias("hash")))
+        return lines.select("ident", "doc_id", F.inline(hashes))
     hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
     found = [_spans(_bounds(F.col("lines"), F.col("hashes"), k, w)) for k, w in enumerate(rounds)]
     spans = hashed.select("ident", "doc_id", "lines", F.explode(F.array_distinct(F.concat(*found))).alias("span"))
@@ -99,8 +133,8 @@ def repeats(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
     twice = place.groupBy("hash").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("hash")
     hits = found.join(twice, "hash", "left_semi").groupBy("ident").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     held = docs.where(F.col("text").isNotNull()).select(_ident().alias("ident"), "doc_id", "text").join(hits, "ident")
-    held = held.select("ident", "doc_id", _lines().alias("lines"), F.explode("spans").alias("span"))
-    held = held.select("ident", "doc_id", "span.start", "span.n", _chunk(F.col("span.start"), F.col("span.n")).alias("bytes"))
+    held = held.select("ident", "doc_id", "spans", _lines().alias("lines"))
+    held = held.select("ident", "doc_id", F.inline(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), _chunk(s["start"], s["n"]).alias("bytes")))))
     held = stored(held.withColumn("hash", F.xxhash64("bytes")), "repeated")
     first = held.withColumn("place", _place()).groupBy("hash", "bytes").agg(F.min("place").alias("first"))
     later = held.withColumn("place", _place()).join(first, ["hash", "bytes"]).where("place != first")
@@ -134,6 +168,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op9_line_dedup``, with every repeated run of two lines, or line of 50 words, cut."""
+    out = dedup_lines(table(spark, sf_dir, "documents"), RUNS)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def _oracle() -> str:
     def picked(value: str, seed: int) -> str:
         mul = (2654435761 * (2 * seed + 1)) % (1 << 32) | 1
@@ -173,4 +213,34 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 FROM docs d LEFT JOIN kept k ON k.ident = d.ident"""
 
 
-ORACLE = {"op9_line_dedup": _oracle()}
+def _oracle_runs() -> str:
+    return f"""
+WITH docs AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS ident FROM documents),
+held AS (SELECT DISTINCT ident, doc_id, text FROM docs WHERE text IS NOT NULL),
+lines AS (
+  SELECT ident, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM held),
+seen AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS visible FROM lines),
+spans AS (
+  SELECT ident, doc_id, pos AS start, 2 AS n
+  FROM (SELECT *, lead(visible) OVER (PARTITION BY ident ORDER BY pos) AS ahead FROM seen) WHERE ahead IS NOT NULL AND (visible OR ahead)
+  UNION ALL
+  SELECT ident, doc_id, pos, 1 FROM lines WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {MIN_WORDS}
+  UNION ALL
+  SELECT ident, doc_id, pos, ahead - pos + 1
+  FROM (SELECT *, lead(pos) OVER (PARTITION BY ident ORDER BY pos) AS ahead FROM seen WHERE visible) WHERE ahead - pos > 2),
+counted AS (
+  SELECT s.ident, s.doc_id, s.start, s.n, string_agg(l.line, chr(10) ORDER BY l.pos) AS bytes
+  FROM spans s JOIN lines l ON l.ident = s.ident AND l.pos BETWEEN s.start AND s.start + s.n - 1 GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id IS NULL, doc_id, ident, start) AS place FROM counted),
+gone AS (SELECT DISTINCT r.ident, l.pos FROM ranked r JOIN lines l ON l.ident = r.ident AND l.pos BETWEEN r.start AND r.start + r.n - 1 WHERE r.place > 1),
+kept AS (
+  SELECT l.ident, count(*) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS cleaned
+  FROM lines l LEFT JOIN gone g ON g.ident = l.ident AND g.pos = l.pos GROUP BY l.ident)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN md5(k.cleaned) END AS text_md5
+FROM docs d LEFT JOIN kept k ON k.ident = d.ident"""
+
+
+ORACLE = {"op9_line_dedup": _oracle(), "op9_line_runs": _oracle_runs()}

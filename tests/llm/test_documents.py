@@ -45,6 +45,51 @@ def test_line_dedup_equals_sql(which, request):
     assert norm(got) == norm(eval(w) for w in want)
 
 
+@pytest.mark.parametrize("which", ["lines", "odd"])
+def test_line_runs_equal_sql(which, request):
+    docs = request.getfixturevalue(which)
+    want, names = oracle(line_dedup.ORACLE["op9_line_runs"], docs)
+    got = line_dedup.dedup_lines(docs, line_dedup.RUNS).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5")).select(*names).collect()
+    norm = lambda xs: sorted(repr(tuple(int(x) if isinstance(x, (int, float)) else x for x in r)) for r in xs)
+    assert norm(got) == norm(eval(w) for w in want)
+
+
+def longest_runs(texts):
+    """Each text without the lines of any longest run that equals an earlier one, found by comparing all places."""
+    where, out = [(d, k) for d, t in enumerate(texts) for k in range(len(t))], []
+    starts = defaultdict(list)
+    gone = [set() for _ in texts]
+    for d, j in where:
+        for e, i in starts[texts[d][j]]:
+            n = 0
+            while j + n < len(texts[d]) and i + n < len(texts[e]) and texts[d][j + n] == texts[e][i + n]:
+                n += 1
+            run = texts[d][j : j + n]
+            if n >= 2 and any(x.strip() for x in run) or len(run[0].split()) >= 50:
+                gone[d] |= set(range(j, j + n))
+        starts[texts[d][j]].append((d, j))
+    for d, t in enumerate(texts):
+        out.append("\n".join(x for k, x in enumerate(t) if k not in gone[d]))
+    return out
+
+
+def test_planted_runs_go_whatever_stands_around_them(spark):
+    draw, texts = random.Random(3), []
+    shapes = [(1, 60), (2, 30), (2, 3), (3, 20), (4, 15), (4, 2), (5, 8), (8, 10), (12, 10)]
+    passages = [[prose(10_000 * k + j, words) for j in range(n)] for k, (n, words) in enumerate(shapes * 4)]
+    passages += [["head " + str(k), "", "", "", "", prose(k, 4)] for k in range(4)]
+    for k, passage in enumerate(passages):
+        for copy in range(3):
+            before, after = ([prose(1_000_000 + 1000 * k + 100 * copy + 10 * s + j, 12) for j in range(draw.randrange(4))] for s in (1, 2))
+            texts.append([*before, *passage, *after])
+    docs = spark.createDataFrame([row(k, "\n".join(t)) for k, t in enumerate(texts)], KIND)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, line_dedup.RUNS).collect()}
+    assert [got[k] for k in range(len(texts))] == longest_runs(texts)
+    later = [(k, x) for k, t in enumerate(texts) if k % 3 for x in passages[k // 3] if x.strip()]
+    assert not any(x in got[k].split("\n") for k, x in later)
+    assert got[0] == "\n".join(texts[0])
+
+
 def test_passages_go_but_first_copies_stay(lines):
     texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(lines).collect()}
     passage = "\n".join(prose(k, n) for k, n in ()) or None
