@@ -294,7 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, copy_id (smallest doc_id of equal texts), class_id, n_links, and key for every document."""
+    """doc_id, copy_id (smallest doc_id of equal texts), class_id, n_links, key, and leader (key of the class's text that stays) for every document."""
     every = stored(classes(docs), "signatures")
     full = every.where(F.col("sig").isNotNull())
     sets = stored(full.groupBy("key").agg(F.first("sig").alias("sig"), F.count("*").alias("n"), F.min("doc_id").alias("copy_id")), "classes")
@@ -303,21 +303,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     root = components(found.where("key <> root").select(F.least("key", "root").alias("a"), F.greatest("key", "root").alias("b")))
     reach = found.groupBy("key").agg(F.sum("near").alias("near"))
     by_key = sized.join(root, "key", "left").join(reach, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    linked = by_key.where(F.col("near").isNotNull()).groupBy("root").agg(F.min("copy_id").alias("least"))
+    first = F.min(F.struct(F.col("copy_id").isNull().alias("last"), "copy_id", "key"))["key"]
+    linked = by_key.where(F.col("near").isNotNull()).groupBy("root").agg(F.min("copy_id").alias("least"), first.alias("leader"))
     by_key = by_key.join(linked, "root", "left").select(
         "key",
         "copy_id",
         F.coalesce("least", "copy_id").alias("class_id"),
+        F.coalesce("leader", "key").alias("leader"),
         (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links"),
     )
-    alone = every.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("key"))
-    return full.select("doc_id", "key").join(by_key, "key").select("doc_id", "copy_id", "class_id", "n_links", "key").unionByName(alone)
+    alone = every.where(F.col("sig").isNull()).select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("leader"))
+    return full.select("doc_id", "key").join(by_key, "key").select("doc_id", "copy_id", "class_id", "n_links", "key", "leader").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """``docs`` with one document of each class: that of the smallest doc_id, and of its repeated rows one."""
+    """``docs`` with one document of each class: that of the smallest (doc_id, key), null ids last, and of its repeated rows one."""
     found = near_duplicates(docs, threshold, recall).where(F.col("key").isNotNull())
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct(), "gone")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("leader"))
+    gone = stored(found.where(~stays).select(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key")).distinct(), "gone")
     again = stored(found.groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("again"), F.col("key").alias("again_key")), "again")
     # a text without words has no key, and is never a copy
     nested = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("key"))

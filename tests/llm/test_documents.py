@@ -180,6 +180,16 @@ def test_one_of_each_group_stays(copies, odd):
     assert sorted(str(r["doc_id"]) for r in near_duplicates.keep_one(odd).collect()) == sorted(map(str, [1, 2, 3, 4, 5, 8, 9, None]))
 
 
+def test_one_stays_of_near_copies_with_equal_or_null_ids(spark):
+    base = prose(5, 60).split()
+    near = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in (0, 1, 58, 59)]
+    same = [row(3, near[0]), row(3, near[1]), row(3, near[1]), row(4, near[2])]
+    nulls = [row(None, x.upper()) for x in (*near, near[0])]
+    for rows, ids in ((same, [3]), (nulls, [None]), (same + nulls, [3, None])):
+        kept = near_duplicates.keep_one(spark.createDataFrame(rows, KIND)).collect()
+        assert sorted((r["doc_id"] for r in kept), key=str) == ids
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(20)] + [(bytes([50]), bytes([51]))], "a binary, b binary")
     got = {bytes(r["key"]): bytes(r["root"]) for r in near_duplicates.components(edges).collect()}
