@@ -1,6 +1,7 @@
 """Language identification by bit-sliced Bloom filters over byte n-grams.
 
-Every slot of the filter holds a bit for each language, so ANDing the slots of
+Every slot of the filter holds a bit for each language, in as many words of 64
+bits as the languages need, so ANDing the slots of
 an n-gram gives all languages that contain it. A text's n-grams are counted
 for each language by those bits; each count is corrected for the language's
 false-positive rate, and the language with the largest share of n-grams wins.
@@ -15,7 +16,7 @@ are. Other columns play no part.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from .common import mixed, slices, table, text_bytes, text_column
 
 #: Rows sampled for each language to fit the filter.
 SAMPLE = 600
-#: Bytes in an n-gram, slots in the filter, hash functions, and languages at most (bits in a slot).
-GRAM, SLOTS, HASHES, LANGUAGES = 4, 1 << 20, 3, 64
+#: Bytes in an n-gram, slots in the filter, and hash functions.
+GRAM, SLOTS, HASHES = 4, 1 << 20, 3
+#: Languages in a word of a slot, and languages whose samples are on the driver at once.
+WORD = 64
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate.
 SHARE = 0.25
 _LETTER = re.compile(r"[^\W\d_]")
@@ -62,26 +65,26 @@ def lowered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pa.array([f" {x.lower()} " if x else "" for x in texts], pa.string()))
 
 
-def fit(samples: list[tuple[str, list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the filter's slots, and each language's false-positive rate."""
-    names = sorted(name for name, _ in samples)[:LANGUAGES]
-    texts = dict(samples)
-    counted = []
-    for name in names:
-        found, _ = grams(*lowered(texts[name]))
+def fit(samples: Iterable[tuple[str, list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the filter's slots (a row for each ``WORD`` languages), and each language's false-positive rate."""
+    by = {}
+    for name, texts in samples:
+        found, _ = grams(*lowered(texts))
         gram, count = np.unique(found, return_counts=True)
-        counted.append((gram[count > 1], count[count > 1] / max(1, count.sum())))
+        by[name] = (gram[count > 1], count[count > 1] / max(1, count.sum()))
+    names = sorted(by)
+    counted = [by[name] for name in names]
     every = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.zeros(0, np.uint64)
     top = np.zeros(len(every))
     for gram, rate in counted:
         at = np.searchsorted(every, gram)
         top[at] = np.maximum(top[at], rate)
-    filled = np.zeros(SLOTS, np.uint64)
-    for bit, (gram, rate) in enumerate(counted):
+    filled = np.zeros((-(-len(names) // WORD), SLOTS), np.uint64)
+    for at, (gram, rate) in enumerate(counted):
         own = gram[rate >= SHARE * top[np.searchsorted(every, gram)]]
         for k in range(HASHES):
-            filled[_slot(own, k)] |= np.uint64(1 << bit)
-    fill = np.array([np.count_nonzero(filled & np.uint64(1 << bit)) / SLOTS for bit in range(len(names))])
+            filled[at // WORD, _slot(own, k)] |= np.uint64(1 << at % WORD)
+    fill = np.array([np.count_nonzero(filled[at // WORD] & np.uint64(1 << at % WORD)) / SLOTS for at in range(len(names))])
     width = np.uint8 if len(names) <= 8 else np.uint64
     return names, filled.astype(width), fill**HASHES
 
@@ -90,31 +93,37 @@ def shares(model, texts: list[str | None]) -> np.ndarray:
     """For each text and language, the share of n-grams in the language, corrected for false positives."""
     names, filled, false = model
     found, begin = grams(*lowered(texts))
-    bits = filled[_slot(found, 0)]
-    for k in range(1, HASHES):
-        bits = bits & filled[_slot(found, k)]
+    slots = [_slot(found, k) for k in range(HASHES)]
     many = np.maximum(np.diff(begin), 1)
     out = np.zeros((len(texts), len(names)))
-    for bit in range(len(names)):
-        hit = np.concatenate([[0], np.cumsum((bits >> bits.dtype.type(bit)) & bits.dtype.type(1), dtype=np.int64)])
-        out[:, bit] = (hit[begin[1:]] - hit[begin[:-1]]) / many
+    for word, held in enumerate(filled):
+        bits = held[slots[0]]
+        for slot in slots[1:]:
+            bits = bits & held[slot]
+        for at in range(word * WORD, min(len(names), (word + 1) * WORD)):
+            hit = np.concatenate([[0], np.cumsum((bits >> bits.dtype.type(at % WORD)) & bits.dtype.type(1), dtype=np.int64)])
+            out[:, at] = (hit[begin[1:]] - hit[begin[:-1]]) / many
     return np.clip((out - false) / np.maximum(1 - false, 1e-9), 0, 1)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE):
     """The model from a sample of about ``sample`` rows of each language, chosen by hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").count()
-    most = {r["lang"]: r["count"] for r in sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not most:
-        return fit([])
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in most.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    names = sorted(sizes)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(F.col("lang").isin(list(most)) & (draw < rate)).select("lang", "text").limit(3 * sample * len(most)).collect()
-    by: dict[str, list[str]] = {k: [] for k in most}
-    for r in rows:
-        by[r["lang"]].append(r["text"])
-    return fit([(k, v) for k, v in by.items() if v])
+
+    def samples() -> Iterator[tuple[str, list[str]]]:
+        for k in range(0, len(names), WORD):
+            some = names[k : k + WORD]
+            rate = F.element_at(F.create_map(*[F.lit(x) for name in some for x in (name, min(1.0, sample / sizes[name]))]), F.col("lang"))
+            rows = known.where(F.col("lang").isin(some) & (draw < rate)).select("lang", "text").limit(3 * sample * len(some)).collect()
+            by: dict[str, list[str]] = {name: [] for name in some}
+            for r in rows:
+                by[r["lang"]].append(r["text"])
+            yield from ((name, texts) for name, texts in by.items() if texts)
+
+    return fit(samples())
 
 
 def identify(docs: DataFrame, model) -> DataFrame:

@@ -83,3 +83,18 @@ def test_filter_has_no_false_negatives():
     model = language.fit(list(texts.items()))
     got = language.shares(model, ["abcd efgh", "wxyz qrst"])
     assert got[0, 0] > got[0, 1] and got[1, 1] > got[1, 0]
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+
+    def text(lang, seed):
+        draw, own = random.Random(lang), random.Random(1000 * lang + seed)
+        words = ["".join(draw.choice(alphabet) for _ in range(7)) for _ in range(30)]
+        return " ".join(own.choice(words) for _ in range(40))
+
+    rows = [(100 * lang + k, text(lang, k), f"l{lang:03}") for lang in range(150) for k in range(8 if lang % 2 else 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model[0]) == 150 and model[1].shape == (3, language.SLOTS)
+    assert language.identify(docs, model).where("lang_pred <> lang OR lang_score < 0.5").count() == 0
