@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Texts that stand for a missing value.
 NULL_WORDS = ("", "null", "none", "nan", "n/a", "na")
@@ -28,14 +29,71 @@ def columns(rows: DataFrame, names: list[str]) -> DataFrame:
 QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
 
 
+#: Ranges of values in one histogram.
+BUCKETS = 4096
+
+
+def quantiles(points: DataFrame, by: list[str], value: str, n: str, at: list[float]) -> DataFrame:
+    """by, q: exact interpolated quantiles of a double column of ``n`` rows a value, in the order of ``at``.
+
+    A histogram over the range of values finds the bucket that holds each wanted rank, and the next one runs over
+    the values of that bucket only, until it holds one value; no group meets in one task. Values that aren't finite
+    have buckets of their own. The groups and wanted ranks are few and collected to the driver.
+    """
+    x, finite = F.col(value), ~F.isnan(value) & (F.abs(value) != float("inf"))
+    # twice the halves, so that the width of the range can't overflow
+    bounds = [F.min(F.when(finite, x / 2)).alias("lo"), F.max(F.when(finite, x / 2)).alias("hi")]
+    totals = points.groupBy(*by).agg(F.sum(n).alias("n"), *bounds).collect()
+    spark, kinds = points.sparkSession, [points.schema[c] for c in by]
+    wanted, found = {}, {}
+    for g, r in enumerate(totals):
+        for p in at:
+            for rank in (math.floor(p * (r["n"] - 1)), math.ceil(p * (r["n"] - 1))):
+                wanted[g, rank] = ("all", r["lo"], r["hi"], 0)
+    fields = T.StructType([T.StructField("_g", T.IntegerType()), *[T.StructField(f"_by_{k.name}", k.dataType) for k in kinds], *[T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]])
+    while wanted:
+        ranges = {(g, lo, hi) for (g, _), (_, lo, hi, _) in wanted.items()}
+        edges = spark.createDataFrame([(g, *[totals[g][c] for c in by], lo, hi) for g, lo, hi in ranges], fields)
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        inside = x.between(2 * F.col("_lo"), 2 * F.col("_hi"))
+        whole = F.lit(not found and all(w[0] == "all" for w in wanted.values()))
+        rows = points.join(F.broadcast(edges), same & (whole | (finite & inside)))
+        place = F.floor(F.when(F.col("_hi") > F.col("_lo"), (x / 2 - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS).otherwise(0))
+        bucket = F.when(F.isnan(value), BUCKETS + 1).when(x == float("inf"), BUCKETS).when(x == float("-inf"), -1).otherwise(F.least(place, F.lit(BUCKETS - 1)))
+        counts = rows.groupBy("_g", "_lo", "_hi", bucket.alias("b")).agg(F.sum(n).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"))
+        order = Window.partitionBy("_g", "_lo", "_hi").orderBy("b")
+        through = counts.withColumn("through", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        held: dict = {}
+        for r in through.orderBy("through").collect():  # at most BUCKETS rows a range
+            held.setdefault((r["_g"], r["_lo"], r["_hi"]), []).append(r)
+        for (g, rank), (_, lo, hi, below) in list(wanted.items()):
+            r = next(r for r in held[g, lo, hi] if below + r["through"] > rank)
+            if r["least"] == r["most"] or math.isnan(r["least"]):
+                found[g, rank] = r["least"]
+                del wanted[g, rank]
+            else:
+                wanted[g, rank] = ("part", r["least"] / 2, r["most"] / 2, below + r["through"] - r["n"])
+    out = []
+    for g, r in enumerate(totals):
+        q = []
+        for p in at:
+            place = p * (r["n"] - 1)
+            lo, hi = math.floor(place), math.ceil(place)
+            a, b = found[g, lo], found[g, hi]
+            q.append(a if lo == hi or a == b else (hi - place) * a + (place - lo) * b)
+        out.append((*[r[c] for c in by], q))
+    return spark.createDataFrame(out, T.StructType([*kinds, T.StructField("q", T.ArrayType(T.DoubleType()))]))
+
+
 def amounts(rows: DataFrame, amount: str) -> DataFrame:
-    """Quantiles (interpolated), the upper fence, and the values beyond it; exact quantiles over value counts."""
+    """Quantiles (interpolated), the upper fence, and the values beyond it; exact quantiles by histograms of value counts."""
     points = rows.where(F.col(amount).isNotNull()).groupBy(amount).agg(F.count("*").alias("_n"))
-    stats = points.agg(
-        F.sum("_n").alias("n"), F.min(amount).alias("least"), F.max(amount).alias("greatest"),
-        F.expr(f"percentile({amount}, array({', '.join(map(str, QUANTILES.values()))}), _n)").alias("_q"),
-    )
-    stats = stats.select("n", "least", "greatest", *[F.col("_q")[k].alias(name) for k, name in enumerate(QUANTILES)])
+    stats = points.agg(F.sum("_n").alias("n"), F.min(amount).alias("least"), F.max(amount).alias("greatest"))
+    found = quantiles(points.select(F.col(amount).cast("double").alias("_x"), "_n"), [], "_x", "_n", list(QUANTILES.values()))
+    stats = stats.join(F.broadcast(found), F.lit(True), "left")
+    stats = stats.select("n", "least", "greatest", *[F.col("q")[k].alias(name) for k, name in enumerate(QUANTILES)])
     stats = stats.withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     beyond = F.coalesce(F.sum(F.when(F.col(amount) > F.col("fence"), F.col("_n"))), F.lit(0))
     joined = points.crossJoin(F.broadcast(stats))  # one row of statistics
@@ -43,6 +101,14 @@ def amounts(rows: DataFrame, amount: str) -> DataFrame:
     return joined.agg(*first, beyond.cast("long").alias("outliers"))
 
 
+def medians(rows: DataFrame, by: str, column: str, values: list[str], amount: str) -> DataFrame:
+    """by, and the exact median of each of ``values`` of a column; null where there is none."""
+    points = rows.where(F.col(amount).isNotNull() & F.col(column).isin(values)).groupBy(by, column, F.col(amount).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    found = quantiles(points, [by, column], "_x", "_n", [0.5])
+    every = rows.select(by).distinct().join(F.broadcast(found.withColumnRenamed(by, "_by")), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return every.groupBy(by).agg(*[F.max(F.when(F.col(column) == v, F.col("q")[0])).alias(v) for v in values])
+
+
 def outliers_by_group(rows: DataFrame, by: str, amount: str) -> DataFrame:
     """by, q1, q3, outliers: values beyond 1.5 interquartile ranges of their own group, on either side."""
     points = rows.where(F.col(amount).isNotNull()).groupBy(by, amount).agg(F.count("*").alias("_n"))

@@ -653,7 +653,7 @@ def eda_group_stats(spark, d):
 @query("""SELECT o_orderpriority, round(quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.5), 4) AS f, round(quantile_cont(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END, 0.5), 4) AS o,
 round(quantile_cont(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END, 0.5), 4) AS p FROM orders GROUP BY 1""")
 def eda_pivot_median(spark, d):
-    wide = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.median("o_totalprice"))
+    wide = profile.medians(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "o_totalprice")
     return wide.select("o_orderpriority", *[F.round(c, 4).alias(c.lower()) for c in "FOP"])
 
 

@@ -101,3 +101,19 @@ def test_profile_report(spark):
     rows = spark.createDataFrame([("a", 1), ("N/A", 2), (None, 2)], "x string, y int")
     data, text = profile.report({"columns": profile.columns(rows, ["x", "y"])})
     assert '"missing": 2' in data and "| x | 3 | 2 | 1 |" in text
+
+
+def test_quantiles_of_histograms_are_exact_without_one_group_in_one_task(spark):
+    import random
+
+    from reckon.operators import profile
+
+    draw = random.Random(1)
+    rows = [(g, float(x)) for g in ("a", None) for x in [draw.choice([draw.random(), draw.random() * 1e-9, -1e300, 7.0, 1e300]) for _ in range(2001)]] + [("one", 3.0)]
+    points = spark.createDataFrame(rows, "g string, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
+    at = [0.0, 0.25, 0.3333, 0.5, 0.95, 1.0]
+    got = {r["g"]: r["q"] for r in profile.quantiles(points, ["g"], "x", "n", at).collect()}
+    want = {r["g"]: r["q"] for r in points.groupBy("g").agg(F.expr(f"percentile(x, array({', '.join(map(str, at))}), n)").alias("q")).collect()}
+    assert got == want
+    plan = profile.amounts(points.where("g = 'a' AND abs(x) < 10"), "x")._jdf.queryExecution().toString()
+    assert "percentile" not in plan
