@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import keys
+from ..session import ship
 from .match import MATCHED
 
 DIFFERING = ("AMOUNT_MISMATCH", "STATUS_MISMATCH", "MULTIPLE_MISMATCH")
@@ -130,7 +135,72 @@ def page_after(rows: DataFrame, at: str, ident: str, after: tuple, size: int) ->
     return rows.where(beyond).orderBy(at, ident).limit(size + 1)
 
 
+#: Bytes of outcomes that are joined to one row before a group is hashed.
+CHUNK_BYTES = 1 << 14
+
+
+def _joined(by: list[str]):
+    """Sorted outcomes of each group and their counts, joined to chunks in rows of by, first, part, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first, part, held, size = None, None, 0, [], 0
+        for batch in batches:
+            types, out = [batch.schema.field(c).type for c in by], []
+            for *key, each, n in zip(*[c.to_pylist() for c in batch.columns]):
+                while n:
+                    if held and (key != group or size >= CHUNK_BYTES):
+                        out.append((*group, first, part, ",".join(held)))
+                        held, size, part = [], 0, part + 1
+                    if not held:
+                        group, first = key, each
+                    some = min(n, max(1, (CHUNK_BYTES - size) // (len(each) + 1)))
+                    held += [each] * some
+                    size, n = size + some * (len(each) + 1), n - some
+            yield rows(out, types)
+        if held:
+            yield rows([(*group, first, part, ",".join(held))], types)
+
+    def rows(out: list[tuple], types: list) -> pa.RecordBatch:
+        kinds = [*types, pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[*by, "first", "part", "text"])
+
+    return run
+
+
+def _digests(by: list[str]):
+    """The MD5 of each group's sorted chunks, of which one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            types, out = [batch.schema.field(c).type for c in by], []
+            for *key, _, _, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if state is None or key != group:
+                    if state is not None:
+                        out.append((*group, state.hexdigest()))
+                    group, state = key, hashlib.md5(text.encode())
+                else:
+                    state.update(b"," + text.encode())
+            yield rows(out, types)
+        if state is not None:
+            yield rows([(*group, state.hexdigest())], types)
+
+    def rows(out: list[tuple], types: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate([*types, pa.string()])], names=[*by, "fingerprint"])
+
+    return run
+
+
 def results_fingerprint(results: DataFrame, by: list[str]) -> DataFrame:
-    """An MD5 of the sorted outcomes of each group; the group's outcomes meet in one row, so groups are partner days."""
+    """An MD5 of the sorted outcomes of each group of any size.
+
+    Outcomes are counted, sorted by ranges and joined to chunks in many tasks; an MD5 has to be
+    taken in order, so one task reads a group's chunks, and holds a batch of them.
+    """
+    ship(results.sparkSession)
     each = F.concat_ws(":", F.coalesce("reconciliation_key", F.lit("")), "reconciliation_status")
-    return results.groupBy(*by).agg(F.md5(F.array_join(F.array_sort(F.collect_list(each)), ",")).alias("fingerprint"))
+    counted = results.groupBy(*by, each.alias("each")).agg(F.count("*").alias("n"))
+    kinds = [counted.schema[c] for c in by]
+    chunks = T.StructType([*kinds, T.StructField("first", T.StringType()), T.StructField("part", T.LongType()), T.StructField("text", T.StringType())])
+    ranged = counted.repartitionByRange(*by, "each").sortWithinPartitions(*by, "each").mapInArrow(_joined(by), chunks)
+    return ranged.repartition(*by).sortWithinPartitions(*by, "first", "part").mapInArrow(_digests(by), T.StructType([*kinds, T.StructField("fingerprint", T.StringType())]))

@@ -117,3 +117,14 @@ def test_quantiles_of_histograms_are_exact_without_one_group_in_one_task(spark):
     assert got == want
     plan = profile.amounts(points.where("g = 'a' AND abs(x) < 10"), "x")._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_fingerprints_of_large_days_are_not_collected_in_a_row(spark):
+    day = F.when(F.col("id") % 10 < 9, F.lit("hot")).when(F.col("id") % 20 < 10, F.lit("cold"))
+    key = F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 5000))
+    results = spark.range(30_000).select(day.alias("date"), key.alias("reconciliation_key"), F.lit("MATCHED").alias("reconciliation_status"))
+    each = F.concat_ws(":", F.coalesce("reconciliation_key", F.lit("")), "reconciliation_status")
+    want = results.groupBy("date").agg(F.md5(F.array_join(F.array_sort(F.collect_list(each)), ",")).alias("fingerprint"))
+    got = metrics.results_fingerprint(results, ["date"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "collect_list" not in got._jdf.queryExecution().toString()
