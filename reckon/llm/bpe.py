@@ -2,8 +2,9 @@
 
 A pair of bytes that occurs inside no token of the vocabulary can never be
 merged across, so the encoder cuts there (as it does between the pieces of the
-pre-tokeniser), encodes the fragments independently and concatenates. Equal
-fragments are encoded once by a worker.
+pre-tokeniser), encodes the fragments independently and concatenates: all new
+fragments of a batch merge side by side, and equal words are encoded once while
+a worker remembers them.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 special tokens written in a text become their ids; ids beyond the vocabulary
@@ -13,20 +14,22 @@ are skipped by decoding. Columns ``ids`` and ``decoded`` of the input are replac
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import prepare, slices, table, text_column
 from .pretokens import PieceCache, encoded
 
 _END = "</w>"
-#: Fragments cached by a Python worker before it starts afresh.
-FRAGMENTS = 50_000
+#: The rank of a pair that never merges, slots of the table of merges (as a power of two), and the hash's factor.
+NEVER, _TABLE, _SPREAD = (1 << 31) - 1, 18, np.int64(0x1E3779B97F4A7C15)
 
 
 def byte_signs() -> list[str]:
@@ -43,10 +46,10 @@ class WordBPE:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, signs = spec["model"]["vocab"], byte_signs()
-        self.first = [vocab[s] for s in signs]
-        self.final = [vocab[s + _END] for s in signs]
+        self.first = np.array([vocab[s] for s in signs], np.int64)
+        self.final = np.array([vocab[s + _END] for s in signs], np.int64)
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self._tabulate([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.names = {i: t.encode() for t, i in (*vocab.items(), *self.special.items())}
@@ -56,65 +59,81 @@ class WordBPE:
         for token in vocab:
             raw = [self.byte[c] for c in token.removesuffix(_END)]
             self.inside[raw[:-1], raw[1:]] = True
-        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
-        self.cache = PieceCache(self.words)
-
-    def _merge(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best, new = None, 0
-            for pair in zip(ids, ids[1:]):
-                found = merges.get(pair)
-                if found is not None and (best is None or found[0] < best[0]):
-                    best, new = (found[0], pair), found[1]
-            if best is None:
-                break
-            a, b = best[1]
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if ids[k] == a and k + 1 < n and ids[k + 1] == b:
-                    out.append(new)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
-        return ids
-
-    def _fragment(self, raw: bytes, ends: bool) -> list[int]:
-        key = (raw, ends)
-        found = self.fragments.get(key)
-        if found is None:
-            ids = [self.first[b] for b in raw]
-            if ends:
-                ids[-1] = self.final[raw[-1]]
-            found = self._merge(ids)
-            if len(raw) <= 8:
-                if len(self.fragments) > FRAGMENTS:
-                    self.fragments.clear()
-                self.fragments[key] = found
-        return found
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        return self.pieces([w.encode("utf-8") for w in words])
-
-    def pieces(self, raws: list[bytes]) -> list[list[int]]:
-        """Ids of normalised words, each cut where the vocabulary forces a boundary."""
-        sizes = np.array([len(r) for r in raws], np.int64)
+        self.cache = PieceCache(self.pieces)
+        self.shown = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.binary())
+
+    def _tabulate(self, merges: list[tuple[int, int, int]]) -> None:
+        """Pairs, their ranks and what they become, in an open hash table."""
+        self.keys = np.full(1 << _TABLE, -1, np.int64)
+        self.rank = np.full(1 << _TABLE, NEVER, np.int32)
+        self.into = np.zeros(1 << _TABLE, np.int64)
+        for rank, (a, b, both) in enumerate(merges):
+            key = a << 32 | b
+            slot = (key * int(_SPREAD) % (1 << 64)) >> (64 - _TABLE)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % (1 << _TABLE)
+            self.keys[slot], self.rank[slot], self.into[slot] = key, rank, both
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (``NEVER`` without one) of each pair of ids, and its place in the table of merges."""
+        key = left.astype(np.int64) << 32 | right
+        slot = (key * _SPREAD) >> (64 - _TABLE) & ((1 << _TABLE) - 1)
+        found = self.keys[slot]
+        odd = np.flatnonzero((found != key) & (found >= 0))
+        while len(odd):  # taken by another pair: the next slot
+            slot[odd] = (slot[odd] + 1) & ((1 << _TABLE) - 1)
+            found[odd] = self.keys[slot[odd]]
+            odd = odd[(found[odd] != key[odd]) & (found[odd] >= 0)]
+        return self.rank[slot], slot
+
+    def merged(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merged ids of fragments that lie end to end, and how many each has.
+
+        In each round every fragment merges its pair of lowest rank wherever it occurs, left to right;
+        fragments without a pair to merge are set aside.
+        """
+        whose = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(ids)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            inside = whose[1:] == whose[:-1]
+            rank, slot = np.full(len(ids), NEVER, np.int32), np.zeros(len(ids), np.int64)
+            at = np.flatnonzero(inside)
+            rank[at], slot[at] = self._ranks(ids[at], ids[at + 1])
+            first = np.concatenate([[0], np.flatnonzero(~inside) + 1])
+            least = np.minimum.reduceat(rank, first)
+            size = np.diff(first, append=len(ids))
+            going = np.repeat(least < NEVER, size)
+            if not going.all():
+                done.append((ids[~going], whose[~going]))
+            hit = going & (rank == np.repeat(least, size))
+            where = np.flatnonzero(hit)
+            touching = np.diff(where, prepend=-2) == 1  # a pair of equal ids may overlap itself
+            if touching.any():
+                run = np.maximum.accumulate(np.where(touching, 0, np.arange(len(where))))
+                where = where[(np.arange(len(where)) - run) % 2 == 0]
+            ids = ids.copy()
+            ids[where] = self.into[slot[where]]
+            going[where + 1] = False
+            ids, whose = ids[going], whose[going]
+        if not done:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, owner = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return flat[order].astype(np.uint32), np.bincount(owner, minlength=len(starts))
+
+    def pieces(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised words end to end, each cut where the vocabulary forces a boundary, and how many each has."""
+        size = np.array([len(r) for r in raws], np.int64)
         flat = np.frombuffer(b"".join(raws), np.uint8)
-        forced = np.zeros(len(flat), bool)
+        ends = np.cumsum(size)
+        forced = np.ones(len(flat), bool)
         forced[1:] = ~self.inside[flat[:-1], flat[1:]]
-        ends = np.cumsum(sizes)
-        cuts = np.flatnonzero(forced)
-        lo, hi = np.searchsorted(cuts, ends - sizes, "right"), np.searchsorted(cuts, ends, "left")
-        out = []
-        for raw, end, a, b in zip(raws, ends.tolist(), lo.tolist(), hi.tolist()):
-            if a == b:
-                out.append(self._fragment(raw, True))
-                continue
-            at = [0, *(cuts[a:b] - (end - len(raw))).tolist(), len(raw)]
-            out.append([i for k in range(len(at) - 1) for i in self._fragment(raw[at[k] : at[k + 1]], k == len(at) - 2)])
-        return out
+        forced[ends[:-1]] = True
+        ids = self.first[flat]
+        ids[ends - 1] = self.final[flat[ends - 1]]
+        starts = np.flatnonzero(forced)
+        merged, many = self.merged(ids, starts)
+        return merged, np.add.reduceat(many, np.searchsorted(starts, ends - size))
 
     def general(self, text: str) -> list[int]:
         """Ids of a text beyond the fast path: the library normalises and splits it, as its Unicode tables decide."""
@@ -128,16 +147,24 @@ class WordBPE:
                 out.append(self.special[part])
             elif part:
                 words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
-                for ids in self.pieces([bytes(map(self.byte.__getitem__, w)) for w, _ in words]) if words else []:
-                    out.extend(ids)
+                if words:
+                    out.extend(self.pieces([bytes(map(self.byte.__getitem__, w)) for w, _ in words])[0].tolist())
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list) -> list[np.ndarray]:
         return encoded(texts, self.cache, self.general, spaced=False, lower=True)
 
-    def decode(self, ids: np.ndarray) -> str:
-        names = self.names
-        return b" ".join([names[i] for i in ids.tolist() if i in names]).decode()
+    def decode(self, ids: list[np.ndarray]) -> pa.Array:
+        """The UTF-8 text of each row of ids."""
+        sizes = [len(x) for x in ids]
+        flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        names = self.shown.take(pa.array(np.minimum(flat, len(self.shown) - 1)))
+        inside = (flat < len(self.shown)) & names.is_valid().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        if not inside.all():
+            offsets = np.concatenate([[0], np.cumsum(inside)])[offsets]
+            names = names.filter(pa.array(inside))
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), names), b" ")
 
 
 @functools.lru_cache(2)
@@ -160,7 +187,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bpe = load(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [x.astype("<u4").tobytes() for x in bpe.encode(text_column(part).to_pylist())]
+                ids = [x.astype("<u4").tobytes() for x in bpe.encode(text_column(part))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "ids"])
 
     return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("ids", "binary"))
@@ -177,19 +204,30 @@ def decode(docs: DataFrame, path: str) -> DataFrame:
             column = batch.column(batch.schema.get_field_index("ids")).to_pylist()
             step = 100
             for at in range(0, len(column), step):
-                text = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in column[at : at + step]]
+                text = bpe.decode([np.frombuffer(x or b"", "<u4") for x in column[at : at + step]])
                 part = batch.slice(at, step)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], names=[*part.schema.names, "decoded"])
 
     return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("decoded", "string"))
 
 
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the text they decode to, of every document; no text leaves Python."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for part in slices(batch):
+                ids = bpe.encode(text_column(part))
+                shas = [[hashlib.sha256(x).hexdigest() for x in column] for column in ([x.astype("<u4").tobytes() for x in ids], bpe.decode(ids).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, shas)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
+
+    own = docs.select("doc_id", "text")
+    return own.mapInArrow(run, own.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    path = path or vocabulary_path()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
-    return decode(ids, path).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(table(spark, sf_dir, "documents"), path or vocabulary_path())

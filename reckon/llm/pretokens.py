@@ -1,8 +1,9 @@
 """Vectorised splitting of texts into the pieces that BPE merges stay within, and a cache of encoded pieces.
 
-The fast path covers Latin letters, digits, white space and ASCII signs; a
-text with any other character or a special token's mark takes the caller's
-general path, so results do not depend on the path taken.
+The fast path works on UTF-8 bytes and covers Latin letters, digits, white
+space and ASCII signs; a text with any other character or a special token's
+mark takes the caller's general path, so results do not depend on the path
+taken. Pieces are told apart by their bytes, never by a hash alone.
 """
 
 from __future__ import annotations
@@ -10,58 +11,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-from .common import span_hashes
+from .common import text_bytes
 
 LETTER, DIGIT, BLANK, SIGN = 1, 2, 3, 4
-_LIMIT = 0x250
-#: Pieces cached by a Python worker before it starts afresh (about 60 MB; workers outlive their tasks, and keep it).
+#: Pieces in each of the two generations that a Python worker keeps (about 20 MB each; workers outlive their tasks, and keep them).
 CACHE = 100_000
 
 
-def _classes() -> np.ndarray:
-    out = np.zeros(_LIMIT + 1, np.uint8)
+def _kinds() -> np.ndarray:
+    """The kind of each byte; 0xC3 to 0xC9 lead the Latin letters from U+00C0 on, and 0 is beyond the fast path."""
+    out = np.zeros(256, np.uint8)
     out[0x21:0x7F] = SIGN
     out[[9, 10, 11, 12, 13, 32]] = BLANK
     out[0x30:0x3A] = DIGIT
     out[0x41:0x5B] = out[0x61:0x7B] = LETTER
-    out[0xC0:_LIMIT] = LETTER
-    out[[0xD7, 0xF7]] = 0
+    out[0x80:0xC0] = out[0xC3:0xCA] = LETTER
     return out
 
 
-CLASSES = _classes()
+KINDS = _kinds()
 
 
-def _lower() -> np.ndarray:
-    """Lower-case code points; one that lower-cases to several or beyond the table maps to the unsupported end."""
-    out = np.arange(_LIMIT + 1, dtype=np.uint32)
-    for c in range(_LIMIT):
-        low = chr(c).lower()
-        out[c] = ord(low) if len(low) == 1 and ord(low) < _LIMIT else _LIMIT
-    return out
-
-
-LOWER = _lower()
-
-
-def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, end to end, and where each text begins."""
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
-
-
-def plain(texts: list[str | None]) -> np.ndarray:
+def plain(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Which texts the fast path covers."""
-    clear = np.array([bool(x) and "<|" not in x for x in texts], bool)
-    points, offsets = code_points([x or "" for x in texts])
-    odd = np.concatenate([[0], np.cumsum(CLASSES[np.minimum(LOWER[np.minimum(points, _LIMIT)], _LIMIT)] == 0)])
-    return clear & (odd[offsets[1:]] == odd[offsets[:-1]])
+    odd = kind == 0
+    ahead = raw[1:]
+    times = (ahead == 0x97) | (ahead == 0xB7)  # after 0xC3 the signs for times and divided by
+    odd[:-1] |= ((raw[:-1] == 0xC3) & times) | ((raw[:-1] == ord("<")) & (ahead == ord("|")))
+    at = np.flatnonzero(odd)
+    clear = np.diff(offsets) > 0
+    clear[np.searchsorted(offsets, at, "right") - 1] = False
+    return clear
 
 
-def _clitics(points: np.ndarray, kind: np.ndarray, quote: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _clitics(raw: np.ndarray, quote: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the lone apostrophes at ``quote``, those that take 's 't 'm 'd or 're 've 'll along, and how many letters."""
-    padded = np.concatenate([points, np.zeros(3, points.dtype)])
+    padded = np.concatenate([raw, np.zeros(3, raw.dtype)])
     one, two = padded[quote + 1], padded[quote + 2]
     short = np.isin(one, [ord(c) for c in "stmd"])
     ends = np.concatenate([edge, np.ones(3, bool)])
@@ -70,36 +57,35 @@ def _clitics(points: np.ndarray, kind: np.ndarray, quote: np.ndarray, edge: np.n
     return quote[take], np.where(short, 1, 2)[take]
 
 
-def pieces(points: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, and the index of each text's first piece, for texts of the fast path.
 
     ``spaced``: white space is kept, a blank joins the piece after it, and runs
     of digits stay whole. Otherwise white space is dropped and digits stand alone.
     """
-    n = len(points)
+    n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    kind = CLASSES[points]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     run = edge[:n].copy()
     run[1:] |= kind[1:] != kind[:-1]
     blank = kind == BLANK
-    last = np.zeros(n, bool)  # white space right before something else in the same text
-    last[:-1] = blank[:-1] & ~blank[1:] & ~edge[1:n]
     lone = np.zeros(n, bool)
-    lone[:-1] = run[:-1] & (points[:-1] == 39) & (kind[1:] == LETTER) & ~edge[1:n]
-    start = run.copy()
+    lone[:-1] = run[:-1] & (raw[:-1] == 39) & (kind[1:] == LETTER) & ~edge[1:n]
+    start = run
     if spaced:
+        last = np.zeros(n, bool)  # white space right before something else in the same text
+        last[:-1] = blank[:-1] & ~blank[1:] & ~edge[1:n]
         joined = np.zeros(n, bool)
-        joined[1:] = last[:-1] & (points[:-1] == 32)
+        joined[1:] = last[:-1] & (raw[:-1] == 32)
         start |= last
         start &= ~joined
         lone &= ~joined
     else:
         start |= kind == DIGIT
         start &= ~blank
-    quote, letters = _clitics(points, kind, np.flatnonzero(lone), edge)
+    quote, letters = _clitics(raw, np.flatnonzero(lone), edge)
     if len(quote):
         start[quote + 1] = False
         after = quote + 1 + letters
@@ -117,71 +103,81 @@ def pieces(points: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.nd
 
 
 class PieceCache:
-    """Encoded pieces by hash, in growing flat arrays."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode = encode
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.size = np.zeros(1 << 12, np.int64)
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.uint32)
-        self.used = 0
-
-    def _add(self, hashes: list[int], ids: list[list[int]]) -> None:
-        at, sizes = len(self.known), np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        while at + len(ids) > len(self.size):
-            self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.size[at : at + len(ids)] = sizes
-        self.begin[at : at + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        for k, h in enumerate(hashes):
-            self.known[h] = at + k
-
-    def ids(self, texts: list[str], points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces end to end, and how many each piece has."""
-        if len(self.known) > CACHE:
-            self.clear()
-        hashes, first, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        known = self.known
-        missing = [k for k, h in enumerate(keys) if h not in known]
+    """Ids of pieces by the pieces' bytes, in two generations: a piece met again outlives one met once.
+
+    ``encode`` gives the ids of new pieces end to end, as unsigned 32-bit integers, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], room: int = CACHE):
+        self.encode, self.room = encode, room
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _known(self, keys: list[bytes]) -> list[bytes]:
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        missing = []
+        for at, value in enumerate(found):
+            if value is None:
+                value = old.get(keys[at])
+                if value is None:
+                    missing.append(at)
+                else:
+                    found[at] = young[keys[at]] = value
         if missing:
-            whole = "".join(texts)
-            where = first[missing]
-            words = [whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            self._add([keys[k] for k in missing], self.encode(words))
-        row = np.fromiter((known[h] for h in keys), np.int64, len(keys))[back]
-        size = self.size[row]
+            ids, many = self.encode([keys[at] for at in missing])
+            flat, begin = ids.astype("<u4").tobytes(), 0
+            for at, end in zip(missing, (4 * np.cumsum(many)).tolist()):
+                found[at] = young[keys[at]] = flat[begin:end]
+                begin = end
+        if len(young) > self.room:
+            self.young, self.old = {}, young
+        return found
+
+    def ids(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, and how many each piece has."""
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        size = ends - starts
+        if (starts[1:] != ends[:-1]).any() or starts[0] or ends[-1] != len(raw):
+            inside = np.zeros(len(raw) + 1, np.int8)
+            inside[starts] = 1
+            inside[ends] -= 1
+            raw = raw[np.add.accumulate(inside[:-1], dtype=np.int8).astype(bool)]
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(size, out=offsets[1:])
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
+        coded = held.dictionary_encode()
+        values = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        row = coded.indices.to_numpy()
+        many = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat = np.frombuffer(b"".join(values), "<u4")
+        begin = np.cumsum(many) - many
+        size = many[row]
         total = np.cumsum(size)
-        out = np.repeat(self.begin[row] - total + size, size) + np.arange(total[-1] if len(total) else 0)
-        return self.flat[out], size
+        return flat[np.repeat(begin[row] - total + size, size) + np.arange(total[-1])], size
 
 
-def encoded(
-    texts: list[str | None], cache: PieceCache, general: Callable[[str], list[int]], spaced: bool, lower: bool
-) -> list[np.ndarray]:
+def encoded(texts: pa.Array | list, cache: PieceCache, general: Callable[[str], list[int]], spaced: bool, lower: bool) -> list[np.ndarray]:
     """Ids of each text: pieces from the cache where the fast path covers it, else by ``general``."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.string())
     out: list = [None] * len(texts)
-    fast = plain(texts)
+    shown = pa.array([x and x.lower() for x in texts.to_pylist()], pa.string()) if lower else texts
+    raw, offsets = text_bytes(shown)
+    kind = KINDS[raw]
+    fast = plain(raw, offsets, kind)
     rows = np.flatnonzero(fast)
     if len(rows):
-        chosen = [texts[r] for r in rows]
-        points, offsets = code_points(chosen)
-        if lower:
-            points = LOWER[points]
-            chosen = ["".join(chosen).lower()]
-        starts, ends, first = pieces(points, offsets, spaced)
-        ids, size = cache.ids(chosen, points, starts, ends)
+        if len(rows) < len(texts):
+            keep = np.repeat(fast, np.diff(offsets))
+            raw, kind, offsets = raw[keep], kind[keep], np.concatenate([[0], np.cumsum(np.diff(offsets)[rows])])
+        starts, ends, first = pieces(raw, offsets, kind, spaced)
+        ids, size = cache.ids(raw, starts, ends)
         total = np.concatenate([[0], np.cumsum(size)])
         for r, a, b in zip(rows.tolist(), total[first[:-1]].tolist(), total[first[1:]].tolist()):
             out[r] = ids[a:b]
     for r in np.flatnonzero(~fast).tolist():
-        out[r] = np.array(general(texts[r]) if texts[r] else [], np.uint32)
+        text = texts[r].as_py()
+        out[r] = np.array(general(text) if text else [], np.uint32)
     return out

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import prepare, shared_path, slices, table, text_column
-from .pretokens import PieceCache, encoded
+from .pretokens import BLANK, CACHE, KINDS, PieceCache, encoded
 
 MAGIC = b"RKS8B001"
 #: Ids in a block at most; it bounds what a reader must decode to reach one document.
@@ -46,13 +46,11 @@ _FOOTER = struct.Struct("<QQQ8s")
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits of each id (1 for 0)."""
-    out = np.ones(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(step) > 0
-        out[big] += step
-        rest[big] >>= np.uint64(step)
+    """Bits of each id (1 for 0): the exponent of its double, which is exact once ids beyond 2**52 are shifted."""
+    big = ids >> np.uint64(52) > 0
+    low = np.where(big, ids >> np.uint64(12), ids) if big.any() else ids
+    out = np.maximum((low.astype(np.float64).view(np.int64) >> 52) - 1022, 1).astype(np.uint8)
+    out[big] += 12
     return out
 
 
@@ -208,12 +206,39 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = PieceCache(lambda w: [e.ids for e in self.tokenizer.encode_batch_fast(w, add_special_tokens=False)])
+        self.line_end = self._batch(["\n"])[0]
+        self.cache = PieceCache(self.pieces, 3 * CACHE)
+
+    def _batch(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces end to end, and how many each has.
+
+        A line end before and after a piece that ends in no white space is a piece of its own, so such
+        pieces are encoded as the lines of one text; the line end's id tells them apart.
+        """
+        last = np.array([r[-1] for r in raws], np.uint8)
+        solid = KINDS[last] != BLANK
+        if len(self.line_end) != 1 or not solid.any():
+            ids = self._batch([r.decode() for r in raws])
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        lines = np.array(self._batch([b"\n".join([r for r, x in zip(raws, solid.tolist()) if x]).decode()])[0] + self.line_end, np.uint32)
+        ends = np.flatnonzero(lines == self.line_end[0])
+        if solid.all():
+            return lines[lines != self.line_end[0]], np.diff(ends, prepend=-1) - 1
+        blank = self._batch([raws[k].decode() for k in np.flatnonzero(~solid).tolist()])
+        many = np.zeros(len(raws), np.int64)
+        many[solid], many[~solid] = np.diff(ends, prepend=-1) - 1, [len(x) for x in blank]
+        whose = np.repeat(solid, many)
+        out = np.zeros(len(whose), np.uint32)
+        out[whose], out[~whose] = lines[lines != self.line_end[0]], [i for x in blank for i in x]
+        return out, many
 
     def general(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list) -> list[np.ndarray]:
         return encoded(texts, self.cache, self.general, spaced=True, lower=False)
 
 
@@ -250,7 +275,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list
             writer = ShardWriter(stream)
             for batch in batches:
                 for part in slices(batch):
-                    ids = bpe.encode(text_column(part).to_pylist())
+                    ids = bpe.encode(text_column(part))
                     for doc_id, x in zip(part.column(0).to_pylist(), ids):
                         writer.add(doc_id, np.append(x, np.uint32(end_id)))
             writer.close()
