@@ -1,39 +1,39 @@
-"""Removal of line chunks that repeat anywhere in the corpus, with content-defined boundaries.
-
-Lines are hashed and rolling hashes over one or two line hashes, looking back
-and ahead, choose the cuts between lines; a passage is therefore cut alike in
-every document that holds it, whatever stands before it. Several rounds with
-other cuts catch passages that one round joins to their neighbours. A chunk
-counts if it has two lines or more, or one line of ``MIN_WORDS`` words or more,
-and any visible character. Chunks with equal hashes are compared byte by byte;
-the occurrence in the smallest (doc_id, position) stays and the others are cut.
-Only DataFrame functions are used.
-
-The cuts miss short passages, so ``op9_line_dedup``, whose SQL defines them, keeps
-part of what repeats. Without rounds (``RUNS``, ``op9_line_runs``) no cuts are made:
-every two adjacent lines are a chunk, as are a line with the next visible one and
-the blank lines between, and a line of ``MIN_WORDS`` words. Their union is the
-longest equal runs, so a run of two lines goes whatever stands around it; only
-blank lines at the edge of a run, beyond one, stay.
+"""Removal of chunks of lines that repeat anywhere in the corpus, with content-defined boundaries.
+
+A rolling hash over the hashes of adjacent lines passes over every text, in
+windows of two lines; so do a line with the next visible one and the blank lines
+between, and a line of ``MIN_WORDS`` words alone. The hashes are counted over
+the corpus. A chunk begins where the rolling hash becomes one that occurs
+elsewhere and ends where it ceases to, so its boundaries depend on its own lines
+alone and move with them: a run of two lines is found whatever stands around it.
+Each window points to the place of its first occurrence, the smallest (doc_id,
+position); lines there are sent to the later copies, and a line goes only if it
+equals the line it points to byte for byte. Windows without a visible character
+do not count. Only DataFrame functions are used.
+
+Frequent windows and lines are salted: those that hold a ``PARTS``-th of all
+rows or more are at most ``PARTS``, so their list is broadcast, and their rows
+are dealt over as many salts as their share asks for. All other joins shuffle at
+every size, as no bound of theirs is known.
 
 Defined results: a null text stays null and counts no lines; an empty text has
 one empty line; null doc_ids come last in the order of occurrences; rows of
 equal id and text are one document and are cut alike; other columns are kept.
+Blank lines at the edge of a chunk, beyond one, stay.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import dropped, stored, table
 
-#: Lines in the rolling window of each round.
-ROUNDS = (1, 2, 1, 2)
-#: No rounds: the chunks are all windows instead.
-RUNS = ()
 #: A single line is a chunk of its own if it has so many words.
 MIN_WORDS = 50
+#: Keys that hold this part of all rows are salted.
+PARTS = 1024
 _WORD = r"[^\x20\x09-\x0D]+"
+_NONE = "array<struct<start:int,n:int>>"
 
 
 def _ident() -> Column:
@@ -45,116 +45,98 @@ def _lines() -> Column:
     return F.split("text", "\n", -1)
 
 
-def _picked(value: Column, seed: int) -> Column:
-    """One value in two, by a multiplicative hash of its own for each seed."""
-    scrambled = value.bitwiseXOR(F.lit(seed * 1540483477 % (1 << 28))) * F.lit((2654435761 * (2 * seed + 1)) % (1 << 32) | 1)
-    return F.shiftright(scrambled.bitwiseAND(F.lit((1 << 32) - 1)), 13) % 2 == 0
-
-
-def _bounds(lines: Column, hashes: Column, seed: int, window: int) -> Column:
-    """0, the index of every line before which the text is cut, and the number of lines."""
-    n = F.size(lines)
-    mask = F.lit((1 << 28) - 1)
-
-    def rolled(first: Column, second: Column) -> Column:
-        return (first * 31 + second).bitwiseAND(mask)
-
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(hashes, i), F.lit(0))
-
-    def cut(i: Column) -> Column:
-        if window == 1:
-            back, ahead = at(i - 1), at(i)
-        else:
-            back, ahead = rolled(at(i - 2), at(i - 1)), rolled(at(i), at(i + 1))
-        return _picked(back, 2 * seed) | _picked(ahead, 2 * seed + 1)
-
-    inner = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), cut)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(F.lit(0)), inner, F.array(n))
-
-
-def _spans(bounds: Column) -> Column:
-    return F.zip_with(
-        F.slice(bounds, 1, F.size(bounds) - 1),
-        F.slice(bounds, 2, F.size(bounds) - 1),
-        lambda a, b: F.struct(a.alias("start"), (b - a).alias("n")),
-    )
+def _upto(last: Column) -> Column:
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def _windows(lines: Column) -> Column:
     """start, n of all windows that count: adjacent lines, visible lines with the blank ones between, and long lines."""
 
-    def upto(last: Column) -> Column:
-        return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-
     def seen(i: Column) -> Column:
-        return F.get(lines, i).rlike(_WORD)
+        return F.get(F.col("seen"), i)
 
     def long(i: Column) -> Column:
-        return (F.length(F.get(lines, i)) >= 2 * MIN_WORDS - 1) & (F.regexp_count(F.get(lines, i), F.lit(_WORD)) >= MIN_WORDS)
+        line = F.get(lines, i)
+        return (F.length(line) >= 2 * MIN_WORDS - 1) & (F.regexp_count(line, F.lit(_WORD)) >= MIN_WORDS)
 
     def spans(starts: Column, n: int) -> Column:
         return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
 
-    visible = F.filter(upto(F.size(lines) - 1), seen)
-    gaps = F.transform(_spans(visible), lambda s: F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n")))
-    gaps = F.when(F.size(visible) > 1, F.filter(gaps, lambda s: s["n"] > 3)).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-    pairs = F.filter(upto(F.size(lines) - 2), lambda i: seen(i) | seen(i + 1))
-    return F.concat(spans(pairs, 2), spans(F.filter(upto(F.size(lines) - 1), long), 1), gaps)
+    every = _upto(F.size(lines) - 1)
+    visible = F.filter(every, seen)
+    after = F.slice(visible, 2, F.size(visible))
+    gaps = F.zip_with(visible, after, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("n")))
+    gaps = F.filter(gaps, lambda s: s["n"] > 3)  # nulls, as after the last visible line, do not pass
+    pairs = F.filter(_upto(F.size(lines) - 2), lambda i: seen(i) | seen(i + 1))
+    return F.concat(spans(pairs, 2), spans(F.filter(every, long), 1), gaps)
 
 
-def chunks(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
-    """ident, doc_id, start, n, hash: the chunks that count, of every document."""
+def windows(docs: DataFrame) -> DataFrame:
+    """ident, doc_id, start, n, and a hash of 128 bits (h, g) over the line hashes, of every window that counts."""
     lines = docs.where(F.col("text").isNotNull()).select(_ident().alias("ident"), "doc_id", _lines().alias("lines"))
-    if not rounds:  # hashed before they are laid out in rows, which would each carry all lines
-        hashes = F.transform(_windows(F.col("lines")), lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.xxhash64(_chunk(s["start"], s["n"])).alias("hash")))
-        return lines.select("ident", "doc_id", F.inline(hashes))
-    hashed = lines.withColumn("hashes", F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
-    found = [_spans(_bounds(F.col("lines"), F.col("hashes"), k, w)) for k, w in enumerate(rounds)]
-    spans = hashed.select("ident", "doc_id", "lines", F.explode(F.array_distinct(F.concat(*found))).alias("span"))
-    part = spans.select("ident", "doc_id", "span.start", "span.n", _chunk(F.col("span.start"), F.col("span.n")).alias("chunk"))
-    single = (F.length("chunk") >= 2 * MIN_WORDS - 1) & (F.regexp_count("chunk", F.lit(_WORD)) >= MIN_WORDS)
-    counts = ((F.col("n") >= 2) & F.col("chunk").rlike(_WORD)) | single
-    return part.where(counts).select("ident", "doc_id", "start", "n", F.xxhash64("chunk").alias("hash"))
-
-
-def _chunk(start: Column, n: Column) -> Column:
-    return F.array_join(F.slice(F.col("lines"), start + 1, n), "\n")
-
-
-def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col("ident").alias("id"), F.col("start").alias("at"))
-
-
-def repeats(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
-    """ident, cuts: the spans of each document that repeat an earlier chunk byte for byte."""
-    found = stored(chunks(docs, rounds), "chunks")
-    place = found.withColumn("place", _place())
-    twice = place.groupBy("hash").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo != hi").select("hash")
-    hits = found.join(twice, "hash", "left_semi").groupBy("ident").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    held = docs.where(F.col("text").isNotNull()).select(_ident().alias("ident"), "doc_id", "text").join(hits, "ident")
-    held = held.select("ident", "doc_id", "spans", _lines().alias("lines"))
-    held = held.select("ident", "doc_id", F.inline(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), _chunk(s["start"], s["n"]).alias("bytes")))))
-    held = stored(held.withColumn("hash", F.xxhash64("bytes")), "repeated")
-    first = held.withColumn("place", _place()).groupBy("hash", "bytes").agg(F.min("place").alias("first"))
-    later = held.withColumn("place", _place()).join(first, ["hash", "bytes"]).where("place != first")
-    return later.groupBy("ident").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
-
-
-def dedup_lines(docs: DataFrame, rounds=ROUNDS) -> DataFrame:
+    lines = lines.select(
+        "ident",
+        "doc_id",
+        "lines",
+        F.transform("lines", lambda x: x.rlike(_WORD)).alias("seen"),
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("h"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("g"),
+    )
+
+    def rolled(hashes: str, s: Column) -> Column:
+        return F.xxhash64(F.slice(hashes, s["start"] + 1, s["n"]))
+
+    found = F.transform(_windows(F.col("lines")), lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), rolled("h", s).alias("h"), rolled("g", s).alias("g")))
+    return lines.select("ident", "doc_id", F.inline(found))
+
+
+def _salted(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``keys`` (which has ``count``, the rows of each key) with a salt that deals the rows of frequent keys."""
+    hot = keys.where(F.col("count") * PARTS >= F.lit(total)).select(*on, F.ceil(F.col("count") * PARTS / F.lit(max(1, total))).cast("int").alias("salts"))
+    dealt = rows.join(F.broadcast(hot), on, "left")  # at most PARTS keys
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("ident", "at"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    many = F.when(F.col("count") * PARTS >= F.lit(total), F.ceil(F.col("count") * PARTS / F.lit(max(1, total)))).otherwise(1).cast("int")
+    return dealt, keys.withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("count")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """ident, cuts: of each document the lines that repeat earlier ones, as (at, line), ``line`` being the earlier one's bytes."""
+    found = stored(windows(docs).withColumnRenamed("start", "at"), "windows")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), "ident", "at")
+    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("hi"), F.count("*").alias("count")).where("first <> hi").drop("hi")
+    first = stored(first, "first")
+    dealt, keys = _salted(found, first, ["h", "g"], found.count())
+    later = dealt.join(keys.hint("merge"), ["h", "g", "salt"]).where((F.col("ident") != F.col("first.ident")) | (F.col("at") != F.col("first.at")))
+    line = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
+    later = later.select("ident", "at", F.col("first.ident").alias("source"), F.col("first.at").alias("from"), line)
+    later = later.select("ident", (F.col("at") + F.col("k")).alias("at"), "source", (F.col("from") + F.col("k")).alias("from"))
+    later = later.groupBy("ident", "at").agg(F.min(F.struct("source", "from")).alias("s")).select("ident", "at", "s.source", "s.from")
+    later = stored(later, "later")
+    dropped(found)
+    dropped(first)
+
+    wanted = stored(later.groupBy("source", "from").count(), "wanted")
+    dealt, keys = _salted(later, wanted, ["source", "from"], later.count())
+    asked = keys.groupBy(F.col("source").alias("ident")).agg(F.collect_list(F.struct("from", "salt")).alias("asked"))  # within one document
+    texts = docs.where(F.col("text").isNotNull()).select(_ident().alias("ident"), "text").join(asked.hint("merge"), "ident")
+    texts = texts.select("ident", "asked", _lines().alias("lines"))
+    sent = texts.select(F.col("ident").alias("source"), F.inline(F.transform("asked", lambda a: F.struct(a["from"].alias("from"), a["salt"].alias("salt"), F.get("lines", a["from"]).alias("line")))))
+    sent = sent.groupBy("source", "from", "salt").agg(F.first("line").alias("line"))  # repeated rows of a document send a line twice
+    both = dealt.join(sent.hint("merge"), ["source", "from", "salt"])
+    return both.groupBy("ident").agg(F.collect_list(F.struct("at", "line")).alias("cuts"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later copies of chunks cut from ``text``, and with n_lines and n_removed."""
-    cuts = repeats(docs, rounds)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    nested = docs.select(F.struct(*own).alias("doc"), "text", _ident().alias("ident"))  # no other column can clash
-    wide = nested.join(cuts, "ident", "left")
-    lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1))))
-    wide = wide.withColumn("gone", F.when(F.col("cuts").isNotNull(), gone))
-    marked = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda _: F.lit(True)))
-    wide = wide.withColumn("marked", F.when(F.col("gone").isNotNull(), marked))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.try_element_at(F.col("marked"), i), F.lit(False))), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    nested = docs.select(F.struct(*own).alias("doc"), _ident().alias("ident"))  # no other column can clash
+    wide = nested.join(repeats(docs).hint("merge"), "ident", "left").withColumn("lines", F.split("doc.text", "\n", -1))
+    equal = F.filter("cuts", lambda c: c["line"] == F.get("lines", c["at"]))
+    gone = F.map_from_entries(F.transform(equal, lambda c: F.struct(c["at"], F.lit(True))))
+    wide = wide.withColumn("gone", gone)
+    kept = F.array_join(F.filter("lines", lambda _, i: ~F.coalesce(F.try_element_at("gone", i), F.lit(False))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept)
+    n_lines = F.when(F.col("doc.text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     return wide.select(
         *[text.alias(c) if c == "text" else F.col(f"doc.{c}").alias(c) for c in own],
         n_lines.alias("n_lines"),
@@ -168,52 +150,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
-def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op9_line_dedup``, with every repeated run of two lines, or line of 50 words, cut."""
-    out = dedup_lines(table(spark, sf_dir, "documents"), RUNS)
-    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+#: The name under which the rule of all windows was first registered, beside an earlier one that missed short passages.
+op9_line_runs = op9_line_dedup
 
 
 def _oracle() -> str:
-    def picked(value: str, seed: int) -> str:
-        mul = (2654435761 * (2 * seed + 1)) % (1 << 32) | 1
-        return f"((((xor({value}, {seed * 1540483477 % (1 << 28)})::BIGINT * {mul}) & 4294967295) >> 13) % 2 = 0)"
-
-    cuts = []
-    for k, w in enumerate(ROUNDS):
-        back = "p1" if w == 1 else "((p2 * 31 + p1) & 268435455)"
-        ahead = "h" if w == 1 else "((h * 31 + n1) & 268435455)"
-        cuts.append(f"SELECT ident, doc_id, pos, line, {k} AS round, pos = 1 OR {picked(back, 2 * k)} OR {picked(ahead, 2 * k + 1)} AS cut FROM near")
-    return f"""
-WITH docs AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS ident FROM documents),
-held AS (SELECT DISTINCT ident, doc_id, text FROM docs WHERE text IS NOT NULL),
-lines AS (
-  SELECT ident, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM held),
-hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines),
-near AS (
-  SELECT *, coalesce(lag(h, 1) OVER w, 0) AS p1, coalesce(lag(h, 2) OVER w, 0) AS p2, coalesce(lead(h, 1) OVER w, 0) AS n1
-  FROM hashed WINDOW w AS (PARTITION BY ident ORDER BY pos)),
-cuts AS ({" UNION ALL ".join(cuts)}),
-numbered AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY ident, round ORDER BY pos ROWS UNBOUNDED PRECEDING) AS part FROM cuts),
-chunks AS (
-  SELECT DISTINCT ident, doc_id, min(pos) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS bytes
-  FROM numbered GROUP BY ident, doc_id, round, part),
-counted AS (
-  SELECT * FROM chunks WHERE (n >= 2 AND regexp_matches(bytes, '[^\\x20\\x09-\\x0D]'))
-     OR len(regexp_extract_all(bytes, '[^\\x20\\x09-\\x0D]+')) >= {MIN_WORDS}),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY bytes ORDER BY doc_id IS NULL, doc_id, ident, start) AS place FROM counted),
-gone AS (SELECT DISTINCT r.ident, l.pos FROM ranked r JOIN lines l ON l.ident = r.ident AND l.pos BETWEEN r.start AND r.start + r.n - 1 WHERE r.place > 1),
-kept AS (
-  SELECT l.ident, count(*) AS n_lines, count(g.pos) AS n_removed,
-         coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS cleaned
-  FROM lines l LEFT JOIN gone g ON g.ident = l.ident AND g.pos = l.pos GROUP BY l.ident)
-SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
-       CASE WHEN d.text IS NOT NULL THEN md5(k.cleaned) END AS text_md5
-FROM docs d LEFT JOIN kept k ON k.ident = d.ident"""
-
-
-def _oracle_runs() -> str:
     return f"""
 WITH docs AS (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS ident FROM documents),
 held AS (SELECT DISTINCT ident, doc_id, text FROM docs WHERE text IS NOT NULL),
@@ -243,4 +184,4 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 FROM docs d LEFT JOIN kept k ON k.ident = d.ident"""
 
 
-ORACLE = {"op9_line_dedup": _oracle(), "op9_line_runs": _oracle_runs()}
+ORACLE = {"op9_line_dedup": _oracle(), "op9_line_runs": _oracle()}

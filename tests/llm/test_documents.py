@@ -45,15 +45,6 @@ def test_line_dedup_equals_sql(which, request):
     assert norm(got) == norm(eval(w) for w in want)
 
 
-@pytest.mark.parametrize("which", ["lines", "odd"])
-def test_line_runs_equal_sql(which, request):
-    docs = request.getfixturevalue(which)
-    want, names = oracle(line_dedup.ORACLE["op9_line_runs"], docs)
-    got = line_dedup.dedup_lines(docs, line_dedup.RUNS).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5")).select(*names).collect()
-    norm = lambda xs: sorted(repr(tuple(int(x) if isinstance(x, (int, float)) else x for x in r)) for r in xs)
-    assert norm(got) == norm(eval(w) for w in want)
-
-
 def longest_runs(texts):
     """Each text without the lines of any longest run that equals an earlier one, found by comparing all places."""
     where, out = [(d, k) for d, t in enumerate(texts) for k in range(len(t))], []
@@ -83,19 +74,20 @@ def test_planted_runs_go_whatever_stands_around_them(spark):
             before, after = ([prose(1_000_000 + 1000 * k + 100 * copy + 10 * s + j, 12) for j in range(draw.randrange(4))] for s in (1, 2))
             texts.append([*before, *passage, *after])
     docs = spark.createDataFrame([row(k, "\n".join(t)) for k, t in enumerate(texts)], KIND)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, line_dedup.RUNS).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
     assert [got[k] for k in range(len(texts))] == longest_runs(texts)
     later = [(k, x) for k, t in enumerate(texts) if k % 3 for x in passages[k // 3] if x.strip()]
     assert not any(x in got[k].split("\n") for k, x in later)
     assert got[0] == "\n".join(texts[0])
 
 
-def test_passages_go_but_first_copies_stay(lines):
-    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(lines).collect()}
-    passage = "\n".join(prose(k, n) for k, n in ()) or None
-    before = {r["doc_id"]: r["text"] for r in lines.collect()}
-    assert texts[0] == before[0] or len(texts[0]) < len(before[0])
-    assert passage is None and sum(map(len, texts.values())) < sum(map(len, before.values()))
+def test_a_passage_in_most_rows_goes_from_all_but_the_first(spark):
+    passage = [prose(k, 20) for k in range(3)]
+    texts = [[prose(100 + k, 9), *passage, prose(900 + k, 9)] if k % 4 else [prose(100 + k, 9), prose(900 + k, 9)] for k in range(400)]
+    docs = spark.createDataFrame([row(k, "\n".join(t)) for k, t in enumerate(texts)] * 2, KIND)
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(docs).collect()}
+    stays = lambda k: k % 4 == 0 or k == 1
+    assert got == {(k, "\n".join(t if stays(k) else [t[0], t[-1]]), 0 if stays(k) else 3) for k, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("which", ["lines", "odd"])
