@@ -26,6 +26,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Hash bits resolved by each histogram, and the number of histograms.
 BITS, LEVELS = 12, 5
+#: Sources whose plan (a narrow row for each) is broadcast; more are joined by shuffles with so many salts.
+SOURCES, SALTS = 100_000, 64
 
 
 def sized(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -88,8 +90,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame, bits: int = BITS, levels: i
         rows = sizes.select(F.col("source").alias("s"), "size", "h", bucket.alias("bucket"))
         if level > 1:
             edge = state.select(F.col("source").alias("e"), F.col("limit").alias("edge"))
-            inside = F.col("s").eqNullSafe(F.col("e")) & (F.shiftright("h", shift + bits) == F.shiftright("edge", shift + bits))
-            rows = rows.join(edge, inside)
+            rows = with_source(rows, "s", edge, "e").where(F.shiftright("h", shift + bits) == F.shiftright("edge", shift + bits))
         sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket"))
         upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.withColumn("through", F.sum("in_bucket").over(upto))
@@ -109,6 +110,15 @@ def thresholds(sizes: DataFrame, targets: DataFrame, bits: int = BITS, levels: i
     return state.select("source", "copies", "limit")
 
 
+def with_source(rows: DataFrame, source: str, plan: DataFrame, plan_source: str) -> DataFrame:
+    """``rows`` joined to their source's row of ``plan``, which is broadcast up to ``SOURCES`` rows and else salted by the rows' hash ``h``."""
+    if plan.limit(SOURCES + 1).count() <= SOURCES:
+        return rows.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col(plan_source)))
+    left = rows.withColumn("_salt", F.pmod("h", F.lit(SALTS)).cast("int"))
+    right = plan.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, F.col(source).eqNullSafe(F.col(plan_source)) & (F.col("_salt") == F.col("_of"))).drop("_salt", "_of")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every document; with ``keep`` after all columns of ``docs``.
 
@@ -122,7 +132,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     plan = plan.withColumnRenamed("source", "plan_source")
     taken = F.col("size") * (F.col("copies") + (F.col("h") < F.col("limit")).cast("long"))
     rows = sizes if not keep else sized(docs, True)
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    joined = with_source(rows, "source", plan, "plan_source")
     own = [F.col(f"doc.{c}").alias(c) for c in docs.columns if c not in added] if keep else [F.col("doc_id"), F.col("source")]
     return joined.select(*own, "size", "source_size", "target", taken.alias("taken"))
 
