@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. ``run`` applies them in order, writing
-each stage's rows to the shared folder and reading them again.
+each stage's rows to the shared folder, reading them again and deleting those of the stage before.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reckon.llm import bpe, language, line_dedup, mixing, near_duplicates
-from reckon.llm.common import prepare, stored, table
+from reckon.llm.common import dropped, prepare, stored, table
 
 #: Share of a text's n-grams that its language must know, below which the text is rejected.
 LEAST_SCORE = 0.2
@@ -27,7 +27,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without chunks of lines that an earlier document has; n_chars follows the text."""
+    """Documents without the lines that repeat earlier runs of lines; n_chars follows the text."""
     prepare(spark)
     clean = line_dedup.dedup_lines(docs)
     size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
@@ -74,7 +74,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
