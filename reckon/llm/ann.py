@@ -5,11 +5,18 @@ parts with few cut edges. A small neural network learns each vector's part from
 the parts of its neighbours. Every vector is stored under its most probable
 part; a query is sent to its most probable parts, as many as the sample needs
 for the target recall, and all vectors there are reranked by the exact cosine.
-Parts of any size lie in bounded chunks.
-
-Defined results: rows of equal vec_id are the query's own; rows without id, of
-uncommon length, null, zero, or with null or non-finite components take no
-part; ties go to the smaller vec_id. Other columns play no part.
+Parts of any size lie in bounded chunks. Vectors of another length than the
+commonest meet all others of their length.
+
+Parts are about ``PART`` vectors each, eight at least, and as many as ``SAMPLE``
+can tell apart (a thousand); beyond, parts grow. Where vectors have no clusters,
+neighbours lie in most parts and most are probed.
+
+Defined results: only vectors of equal length are compared; rows of equal vec_id
+are the query's own if they are its id, and otherwise count once, by their
+highest score, as do several rows of one query; rows without id, null, empty,
+zero, or with null or non-finite components take no part; ties go to the smaller
+vec_id. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stored, table
-from .vectors import BLOCK, CHUNK, blocked, ranked, salted, usable
+from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
 
 TOP, EVERY = 5, 50
-#: Vectors in the sample at most, neighbours in its graph, vectors in a part about, and parts at most.
-SAMPLE, NEIGHBOURS, PART, PARTS = 6000, 10, 1500, 256
-#: Share of the sample's true neighbours that routing must reach; the whole index loses a little more.
-RECALL = 0.97
+#: Vectors in the sample at most, neighbours in its graph, and vectors in a part about.
+SAMPLE, NEIGHBOURS, PART = 20_000, 10, 1500
+#: Parts at least, and sampled vectors that each part needs.
+LEAST, EACH = 8, 20
+#: Vectors in a chunk and queries in a block, about.
+CHUNK, BLOCK = 8192, 1024
+#: Share of the sample's true neighbours that routing must reach.
+RECALL = 0.93
 HIDDEN, ROUNDS = 128, 40
 
 
@@ -60,7 +71,7 @@ def balanced_parts(unit: np.ndarray, graph: np.ndarray, parts: int, draw: np.ran
     label = np.zeros(n, np.int64)
     for _ in range(6):
         near = unit @ centres.T
-        wish = np.argsort(-near, axis=1)
+        wish = np.argsort(-near, axis=1).astype(np.int32)
         sure = np.argsort(np.partition(near, -2, axis=1)[:, -2] - near.max(1)) if parts > 1 else np.arange(n)
         size = np.zeros(parts, np.int64)
         for i in sure.tolist():
@@ -115,7 +126,7 @@ def fit(sample: np.ndarray, parts: int, top: int = TOP, recall: float = RECALL,
     draw = np.random.default_rng(seed)
     unit = np.unique(sample / np.sqrt((sample * sample).sum(1, keepdims=True)), axis=0)
     unit = unit[draw.permutation(len(unit))]
-    parts = max(1, min(parts, len(unit) // 20))
+    parts = max(1, min(parts, len(unit) // EACH))
     if parts == 1:
         width = sample.shape[1] if sample.ndim == 2 else 1
         return Router(np.zeros((width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
@@ -126,6 +137,8 @@ def fit(sample: np.ndarray, parts: int, top: int = TOP, recall: float = RECALL,
         np.add.at(target, (np.arange(len(unit))[:, None], label[column]), 1.0)
     fitted = len(unit) * 4 // 5  # the rest shows how many parts a query must see
     router = learn(unit[:fitted], target[:fitted] / target[:fitted].sum(1, keepdims=True), draw)
+    if recall >= 1:
+        return router._replace(probes=parts)
     logits = router.logits(unit)
     own, wish = logits.argmax(1), np.argsort(-logits, axis=1)
     place = np.argsort(wish, axis=1)
@@ -139,23 +152,29 @@ def fit(sample: np.ndarray, parts: int, top: int = TOP, recall: float = RECALL,
 
 
 def _routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
-    """vec_id, embedding, part: a row for each of the ``probes`` most probable parts."""
+    """``rows`` (vec_id, embedding, size) with part: a row for each of the ``probes`` most probable parts.
+
+    Vectors of another length than the router's have the part -1, in which all of their length meet.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(tuple(router))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Router(*shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            wish = np.argsort(-r.logits(x), axis=1, kind="stable")[:, :probes]
-            parts = pa.array(wish.astype(np.int32).tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=["vec_id", "embedding", "parts"])
-
-    out = rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, parts array<int>")
-    return out.select("vec_id", "embedding", F.explode("parts").alias("part"))
+            fits = batch.column(2).to_numpy(zero_copy_only=False) == len(r.a)
+            parts: list = [[-1]] * batch.num_rows
+            if fits.any():
+                x = matrix(batch.filter(pa.array(fits)))
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                wish = np.argsort(-r.logits(x), axis=1, kind="stable")[:, :probes]
+                for k, w in zip(np.flatnonzero(fits).tolist(), wish.tolist()):
+                    parts[k] = w
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=["vec_id", "embedding", "size", "parts"])
+
+    own = rows.select("vec_id", "embedding", "size")
+    out = own.mapInArrow(run, "vec_id long, embedding array<double>, size int, parts array<int>")
+    return out.select("vec_id", "embedding", "size", F.explode("parts").alias("part"))
 
 
 def _cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -164,40 +183,47 @@ def _cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum()))
 
 
-def search(vectors: DataFrame, queries, k: int = TOP, sample: int = SAMPLE, part: int = PART, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that meets ``queries``."""
-    rows = stored(usable(vectors, zero=False).withColumn("vec_id", F.col("vec_id").cast("long")), "vectors")
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"]
-    if len(drawn):
-        flat = drawn.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(drawn), -1)
-        router = fit(flat, min(PARTS, -(-rows.count() // part)), k)
-    else:
-        router = Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+def fitted(rows: DataFrame, k: int = TOP, sample: int = SAMPLE, part: int = PART, recall: float = RECALL) -> Router:
+    """The router of ``rows`` (``usable`` vectors), from a sample of those of the commonest length."""
+    common = rows.where(F.col("size") == commonest_size(rows))
+    parts = max(LEAST, -(-common.count() // part))
+    drawn = common.orderBy(F.xxhash64("vec_id", "embedding")).limit(min(sample, max(sample // 4, EACH * parts))).select("embedding").toArrow()
+    if not len(drawn):
+        return Router(np.zeros((1, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    return fit(matrix(drawn.combine_chunks().to_batches()[0]), parts, k, recall)
+
+
+def search(vectors: DataFrame, queries, k: int = TOP, sample: int = SAMPLE, part: int = PART, chunk: int = CHUNK, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that meets ``queries``; with a recall of 1 all parts are probed."""
+    rows = stored(usable(vectors, zero=False), "vectors")
+    router = fitted(rows, k, sample, part, recall)
     index = stored(_routed(rows, router, 1), "index")
     asked = stored(_routed(rows.where(queries), router, router.probes), "queries")
     chunks, blocks = ({r["part"]: -(-r["count"] // size) for r in f.groupBy("part").count().collect()} for f, size in ((index, chunk), (asked, block)))
     parts = router.d.shape[0]
 
     def many(counts: dict) -> Column:
-        return F.element_at(F.array(*[F.lit(counts.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
+        return F.element_at(F.array(*[F.lit(counts.get(p, 1)) for p in range(-1, parts)]), F.col("part") + 2).cast("long")
+
+    def every(counts: dict) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), many(counts) - 1))
 
-    node = F.xxhash64("part", "chunk", "block")
-    left = index.withColumn("chunk", salted("vec_id", many(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), many(blocks).cast("long") - 1)))
-    right = asked.withColumn("block", salted("vec_id", many(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), many(chunks).cast("long") - 1)))
+    node = F.xxhash64("part", "chunk", "block", "size")
+    left = index.withColumn("chunk", salted(many(chunks))).withColumn("block", every(blocks))
+    right = asked.withColumn("block", salted(many(blocks))).withColumn("chunk", every(chunks)).withColumn("bound", F.lit(0.0))
 
     def held(ids: np.ndarray, rows_: np.ndarray):
         return ids, rows_, rows_ / np.sqrt((rows_ * rows_).sum(1, keepdims=True))
 
-    def best(chunk_, query_ids: np.ndarray, queries_: np.ndarray) -> list[tuple]:
+    def best(chunk_, query_ids: np.ndarray, _, queries_: np.ndarray) -> list[tuple]:
         ids, rows_, unit = chunk_
         near = (queries_ / np.sqrt((queries_ * queries_).sum(1, keepdims=True))) @ unit.T
         out = []
         for query_id, query, line in zip(query_ids.tolist(), queries_, near):
             line[ids == query_id] = -np.inf
-            last = np.partition(line, -k)[-k] if len(line) >= k else -2.0
-            some = np.flatnonzero(line >= max(last, -2.0) - 1e-9)
+            some = distinct_best(line, ids, k, 1e-9)
             score = _cosines(rows_[some], query)
-            order = np.lexsort((ids[some], -score))[:k]
+            order = first_of_each(score, ids[some], k)
             out.extend((query_id, v, s) for v, s in zip(ids[some][order].tolist(), score[order].tolist()))
         return out
 

@@ -8,65 +8,86 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Vectors in a chunk and queries in a block, about.
-CHUNK, BLOCK = 8192, 1024
-
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
-    """vec_id, embedding (doubles) of rows with an id and finite components, of the commonest length.
+    """vec_id, embedding (doubles), size of rows with an id and finite components, repeated rows once.
 
-    Vectors of zeros are left out unless ``zero``.
+    Empty vectors are left out, and vectors of zeros unless ``zero``.
     """
     x = F.col("embedding")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     keep = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False))
     if not zero:
         keep &= F.exists(x, lambda c: c != 0)
-    rows = vectors.where(keep).select("vec_id", x.cast("array<double>").alias("embedding"))
-    lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("embedding") == (lengths[0]["n"] if lengths else 0))
+    rows = vectors.where(keep).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
+    return rows.dropDuplicates().withColumn("size", F.size("embedding"))
+
+
+def commonest_size(rows: DataFrame) -> int:
+    """The length of most vectors, the shorter on a tie; 0 without any."""
+    lengths = rows.groupBy("size").count().orderBy(F.desc("count"), "size").limit(1).collect()
+    return lengths[0]["size"] if lengths else 0
 
 
-def salted(ident: str, many: Column) -> Column:
-    return F.pmod(F.xxhash64(ident), F.greatest(many, F.lit(1)).cast("long"))
+def salted(many: Column) -> Column:
+    """One of ``many`` chunks; rows of one id are dealt too."""
+    return F.pmod(F.xxhash64("vec_id", "embedding"), F.greatest(many, F.lit(1)).cast("long"))
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index("embedding"))
+def matrix(batch: pa.RecordBatch, a: int = 0, b: int | None = None) -> np.ndarray:
+    """The vectors of rows ``a`` to ``b``, which are of one length."""
+    column = batch.column(batch.schema.get_field_index("embedding")).slice(a, None if b is None else b - a)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def blocked(
-    vectors: DataFrame, queries: DataFrame, held_as: Callable, best: Callable[..., list[tuple]], score: str
-) -> DataFrame:
-    """query_id, vec_id, score from ``best(held_as(ids, vectors), query ids, queries)`` on each chunk and query block.
+def distinct_best(score: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
+    """Rows that hold the ``k`` highest scores of distinct ids, and those within ``slack`` below."""
+    many = k
+    while True:
+        if many >= len(score):
+            return np.flatnonzero(score > -np.inf)
+        some = np.flatnonzero(score >= max(np.partition(score, -many)[-many], np.finfo(float).min) - slack)
+        if len(np.unique(ids[some])) >= k:
+            return some
+        many *= 4
+
+
+def first_of_each(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores of distinct ids, in order, ties to the smaller id."""
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
-    ``vectors`` and ``queries`` hold node, vec_id, embedding; equal nodes meet.
-    A chunk is held while its queries stream past.
+
+def blocked(vectors: DataFrame, queries: DataFrame, held_as: Callable, best: Callable[..., list[tuple]], score: str) -> DataFrame:
+    """query_id, vec_id, score from ``best(held_as(ids, vectors), query ids, bounds, queries)`` on each chunk and query block.
+
+    ``vectors`` and ``queries`` hold node, vec_id, embedding, queries also bound;
+    equal nodes meet. A chunk is held while its queries stream past.
     """
-    both = vectors.select("node", F.lit(0).alias("kind"), "vec_id", "embedding").unionByName(
-        queries.select("node", F.lit(1).alias("kind"), "vec_id", "embedding")
+    both = vectors.select("node", F.lit(0).alias("kind"), "vec_id", F.lit(0.0).alias("bound"), "embedding").unionByName(
+        queries.select("node", F.lit(1).alias("kind"), "vec_id", "bound", "embedding")
     )
     both = both.repartition("node").sortWithinPartitions("node", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held, ready = None, [], [], None
         for batch in batches:
-            node = batch.column(0).to_numpy(zero_copy_only=False)
-            kind = batch.column(1).to_numpy(zero_copy_only=False)
-            vec, rows = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch)
+            node, kind, vec, bound = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             mark = np.flatnonzero((node[1:] != node[:-1]) | (kind[1:] != kind[:-1])) + 1
             out: list[tuple] = []
             for a, b in zip([0, *mark.tolist()], [*mark.tolist(), len(node)]):
+                if a == b:
+                    continue
                 if node[a] != now:
                     now, ids, held, ready = node[a], [], [], None
                 if kind[a] == 0:
                     ids.append(vec[a:b])
-                    held.append(rows[a:b])
+                    held.append(matrix(batch, a, b))
                 elif ids:
                     if ready is None:
                         ready = held_as(np.concatenate(ids), np.concatenate(held))
-                    out.extend(best(ready, vec[a:b], rows[a:b]))
+                    out.extend(best(ready, vec[a:b], bound[a:b], matrix(batch, a, b)))
             if out:
                 columns = list(zip(*out))
                 kinds = (pa.int64(), pa.int64(), pa.float64() if score == "double" else pa.int64())
@@ -76,6 +97,10 @@ def blocked(
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest scores of each query, ties to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the k highest scores of each query, ties to the smaller vec_id.
+
+    Several rows of one query id or of one vec_id count by their highest score.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

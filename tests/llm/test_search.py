@@ -48,6 +48,76 @@ def test_learned_partitions_reach_the_recall(vectors):
     assert hit / total >= 0.9 and not {r["query_id"] for r in rows} & {1000, 1100, 1200, 1300, 1400, 1500, 1600}
 
 
+def found(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in df.collect())
+
+
+@pytest.mark.parametrize("module, score", [(ann, lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))), (exact_search, lambda a, b: float(np.floor(1024 * a) @ np.floor(1024 * b)))])
+def test_repeated_ids_and_other_lengths(spark, module, score):
+    draw = np.random.default_rng(8)
+    pool = [(int(k), draw.normal(0, 1, 6 if k % 3 else 4).round(3)) for k in draw.integers(0, 60, 150)]
+    pool += [pool[0]] * 40 + [(0, x + 0.125) for _, x in pool[3:9]]  # repeated rows, and a query of several vectors
+    rows = spark.createDataFrame([(k, [float(c) for c in x], 0, 1, 2, 3.0) for k, x in pool], "vec_id long, embedding array<double>, label int, node long, part int, score double")
+    want = []
+    for q in sorted({k for k, _ in pool if k % 10 == 0}):
+        best = {}
+        for k, x in pool:
+            for _, y in ((i, y) for i, y in pool if i == q and k != q and len(x) == len(y)):
+                best[k] = max(best.get(k, -np.inf), round(score(x, y), 12))
+        order = sorted(best, key=lambda k: (-best[k], k))[: module.TOP]
+        want += [(q, rank, k, best[k]) for rank, k in enumerate(order, 1)]
+    exact = {"recall": 1.0} if module is ann else {}
+    assert found(module.search(rows, F.col("vec_id") % 10 == 0, chunk=16, block=2, **exact)) == want
+
+
+def test_bounds_from_the_sample_change_no_result(vectors):
+    table, _ = vectors
+    some = F.col("vec_id") % 25 == 0
+    assert found(exact_search.search(table, some, chunk=64, sample=0)) == found(exact_search.search(table, some, chunk=64, sample=500)) == found(exact_search.search(table, some, sample=5000))
+
+
+@pytest.fixture(scope="module")
+def clusters(spark):
+    draw = np.random.default_rng(4)
+    centres = draw.normal(0, 1, (60, 24))
+    x = (centres[draw.integers(0, 60, 6000)] + draw.normal(0, 0.25, (6000, 24))).astype(np.float32)
+    return spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), x.astype(float)
+
+
+def recall(rows, x, ids, k=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {}
+    for r in rows:
+        near.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in ids:
+        score = unit @ unit[q]
+        score[q] = -9
+        hit += len(near[q] & set(np.argsort(-score, kind="stable")[:k].tolist()))
+    return hit / (k * len(ids))
+
+
+def test_few_parts_are_probed_where_vectors_have_clusters(clusters):
+    table, x = clusters
+    router = ann.fitted(ann.usable(table, zero=False), part=250)
+    assert router.d.shape[0] == 24 and router.probes < 12
+    rows = ann.search(table, F.col("vec_id") % 50 == 0, part=250, chunk=512).collect()
+    assert recall(rows, x, range(0, 6000, 50)) >= 0.9
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, folder):
+    path = f"/root/testdata/{folder}"
+    table = spark.read.parquet(f"{path}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(table["embedding"]).astype(float)
+    assert table["vec_id"].tolist() == list(range(table["vec_id"][0], table["vec_id"][0] + len(x)))
+    low = int(table["vec_id"][0])
+    got = [{"query_id": r["query_id"] - low, "vec_id": r["vec_id"] - low} for r in ann.op5_ann(spark, path).collect()]
+    assert recall(got, x, [k for k in range(len(x)) if (k + low) % 50 == 0]) >= 0.9
+    router = ann.fitted(ann.usable(spark.read.parquet(f"{path}/embeddings.parquet"), zero=False))
+    assert router.d.shape[0] == 8 and 1 <= router.probes < 8
+
+
 def test_few_or_no_vectors(spark, vectors):
     table, _ = vectors
     empty = table.limit(0)
@@ -63,3 +133,14 @@ def test_parts_are_balanced():
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     label = ann.balanced_parts(unit, ann._neighbours(unit, 5), 8, draw)
     assert np.bincount(label, minlength=8).max() <= 55
+
+
+def test_parts_follow_the_graph():
+    draw = np.random.default_rng(2)
+    unit = np.repeat(draw.normal(0, 1, (16, 12)), 50, axis=0) + draw.normal(0, 0.1, (800, 12))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    graph = ann._neighbours(unit, 8)
+    label = ann.balanced_parts(unit, graph, 8, draw)
+    cut = (label[graph] != label[:, None]).mean()
+    mixed_up = draw.permutation(label)
+    assert cut < 0.2 < 0.8 < (mixed_up[graph] != mixed_up[:, None]).mean() and np.bincount(label, minlength=8).max() <= 110
