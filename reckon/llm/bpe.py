@@ -225,8 +225,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, shas)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 )
 
-    own = docs.select("doc_id", "text")
-    return own.mapInArrow(run, own.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -1,28 +1,39 @@
 """Exact top-k inner products by the threshold algorithm over sorted per-dimension lists.
 
-Vectors lie in bounded chunks by a hash of their id. In each chunk every
+Every query first meets a bounded sample, whose k-th score bounds the final one
+from below. Vectors lie in bounded chunks by a hash. In each chunk every
 dimension has its list of components in order. A query walks the lists of its
 non-zero dimensions from the end that its sign favours, several places at a
 time, scores the vectors it meets in full, and stops once the bound on all
 others (its inner product with the components at the lists' current places) is
-below its k-th score. Chunks' results meet in one ranking.
-
-Defined results: components become floor(1024 * x) as whole numbers; rows of
-equal vec_id are the query's own; rows without id, of uncommon length, null, or
-with null or non-finite components take no part. Other columns play no part.
+below its k-th score so far, in the sample or the chunk. Chunks' results meet in
+one ranking.
+
+Defined results: components become floor(1024 * x) as whole numbers; only
+vectors of equal length are compared; rows of equal vec_id are the query's own
+if they are its id, and otherwise count once, by their highest score, as do
+several rows of one query; rows without id, empty, null, or with null or
+non-finite components take no part. Other columns play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stored, table
-from .vectors import BLOCK, CHUNK, blocked, ranked, salted, usable
+from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
 
 SCALE, TOP, EVERY = 1024, 10, 100
+#: Vectors in a chunk and queries in a block, about.
+CHUNK, BLOCK = 32_768, 8_192
+#: Vectors in the sample that gives each query its first bound.
+SAMPLE = 8_192
 #: Places of each list that a query reads at first; each further reading is twice as long.
-STRIDE = 16
+STRIDE = 64
 
 
 class Chunk:
@@ -30,54 +41,88 @@ class Chunk:
         self.ids, self.rows = ids, rows
         self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(rows, self.order.T, 0).T.copy()
+        self.single = len(np.unique(ids)) == len(ids)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows of the chunk, and of ties at the last place."""
+    def top(self, query_id: int, bound: float, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows of distinct ids in the chunk, but for those below ``bound``."""
         n, used = len(self.ids), np.flatnonzero(query)
         seen = self.ids == query_id
         fall = query[used] > 0
-        rows = [np.flatnonzero(seen)[:0]]
-        scores = [np.zeros(0)]
-        at, stride, best = 0, STRIDE, np.zeros(0)
+        score = np.full(n, -np.inf)
+        at, stride = 0, STRIDE
+        if not len(used):  # every row scores 0
+            score[~seen] = 0.0
         while len(used) and at < n:
+            edge = np.where(fall, self.sorted[used, n - 1 - at], self.sorted[used, at])
+            if edge @ query[used] < bound:
+                break
             to = min(n, at + stride)
             fresh = np.zeros(n, bool)
             fresh[self.order[used[fall], n - to : n - at]] = True
             fresh[self.order[used[~fall], at:to]] = True
             met = np.flatnonzero(fresh & ~seen)
             seen[met] = True
-            rows.append(met)
-            scores.append(self.rows[met] @ query)
+            score[met] = self.rows[met] @ query
             at, stride = to, 2 * stride
-            best = np.sort(np.concatenate([best, scores[-1]]))[-k:]
-            edge = np.where(query[used] > 0, self.sorted[used, n - at], self.sorted[used, at - 1])
-            if len(best) == k and best[0] > edge @ query[used] or seen.all():
+            if seen.all():
                 break
-        if not len(used):  # every row scores 0
-            rows, scores = [np.flatnonzero(~seen)], [np.zeros(int((~seen).sum()))]
-        row, score = np.concatenate(rows), np.concatenate(scores)
-        order = np.lexsort((self.ids[row], -score))[:k]
-        return self.ids[row[order]], score[order]
-
-
-def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+            if self.single and n > k:
+                bound = max(bound, np.partition(score, -k)[-k])
+            elif n > k:
+                own = score[first_of_each(score, self.ids, k)]
+                bound = max(bound, own[-1] if len(own) == k else -np.inf)
+        row = np.flatnonzero(score >= max(bound, np.finfo(float).min))
+        row = row[first_of_each(score[row], self.ids[row], k)]
+        return self.ids[row], score[row]
+
+
+def bounded(asked: DataFrame, drawn: list[tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """``asked`` with bound: the k-th score of each query among the sample's vectors of other ids, or the lowest double."""
+    shared = asked.sparkSession.sparkContext.broadcast(drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.full(batch.num_rows, np.finfo(float).min)
+            size, ids = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+            for others, rows in shared.value:
+                for r in np.flatnonzero(size == rows.shape[1]).tolist():
+                    score = np.where(others == ids[r], -np.inf, rows @ matrix(batch, r, r + 1)[0])
+                    some = distinct_best(score, others, k)
+                    some = some[first_of_each(score[some], others[some], k)]
+                    if len(some) == k:
+                        bound[r] = score[some[-1]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=[*batch.schema.names, "bound"])
+
+    return asked.select("vec_id", "embedding", "size").mapInArrow(run, "vec_id long, embedding array<double>, size int, bound double")
+
+
+def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk: int = CHUNK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each row of it that meets ``queries``.
 
     Scores are exact while they stay below 2**53, where doubles hold all whole numbers.
     """
     whole = F.transform("embedding", lambda c: F.floor(c * scale).cast("double"))
-    rows = stored(usable(vectors, zero=True).select("vec_id", whole.alias("embedding")), "whole")
-    asked = rows.where(queries)
+    rows = stored(usable(vectors, zero=True).withColumn("embedding", whole), "whole")
+    common = commonest_size(rows)
+    drawn = rows.where(F.col("size") == common).orderBy(F.xxhash64("vec_id", "embedding")).limit(sample).select("vec_id", "embedding").toArrow()
+    known = []
+    if len(drawn):
+        batch = drawn.combine_chunks().to_batches()[0]
+        known = [(batch.column(0).to_numpy(), matrix(batch))]
+    asked = stored(bounded(rows.where(queries), known, k), "asked")
     n, q = rows.count(), asked.count()
-    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-q // block))
-    node = F.xxhash64("chunk", "block")
-    left = rows.select("vec_id", "embedding", salted("vec_id", F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = asked.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), salted("vec_id", F.lit(blocks)).alias("block"))
-
-    def best(held: Chunk, query_ids: np.ndarray, queries_: np.ndarray) -> list[tuple]:
+    chunks = max(1, -(-n // chunk))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-q // block), min(-(-q // 64), -(-2 * cores // chunks)))
+    node = F.xxhash64("chunk", "block", "size")
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+    left = rows.select("vec_id", "embedding", "size", salted(F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
+    right = asked.select("vec_id", "embedding", "size", "bound", every(chunks).alias("chunk"), salted(F.lit(blocks)).alias("block"))
+
+    def best(held: Chunk, query_ids: np.ndarray, bounds: np.ndarray, queries_: np.ndarray) -> list[tuple]:
         out = []
-        for query_id, query in zip(query_ids.tolist(), queries_):
-            got, score = held.top(query_id, query, k)
+        for query_id, bound, query in zip(query_ids.tolist(), bounds.tolist(), queries_):
+            got, score = held.top(query_id, bound, query, k)
             out.extend((query_id, v, int(s)) for v, s in zip(got.tolist(), score.tolist()))
         return out
 
