@@ -1,19 +1,28 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-One dictionary is trained on toxic windows, one on ordinary text. Every window
-of a text (a word with the blanks around it) is compressed with both; windows
-that the toxic dictionary shortens by ``theta`` bytes or more are counted, and a
-logistic curve calibrated on labelled rows outside the dictionaries' training
-turns counts into a score. A toxic row is mostly ordinary text, so its training
-windows are the words whose contexts are far more frequent in toxic rows;
-contexts rather than rows are counted, as near copies repeat contexts.
+One dictionary is trained on whole toxic texts, one on whole ordinary texts.
+Every window of a text (two words and the blanks around them) is compressed with
+the ordinary dictionary alone and with both; the bytes that the toxic one saves
+are its compression distance. Windows that save ``theta`` bytes or more are
+counted, and a logistic curve calibrated on labelled rows outside the
+dictionaries' training turns counts into a score; theta is calibrated with it.
+
+A toxic text is mostly ordinary, so the dictionaries are trained once more by
+their own distances: the toxic one on the toxic rows' windows that the first pair
+marks, and the ordinary one with the ordinary rows' windows that it marks
+wrongly. Which windows are marked is decided by a threshold on the distance,
+calibrated on the windows of the training rows.
+
 zstandard stores very short inputs raw and seeks no match in the last bytes,
-hence each window is followed by a tail that both dictionaries end with. Equal windows are compressed once by a worker.
+hence each window is followed by a tail that both dictionaries end with. A window
+that has no run of 5 or 8 bytes (``OWN``) which only the toxic dictionary holds
+counts as saving nothing, and is not compressed. Equal windows of a batch are
+compressed once.
 
 Fitted on a bounded sample of labelled rows (``TOXIC`` and ``ORDINARY``).
 Defined results: a null text scores as an empty one; labels other than 0 and 1
-are left out; without both classes, or without toxic windows, the score is the
-share of toxic rows among the sample (0 without labels). Other columns play no part.
+are left out; without both classes the score is the share of toxic rows among
+the sample (0 without labels). Other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,18 +36,20 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mixed, prepare, slices, span_hashes, table, text_bytes, text_column, words
+from .common import _SPACE, prepare, slices, table, text_bytes, text_column, words
 from .quality import held_out, known_labels, sampled
 
 #: Labelled rows in the sample at most, toxic and ordinary.
-TOXIC, ORDINARY = 1200, 2400
-#: Dictionary sizes, and the tail after each window.
-TOXIC_BYTES, ORDINARY_BYTES, TAIL = 8192, 32768, bytes(range(200, 232))
-#: A word is toxic in training if its log rate of contexts exceeds the ordinary one by this, with so many contexts.
-LOG_RATIO, CONTEXTS = 3.5, 8
-#: Windows cached by a worker before it starts afresh.
-CACHE = 1_000_000
-_FIT = dict(window_log=18, min_match=4, strategy=zstandard.STRATEGY_GREEDY, search_log=6, hash_log=17, chain_log=17, target_length=32)
+TOXIC, ORDINARY = 2400, 4800
+#: Words in a window.
+WIDTH = 2
+#: Dictionary sizes, room for ordinary windows that were marked wrongly, and the tail after each window.
+TOXIC_BYTES, ORDINARY_BYTES, WRONG_BYTES, TAIL = 8192, 112640, 131072, bytes(range(200, 232))
+#: Times that the dictionaries are trained again, and how many times as often a toxic row's window must be marked.
+AGAIN, OFTENER = 4, 3.0
+#: Shortest match that the compressor seeks, and the lengths of runs by which a window is seen to be worth compressing.
+MATCH, OWN = 5, (5, 8)
+_FIT = dict(window_log=18, min_match=MATCH, strategy=zstandard.STRATEGY_GREEDY, search_log=6, hash_log=17, chain_log=17, target_length=32)
 _BARE = dict(write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
@@ -49,97 +60,102 @@ class Model(NamedTuple):
     weights: tuple[float, ...]  # bias, then of each of the features
 
 
+def _grams(raw: np.ndarray, size: int) -> np.ndarray:
+    """Slots of all runs of ``size`` bytes in a table of 2**22 bits."""
+    value = np.zeros(max(0, len(raw) - size + 1), np.uint64)
+    for k in range(size if len(value) else 0):
+        value = (value << np.uint64(8)) | raw[k : len(raw) - size + 1 + k]
+    return (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
+
 class Windows:
     """How many bytes the toxic dictionary saves on each window."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         settings = zstandard.ZstdCompressionParameters(**_FIT, **_BARE)
         self.both = []
-        for content in (ordinary, toxic):
+        for content in (ordinary, ordinary + toxic):
             held = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=settings)
             self.both.append(zstandard.ZstdCompressor(dict_data=held, compression_params=settings))
-        self.known: dict[int, int] = {}
-
-    def saved(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes saved on every window and where each text's begin."""
-        raw, offsets = _lowered(texts)
+        self.marked = {size: np.zeros(1 << 22, bool) for size in OWN}
+        for size, marked in self.marked.items():
+            marked[_grams(np.frombuffer(toxic, np.uint8), size)] = True
+            marked[_grams(np.frombuffer(ordinary, np.uint8), size)] = False
+
+    def compressed(self, window: bytes) -> int:
+        """Bytes that the toxic dictionary saves on one window."""
+        ordinary, both = self.both
+        return max(0, len(ordinary.compress(window + TAIL)) - len(both.compress(window + TAIL)))
+
+    def saved(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+        """Bytes saved on every window, where each text's begin, and what each compressed window saves."""
+        raw, offsets = text_bytes(pa.array([f" {x.lower()} " if x else "" for x in texts], pa.string()))
         starts, ends, first = words(raw, offsets)
-        hashes, at, back = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        data, known, (ordinary, toxic) = raw.tobytes(), self.known, self.both
-        for h, a, b in zip(hashes.tolist(), starts[at].tolist(), ends[at].tolist()):
-            if h not in known:
-                window = b" " + data[a:b] + b" " + TAIL
-                known[h] = len(ordinary.compress(window)) - len(toxic.compress(window))
-        return np.fromiter((known[h] for h in hashes.tolist()), np.int64, len(hashes))[back], first
-
-
-def _lowered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return text_bytes(pa.array([x.lower() if x else "" for x in texts], pa.string()))
-
-
-def _contexts(texts: list[str]) -> tuple[dict[int, int], int, dict[int, bytes]]:
-    """Distinct contexts (words before and after) of each word hash, their total, and the words themselves."""
-    raw, offsets = _lowered(list(dict.fromkeys(texts)))
-    starts, ends, first = words(raw, offsets)
-    h = span_hashes(raw, starts, ends)
-    if not len(h):
-        return {}, 0, {}
-    before, after = np.concatenate([[np.uint64(0)], h[:-1]]), np.concatenate([h[1:], [np.uint64(0)]])
-    before[first[:-1][first[:-1] < len(h)]] = 0
-    after[first[1:][first[1:] > 0] - 1] = 0
-    _, at = np.unique(mixed(mixed(mixed(h) + before) + after), return_index=True)
-    found, count = np.unique(h[at], return_counts=True)
-    _, where = np.unique(h, return_index=True)
-    data = raw.tobytes()
-    seen = {int(h[k]): (int(starts[k]), int(ends[k])) for k in where.tolist()}
-    return dict(zip(found.tolist(), count.tolist())), int(count.sum()), {k: data[a:b] for k, (a, b) in seen.items()}
-
-
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    there, n_there, names = _contexts(toxic)
-    here, n_here, _ = _contexts(ordinary)
-    out = []
-    for h, n in there.items():
-        ratio = np.log((n + 0.5) / max(1, n_there)) - np.log((here.get(h, 0) + 0.5) / max(1, n_here))
-        if n >= CONTEXTS and ratio >= LOG_RATIO:
-            out.append((n, names[h]))
-    return [w for _, w in sorted(out, reverse=True)]
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+        many = -(-np.diff(first) // WIDTH)
+        begin = np.concatenate([[0], np.cumsum(many)])
+        if not begin[-1]:
+            return np.zeros(0, np.int64), begin, {}
+        row = np.repeat(np.arange(len(many)), many)
+        at = first[row] + WIDTH * (np.arange(begin[-1]) - begin[row])
+        low, high = starts[at] - 1, ends[np.minimum(at + WIDTH, first[row + 1]) - 1] + 1
+        plain = np.where(_SPACE[raw], np.uint8(32), raw)
+        some = np.zeros(begin[-1], bool)
+        for size, marked in self.marked.items():
+            hits = np.concatenate([[0], np.cumsum(marked[_grams(plain, size)])])
+            last = len(hits) - 1
+            some |= hits[np.clip(high - size + 1, 0, last)] > hits[np.minimum(low, last)]
+        some = np.flatnonzero(some)
+        data, known, out = plain.tobytes(), {}, np.zeros(begin[-1], np.int64)
+        for k, a, b in zip(some.tolist(), low[some].tolist(), high[some].tolist()):
+            window = data[a:b]
+            value = known.get(window)
+            if value is None:
+                value = known[window] = self.compressed(window)
+            out[k] = value
+        return out, begin, known
+
+
+def _dictionary(samples: list[bytes], size: int, d: int, k: int) -> bytes:
     """A trained dictionary, or the samples themselves where they are too few to train on."""
+    samples = [x for x in samples if len(x) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, d=6, k=32).as_bytes()
+        return zstandard.train_dictionary(size, samples, d=d, k=k).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[:size] or b" "
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes] | None:
-    marked = set(toxic_words(toxic, ordinary))
-    if not marked:
-        return None
-    windows = []
-    for text in toxic:
-        own = [w for w in text.lower().encode().split() if w in marked]
-        if own:
-            windows.append(b" " + b" ".join(own) + b" ")
-    plain = [b" ".join(words_[k : k + 8]) for t in ordinary for words_ in [t.lower().encode().split()] for k in range(0, len(words_), 8)]
-    return _dictionary(windows, TOXIC_BYTES), _dictionary([p for p in plain if len(p) >= 8], ORDINARY_BYTES)
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a toxic and an ordinary dictionary: trained on whole texts, then again on what the pair before marks."""
+    there = _dictionary([x.lower().encode() for x in toxic], TOXIC_BYTES, 6, 16)
+    base = here = _dictionary([x.lower().encode() for x in ordinary], ORDINARY_BYTES, 8, 32)
+    yield there, here
+    for _ in range(AGAIN):
+        pair = Windows(there, here)
+        (right, _, of_toxic), (wrong, _, of_ordinary) = pair.saved(toxic), pair.saved(ordinary)
+        rates = [((right >= t).sum() / max(1, len(right)), (wrong >= t).sum() / max(1, len(wrong)), t) for t in range(1, 12)]
+        theta = next((t for rate, other, t in rates if rate > 0 and rate >= OFTENER * other), None)
+        if theta is None:
+            return
+        there = _dictionary([w for w, v in of_toxic.items() if v >= theta], TOXIC_BYTES, 6, 16)
+        here = base + b"".join(w for w, v in of_ordinary.items() if v >= theta)[:WRONG_BYTES]
+        yield there, here
 
 
 def _features(saved: np.ndarray, first: np.ndarray, theta: int) -> np.ndarray:
-    """Bias, logarithm of the counted windows, square root of their share, and the largest saving, of each text."""
-    hits = np.concatenate([[0], np.cumsum(saved >= theta)])
-    count = (hits[first[1:]] - hits[first[:-1]]).astype(float)
+    """Bias, logarithms of the windows that save theta and two bytes more, square root of the former's share, and the largest saving, of each text."""
+
+    def counted(least: int) -> np.ndarray:
+        hits = np.concatenate([[0], np.cumsum(saved >= least)])
+        return (hits[first[1:]] - hits[first[:-1]]).astype(float)
+
+    count = counted(theta)
     n = np.diff(first)
     most = np.zeros(len(n))
     filled = np.flatnonzero(n)
     if len(filled):
         most[filled] = np.maximum.reduceat(saved, first[:-1][filled])
-    return np.stack([np.ones(len(n)), np.log1p(count), np.sqrt(count / np.maximum(n, 1)), np.clip(most, 0, 12) / 4], 1)
+    return np.stack([np.ones(len(n)), np.log1p(count), np.sqrt(count / np.maximum(n, 1)), np.clip(most, 0, 12) / 4, np.log1p(counted(theta + 2))], 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
@@ -157,16 +173,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.nda
 
 
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Two thirds of each class train the dictionaries, the rest calibrates."""
-    found = dictionaries(toxic[: 2 * len(toxic) // 3], ordinary[: 2 * len(ordinary) // 3]) if toxic and ordinary else None
-    if found is None:
+    """Two thirds of each class train the dictionaries, the rest calibrates and chooses among the pairs and thresholds."""
+    if not toxic or not ordinary:
         share = len(toxic) / (len(toxic) + len(ordinary)) if toxic else 0.0
         return Model(b"", b"", 0, (float(np.log((share + 1e-9) / (1 - share + 1e-9))),))
-    rest = toxic[2 * len(toxic) // 3 :] + ordinary[2 * len(ordinary) // 3 :]
-    y = np.array([1.0] * (len(toxic) - 2 * len(toxic) // 3) + [0.0] * (len(ordinary) - 2 * len(ordinary) // 3))
-    saved, first = Windows(*found).saved(rest)
-    best = min(((_logistic(_features(saved, first, t), y), t) for t in range(1, 9)), key=lambda b: b[0][1])
-    return Model(*found, best[1], tuple(best[0][0].tolist()))
+    n, m = -(-2 * len(toxic) // 3), -(-2 * len(ordinary) // 3)
+    rest = (toxic[n:] or toxic) + (ordinary[m:] or ordinary)
+    y = np.array([1.0] * len(toxic[n:] or toxic) + [0.0] * len(ordinary[m:] or ordinary))
+    found = []
+    for pair in dictionaries(toxic[:n], ordinary[:m]):
+        saved, first, _ = Windows(*pair).saved(rest)
+        found += [(*_logistic(_features(saved, first, t), y)[::-1], Model(*pair, t, ())) for t in range(1, 12)]
+    _, weights, model = min(found, key=lambda f: f[0])
+    return model._replace(weights=tuple(weights.tolist()))
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, ordinary: int = ORDINARY) -> Model:
@@ -192,7 +211,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 if m.toxic:
-                    x = _features(*_windows(m.toxic, m.ordinary).saved(text_column(part).to_pylist()), m.theta)
+                    x = _features(*_windows(m.toxic, m.ordinary).saved(text_column(part).to_pylist())[:2], m.theta)
                 else:
                     x = np.ones((part.num_rows, 1))
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
