@@ -15,11 +15,11 @@ are. Other columns play no part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import mixed, slices, table, text_bytes, text_column
@@ -32,7 +32,7 @@ GRAM, SLOTS, HASHES = 4, 1 << 20, 3
 WORD = 64
 #: An n-gram belongs to a language if its rate there is at least this share of its highest rate.
 SHARE = 0.25
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out() -> Column:
