@@ -61,11 +61,15 @@ class Model(NamedTuple):
 
 
 def _grams(raw: np.ndarray, size: int) -> np.ndarray:
-    """Slots of all runs of ``size`` bytes in a table of 2**22 bits."""
+    """All runs of ``size`` bytes (eight at most) as whole numbers."""
     value = np.zeros(max(0, len(raw) - size + 1), np.uint64)
     for k in range(size if len(value) else 0):
         value = (value << np.uint64(8)) | raw[k : len(raw) - size + 1 + k]
-    return (value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+    return value
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
 
 
 class Windows:
@@ -78,10 +82,12 @@ class Windows:
             held = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=settings)
             self.both.append(zstandard.ZstdCompressor(dict_data=held, compression_params=settings))
-        self.marked = {size: np.zeros(1 << 22, bool) for size in OWN}
-        for size, marked in self.marked.items():
-            marked[_grams(np.frombuffer(toxic, np.uint8), size)] = True
-            marked[_grams(np.frombuffer(ordinary, np.uint8), size)] = False
+        self.own = {}
+        for size in OWN:
+            only = np.setdiff1d(_grams(np.frombuffer(toxic, np.uint8), size), _grams(np.frombuffer(ordinary, np.uint8), size))
+            slots = np.zeros(1 << 22, bool)
+            slots[_slots(only)] = True
+            self.own[size] = only, slots
 
     def compressed(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on one window."""
@@ -101,8 +107,12 @@ class Windows:
         low, high = starts[at] - 1, ends[np.minimum(at + WIDTH, first[row + 1]) - 1] + 1
         plain = np.where(_SPACE[raw], np.uint8(32), raw)
         some = np.zeros(begin[-1], bool)
-        for size, marked in self.marked.items():
-            hits = np.concatenate([[0], np.cumsum(marked[_grams(plain, size)])])
+        for size, (only, slots) in self.own.items():
+            grams = _grams(plain, size)
+            hit = slots[_slots(grams)]
+            at_slot = np.flatnonzero(hit)
+            hit[at_slot] = np.isin(grams[at_slot], only)
+            hits = np.concatenate([[0], np.cumsum(hit)])
             last = len(hits) - 1
             some |= hits[np.clip(high - size + 1, 0, last)] > hits[np.minimum(low, last)]
         some = np.flatnonzero(some)
