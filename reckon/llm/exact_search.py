@@ -30,6 +30,8 @@ from .vectors import blocked, commonest_size, distinct_best, first_of_each, matr
 SCALE, TOP, EVERY = 1024, 10, 100
 #: Vectors in a chunk and queries in a block, about.
 CHUNK, BLOCK = 32_768, 8_192
+#: Vectors in a chunk at least where there are fewer chunks than cores.
+LEAST = 4_096
 #: Vectors in the sample that gives each query its first bound.
 SAMPLE = 8_192
 #: Places of each list that a query reads at first; each further reading is twice as long.
@@ -111,9 +113,9 @@ def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk:
         known = [(batch.column(0).to_numpy(), matrix(batch))]
     asked = stored(bounded(rows.where(queries), known, k), "asked")
     n, q = rows.count(), asked.count()
-    chunks = max(1, -(-n // chunk))
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-q // block), min(-(-q // 64), -(-2 * cores // chunks)))
+    chunks = max(1, -(-n // chunk), min(cores, -(-n // LEAST)))
+    blocks = max(1, -(-q // block))
     node = F.xxhash64("chunk", "block", "size")
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
     left = rows.select("vec_id", "embedding", "size", salted(F.lit(chunks)).alias("chunk"), every(blocks).alias("block"))
