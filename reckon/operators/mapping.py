@@ -192,6 +192,14 @@ def top_codes(rows: DataFrame, faults: str = "faults", limit: int = 10) -> DataF
     return each.orderBy(F.desc("n"), "code").limit(limit)
 
 
+def dry_run(rows: DataFrame, order: str, sample: int = 100, issues: int = 5) -> tuple[DataFrame, DataFrame]:
+    """sampled, success, failed and whether all passed, over the first ``sample`` mapped rows; and their commonest codes."""
+    first = rows.orderBy(order).limit(sample)
+    counts = first.agg(F.count("*").alias("sampled"), F.count_if(F.size("faults") == 0).alias("success"))
+    counts = counts.withColumn("failed", F.col("sampled") - F.col("success"))
+    return counts.withColumn("passed", (F.col("sampled") > 0) & (F.col("failed") == 0)), top_codes(first, limit=issues)
+
+
 def file_gate(mappings: list[FieldMapping], headers: list[str], expected: list[str] | None = None) -> list[tuple[str, str]]:
     """(outcome, code) of a file's structure: fatal if it cannot be mapped, a warning if columns were only appended."""
     out = []

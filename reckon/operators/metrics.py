@@ -204,3 +204,9 @@ def results_fingerprint(results: DataFrame, by: list[str]) -> DataFrame:
     chunks = T.StructType([*kinds, T.StructField("first", T.StringType()), T.StructField("part", T.LongType()), T.StructField("text", T.StringType())])
     ranged = counted.repartitionByRange(*by, "each").sortWithinPartitions(*by, "each").mapInArrow(_joined(by), chunks)
     return ranged.repartition(*by).sortWithinPartitions(*by, "first", "part").mapInArrow(_digests(by), T.StructType([*kinds, T.StructField("fingerprint", T.StringType())]))
+
+
+def in_period(rows: DataFrame, partner: str, at: str, first: Column, last: Column, most: int | None = None) -> DataFrame:
+    """A partner's rows between two times, both included, in order of time and id, ``most`` at most."""
+    own = rows.where((F.col("partner") == partner) & F.col(at).between(first, last)).orderBy(at, "id")
+    return own if most is None else own.limit(max(most, 0))

@@ -127,6 +127,56 @@ def daily(rows: DataFrame, at: str) -> DataFrame:
     )
 
 
+def described(rows: DataFrame, amount: str) -> DataFrame:
+    """count, mean, std, min, quartiles and max of a column."""
+    points = rows.where(F.col(amount).isNotNull()).groupBy(F.col(amount).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    whole = rows.agg(F.count(amount).alias("count"), F.avg(amount).alias("mean"), F.stddev(amount).alias("std"), F.min(amount).alias("min"), F.max(amount).alias("max"))
+    found = quantiles(points, [], "_x", "_n", [0.25, 0.5, 0.75])
+    wide = whole.join(F.broadcast(found), F.lit(True), "left")  # a row each
+    return wide.select("count", "mean", "std", "min", *[F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))], "max")
+
+
+def value_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Each value, nulls included, with its rows and their share, the most frequent first."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), column)
+
+
+def histogram(rows: DataFrame, amount: str, bins: int) -> DataFrame:
+    """bin, lower, n of equal ranges between the least and the greatest value, the last one closed."""
+    x = F.col(amount).cast("double")
+    bounds = rows.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    placed = rows.where(x.isNotNull()).select(x.alias("x")).join(F.broadcast(bounds), F.lit(True))  # a row of bounds
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    return placed.groupBy(bin_.cast("int").alias("bin")).agg(F.first(F.col("lo") + bin_ * (F.col("hi") - F.col("lo")) / bins).alias("lower"), F.count("*").alias("n"))
+
+
+def samples(rows: DataFrame, column: str, order: str, most: int = 5) -> DataFrame:
+    """missing, rate, and the ``most`` first distinct values of a column in order."""
+    whole = rows.agg(F.count("*").alias("n"), F.count_if(is_missing(F.col(column))).alias("missing"))
+    first = rows.where(~is_missing(F.col(column))).groupBy(column).agg(F.min(order).alias("_at")).orderBy("_at").limit(most)
+    shown = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(column).cast("string").alias("v")))), lambda s: s["v"]).alias("samples"))
+    return whole.join(F.broadcast(shown), F.lit(True)).select("n", "missing", (F.col("missing") / F.col("n")).alias("rate"), "samples")
+
+
+def instants(rows: DataFrame, text: str) -> DataFrame:
+    """n, sub_second, zone_missing of timestamps as texts."""
+    x = F.trim(text)
+    return rows.where(~is_missing(F.col(text))).agg(F.count("*").alias("n"), F.count_if(x.rlike(r"\d{2}:\d{2}:\d{2}\.\d*[1-9]")).alias("sub_second"), F.count_if(~x.rlike(r"(?i)(z|[+-]\d{2}:?\d{2})$")).alias("zone_missing"))
+
+
+def quality_score(rows: DataFrame, rejected: Column) -> DataFrame:
+    """n, rejected, and 100 times the share of rows that are not."""
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(rejected).alias("rejected"))
+    return counts.withColumn("score", F.try_divide(100.0 * (F.col("n") - F.col("rejected")), F.col("n")))
+
+
+def crosstab_with_margins(rows: DataFrame, row: str, column: str, values: list[str], margin: str = "All") -> DataFrame:
+    """``crosstab`` as texts with a last row of totals."""
+    counted = rows.rollup(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values], F.count("*").alias("total"), F.grouping_id().alias("_g"))
+    return counted.withColumn(row, F.when(F.col("_g") == 1, margin).otherwise(F.col(row))).drop("_g")
+
+
 def crosstab(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     counted = rows.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values], F.count("*").alias("total"))
     return counted

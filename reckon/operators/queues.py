@@ -81,9 +81,14 @@ def error_rate(total: Column, failed: Column) -> Column:
 
 
 def column_scores(cells: DataFrame, headers: list[str]) -> DataFrame:
-    """role, column, score: matches of values and headers, over the rows of ``cells``, in one aggregation."""
-    long = cells.select(F.posexplode("cells").alias("at", "raw")).withColumn("value", F.trim("raw")).where("value <> ''")
-    hits = long.groupBy("at").agg(F.count("*").alias("filled"), *[F.count_if(F.col("value").rlike(p)).alias(r) for r, p in ROLE_VALUES.items()])
+    """role, column, score: matches of values and headers, over the rows of ``cells``, in one aggregation.
+
+    A column without a filled cell, or beyond all rows, still has its header's score.
+    """
+    long = cells.select(F.posexplode("cells").alias("at", "raw")).withColumn("value", F.coalesce(F.trim("raw"), F.lit("")))
+    headed = cells.sparkSession.createDataFrame([(k, "", "") for k in range(len(headers))], "at int, raw string, value string")
+    filled = F.col("value") != ""
+    hits = long.unionByName(headed).groupBy("at").agg(F.count_if(filled).alias("filled"), *[F.count_if(filled & F.col("value").rlike(p)).alias(r) for r, p in ROLE_VALUES.items()])
     names = F.array(*[F.lit(h.lower().replace(" ", "")) for h in headers])
     each = []
     for role, words in ROLE_HEADERS.items():
@@ -98,6 +103,55 @@ def best_columns(scores: DataFrame) -> DataFrame:
     return best.select("role", (-F.col("b")[f"{best.schema['b'].dataType.names[1]}"]).alias("column"), F.col("b.score").alias("score")).where("score > 0")
 
 
+def candidate_columns(cells: DataFrame, headers: list[str], order: str, rows: int = 10) -> DataFrame:
+    """column, header, filled, samples, priority of the columns with a header or a filled cell in the first ``rows`` rows, the likeliest first."""
+    first = cells.orderBy(order).limit(rows).select(order, F.posexplode("cells").alias("at", "raw"))
+    long = first.select("at", F.col(order).alias("line"), F.coalesce(F.trim("raw"), F.lit("")).alias("value"))
+    headed = cells.sparkSession.createDataFrame([(k, h.strip()) for k, h in enumerate(headers)], "at int, header string")
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct("line", "value")))), lambda x: x["value"])  # of ``rows`` rows
+    seen = long.groupBy("at").agg(F.count_if(F.col("value") != "").alias("filled"), F.slice(shown, 1, 3).alias("samples"))
+    out = seen.join(headed, "at", "full_outer").select("at", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("samples", F.array()).alias("samples"))
+    out = out.where("header <> '' OR filled > 0")
+    priority = F.when(F.col("header").rlike("[A-Za-zÀ-ỹ0-9]"), 2).otherwise(0) + F.least("filled", F.lit(3))
+    named = F.when(F.col("header") == "", F.concat(F.lit("Column "), (F.col("at") + 1).cast("string"))).otherwise(F.col("header"))
+    out = out.select((F.col("at") + 1).alias("column"), named.alias("header"), "filled", "samples", priority.alias("priority"))
+    return out.orderBy(F.desc("priority"), F.desc("filled"), "column")
+
+
+def stale(known_hash: Column, seen_hash: Column, known_shape: Column, seen_shape: Column) -> Column:
+    """Whether a configuration no longer fits its file: by the hashes where both are known, else by the shapes."""
+    return F.when(known_hash.isNotNull() & seen_hash.isNotNull(), known_hash != seen_hash).otherwise(~known_shape.eqNullSafe(seen_shape))
+
+
+def by_run_or_file(rows: DataFrame, run=None, file=None) -> DataFrame:
+    """Rows of a run or list of runs; only without one, of a file or list of files."""
+    if run is not None:
+        return filtered(rows, run=run)
+    return filtered(rows, source_file_id=file)
+
+
+def file_operations(files: DataFrame, pending: DataFrame, most: int = 50) -> DataFrame:
+    """Of the ``most`` newest files: how many, completed and failed; and the pending quarantined records, as many at most."""
+    newest = files.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
+    counts = newest.agg(F.count("*").alias("returned_files"), F.count_if(F.col("status") == "COMPLETED").alias("completed_files"), F.count_if(F.col("status") == "FAILED").alias("failed_files"))
+    held = pending.limit(most).agg(F.count("*").alias("pending_quarantine"))
+    return counts.join(F.broadcast(held), F.lit(True))  # a row each
+
+
+def jobs(configs: DataFrame, checkpoints: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
+    """Each configuration with its checkpoint and its latest run, null where it has none."""
+    latest = newest_of([runs], by, "run_at")
+    return configs.join(newest_of([checkpoints], by, "checkpoint_at"), by, "left").join(latest, by, "left")
+
+
+def bounded_errors(errors: DataFrame, by: list[str], order: list[str], most: int = 5) -> DataFrame:
+    """The first ``most`` errors of each run, and how many there were and were left out."""
+    place = Window.partitionBy(*by).orderBy(*order)
+    total = errors.groupBy(*by).agg(F.count("*").alias("errors"))
+    first = errors.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+    return first.join(total, by).withColumn("dropped", F.greatest(F.col("errors") - most, F.lit(0)))
+
+
 def guardrails(insights: DataFrame) -> DataFrame:
     """id, risk, field: claims that the metrics beside them (rate, total, actual) do not bear out."""
     level = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.lower("severity"))

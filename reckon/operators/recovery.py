@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Error codes of each kind of issue; other codes are OTHER.
 ISSUE_CODES = {
@@ -17,7 +17,7 @@ ISSUE_CODES = {
 #: Errors that are retried by themselves.
 RETRYABLE = ("fetch_timeout", "fetch_network_error", "fetch_http_429", "fetch_http_5xx", "source_persist_error", "checkpoint_advance_error", "checkpoint_stale")
 #: Allowed changes of a quarantined record's status.
-TRANSITIONS = {"PENDING": ("REPROCESSING", "RESOLVED", "REJECTED"), "REPROCESSING": ("PENDING", "RESOLVED", "REJECTED"), "RESOLVED": (), "REJECTED": ()}
+TRANSITIONS = {"PENDING": ("REPROCESSING",), "REPROCESSING": ("PENDING", "RESOLVED", "REJECTED"), "RESOLVED": (), "REJECTED": ()}
 #: Days until a record is due, and that resolved and rejected records are kept.
 DUE_DAYS, KEPT_DAYS = 1, {"RESOLVED": 90, "REJECTED": 365}
 
@@ -96,3 +96,34 @@ def backfill_days(first: date, last: date, most: int = 31) -> list[date]:
     if not days or len(days) > most:
         raise ValueError(f"a backfill has 1 to {most} working days, not {len(days)}")
     return days
+
+
+def overdue(records: DataFrame, now: Column, late: bool, status: str | None = None) -> DataFrame:
+    """Records due by ``now`` (open ones, if no status is asked for), or those due later."""
+    if status is not None:
+        records = records.where(F.col("status") == status)
+    if not late:
+        return records.where(F.col("due_at") > now)
+    return records.where((F.col("due_at") <= now) & (F.lit(status is not None) | F.col("status").isin("PENDING", "REPROCESSING")))
+
+
+def expired(records: DataFrame, now: Column, most: int = 100) -> DataFrame:
+    """The ``most`` closed records whose time is over, the longest expired first."""
+    return records.where(F.col("status").isin(*KEPT_DAYS) & (F.col("expires_at") <= now)).orderBy("expires_at", "id").limit(most)
+
+
+def append(records: DataFrame, path: str) -> None:
+    """Adds quarantined records, with their defaults, to the store at ``path``, a folder for each status."""
+    with_defaults(records).write.mode("append").partitionBy("status").parquet(path)
+
+
+def purge(spark: SparkSession, path: str, now: Column, most: int = 100) -> int:
+    """Takes the ``most`` longest expired records out of the store and returns how many went; only closed statuses are rewritten."""
+    closed = spark.read.parquet(path).where(F.col("status").isin(*KEPT_DAYS))
+    gone = expired(closed, now, most).select("id").checkpoint()  # at most ``most`` rows
+    n = gone.count()
+    if n:
+        kept = closed.join(F.broadcast(gone), "id", "left_anti").checkpoint()
+        for status in KEPT_DAYS:
+            kept.where(F.col("status") == status).drop("status").write.mode("overwrite").parquet(f"{path}/status={status}")
+    return n

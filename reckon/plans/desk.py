@@ -11,25 +11,25 @@ from .workload import RELATIONS, table
 
 _PACKETS = """
 k AS (SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS created_at, user_id % 5 AS partner, event_type AS source, CASE WHEN event_id % 4 = 0 THEN NULL ELSE user_id % 50 END AS delivery,
-  CASE WHEN event_id % 3 = 0 THEN 'APPROVED' ELSE 'PENDING' END AS status FROM events WHERE user_id IS NOT NULL)"""
+  CASE WHEN event_id % 30 = 0 THEN 'APPROVED' ELSE 'PENDING' END AS status FROM events WHERE user_id IS NOT NULL)"""
 
 
 def packets(spark: SparkSession, d: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     return table(spark, d, "events").where("user_id IS NOT NULL").select(
         k.alias("id"), F.col("ts").alias("created_at"), (u % 5).alias("partner"), F.col("event_type").alias("source"),
-        F.when(k % 4 != 0, u % 50).alias("delivery"), F.when(k % 3 == 0, "APPROVED").otherwise("PENDING").alias("status"),
+        F.when(k % 4 != 0, u % 50).alias("delivery"), F.when(k % 30 == 0, "APPROVED").otherwise("PENDING").alias("status"),
     )
 
 
 def _visible(spark: SparkSession, d: str) -> DataFrame:
     every = packets(spark, d)
-    return queues.visible_packets(every.where("status = 'PENDING' AND id % 2 = 0"), every.where("status = 'APPROVED' AND id % 30 = 0"), ["partner", "source"], ["delivery"])
+    return queues.visible_packets(every.where("status = 'PENDING'"), every.where("status = 'APPROVED'"), ["partner", "source"], ["delivery"])
 
 
 _VISIBLE = _PACKETS + """,
-w AS (SELECT *, row_number() OVER (PARTITION BY partner, source ORDER BY created_at DESC, id DESC) AS n FROM k WHERE status = 'PENDING' AND id % 2 = 0
-  AND NOT EXISTS (SELECT 1 FROM k a WHERE a.status = 'APPROVED' AND a.id % 30 = 0 AND a.partner = k.partner AND a.source = k.source AND a.delivery IS NOT DISTINCT FROM k.delivery))"""
+w AS (SELECT *, row_number() OVER (PARTITION BY partner, source ORDER BY created_at DESC, id DESC) AS n FROM k WHERE status = 'PENDING'
+  AND NOT EXISTS (SELECT 1 FROM k a WHERE a.status = 'APPROVED' AND a.partner = k.partner AND a.source = k.source AND a.delivery IS NOT DISTINCT FROM k.delivery))"""
 
 
 @query(f"WITH {_VISIBLE} SELECT id, partner, source, delivery, created_at FROM w WHERE n = 1")

@@ -128,3 +128,31 @@ def test_fingerprints_of_large_days_are_not_collected_in_a_row(spark):
     got = metrics.results_fingerprint(results, ["date"])
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_only_reprocessing_follows_pending(spark):
+    from reckon.operators import recovery
+
+    states = list(recovery.TRANSITIONS)
+    rows = spark.createDataFrame([(a, b) for a in states for b in states], "a string, b string")
+    got = {(r["a"], r["b"]) for r in rows.where(recovery.transition_allowed(F.col("a"), F.col("b"))).collect()}
+    assert got == {("PENDING", "REPROCESSING"), *(("REPROCESSING", x) for x in ("PENDING", "RESOLVED", "REJECTED"))}
+
+
+def test_quarantine_store_appends_and_purges(spark, tmp_path):
+    from datetime import datetime
+
+    from reckon.operators import recovery
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "cut"))
+    at = datetime(2024, 1, 1)
+    rows = [(k, at, s, ["INVALID_AMOUNT"], "ERROR", datetime(2024, 1, 1 + k)) for k, s in enumerate(["PENDING", "RESOLVED", "RESOLVED", "REJECTED", "RESOLVED"])]
+    records = spark.createDataFrame(rows, "id long, created_at timestamp, status string, codes array<string>, severity string, resolved_at timestamp")
+    path = str(tmp_path / "store")
+    recovery.append(records, path)
+    recovery.append(records.where("id = 0").withColumn("id", F.lit(9).cast("long")), path)
+    ids = lambda: sorted(r["id"] for r in spark.read.parquet(path).collect())
+    assert ids() == [0, 1, 2, 3, 4, 9]
+    assert recovery.purge(spark, path, F.lit("2024-04-02 00:00:00").cast("timestamp"), 10) == 2 and ids() == [0, 3, 4, 9]
+    assert recovery.purge(spark, path, F.lit("2026-01-01 00:00:00").cast("timestamp"), 1) == 1 and ids() == [0, 3, 9]
+    assert recovery.purge(spark, path, F.lit("2023-01-01 00:00:00").cast("timestamp")) == 0
