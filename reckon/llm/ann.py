@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import stored, table, tidied
 from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
 
 TOP, EVERY = 5, 50
@@ -173,7 +173,7 @@ def _routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=["vec_id", "embedding", "size", "parts"])
 
     own = rows.select("vec_id", "embedding", "size")
-    out = own.mapInArrow(run, "vec_id long, embedding array<double>, size int, parts array<int>")
+    out = own.mapInArrow(tidied(run), "vec_id long, embedding array<double>, size int, parts array<int>")
     return out.select("vec_id", "embedding", "size", F.explode("parts").alias("part"))
 
 

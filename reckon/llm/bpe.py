@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import prepare, slices, table, text_column
-from .pretokens import PieceCache, encoded
+from .common import prepare, slices, table, text_column, tidied
+from .pretokens import SLICE, PieceCache, encoded
 
 _END = "</w>"
 #: The rank of a pair that never merges, slots of the table of merges (as a power of two), and the hash's factor.
@@ -186,11 +186,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 ids = [x.astype("<u4").tobytes() for x in bpe.encode(text_column(part))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], names=[*part.schema.names, "ids"])
 
-    return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("ids", "binary"))
+    return docs.select(*own).mapInArrow(tidied(run), docs.select(*own).schema.add("ids", "binary"))
 
 
 def decode(docs: DataFrame, path: str) -> DataFrame:
@@ -208,24 +208,31 @@ def decode(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], names=[*part.schema.names, "decoded"])
 
-    return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("decoded", "string"))
+    return docs.select(*own).mapInArrow(tidied(run), docs.select(*own).schema.add("decoded", "string"))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of the text they decode to, of every document; no text leaves Python."""
+def digests(docs: DataFrame, path: str, own: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+    """``own`` columns, n_tokens, and the SHA-256 of the ids and of the text they decode to, of every document; with ``ids`` those too.
+
+    One pass encodes and decodes, and no text leaves Python.
+    """
     prepare(docs.sparkSession)
+    held = docs.select(*own, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in slices(batch):
-                ids = bpe.encode(text_column(part))
-                shas = [[hashlib.sha256(x).hexdigest() for x in column] for column in ([x.astype("<u4").tobytes() for x in ids], bpe.decode(ids).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), *map(pa.array, shas)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+            for part in slices(batch, limit=SLICE):
+                coded = bpe.encode(part.column(len(own)).cast(pa.string()))
+                raw = [x.astype("<u4").tobytes() for x in coded]
+                shas = [pa.array([hashlib.sha256(x).hexdigest() for x in column], pa.string()) for column in (raw, bpe.decode(coded).to_pylist())]
+                columns = [*part.columns[: len(own)], *([pa.array(raw, pa.binary())] if ids else []), pa.array([len(x) for x in coded], pa.int64()), *shas]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = docs.select(*own).schema
+    if ids:
+        schema = schema.add("ids", "binary")
+    return held.mapInArrow(tidied(run), schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

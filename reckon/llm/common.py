@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import ship
 
 #: Bytes of text handled at once inside a task; longer single documents are still whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows in an Arrow batch of whole texts, which keeps batches to a few MB.
 BATCH_ROWS = 1000
 
@@ -70,6 +71,20 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tidied(run: Callable) -> Callable:
+    """``run`` over a task's Arrow batches, whose freed memory goes back to the system at its end: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     col = batch.column(batch.schema.get_field_index(name))
     return col.cast(pa.string()) if not pa.types.is_string(col.type) else col
@@ -111,17 +126,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    """``n`` powers of an odd base modulo 2**64 and of its inverse; those for a slice are kept."""
+
+    def made(size: int) -> list[np.ndarray]:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
+            out.append(np.multiply.accumulate(steps))
+        return out
+
+    if n > SLICE_BYTES:
+        return tuple(made(n))
+    if not _POWERS:
+        _POWERS.extend(made(SLICE_BYTES))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import stored, table, tidied
 from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
 
 SCALE, TOP, EVERY = 1024, 10, 100
@@ -95,7 +95,7 @@ def bounded(asked: DataFrame, drawn: list[tuple[np.ndarray, np.ndarray]], k: int
                         bound[r] = score[some[-1]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=[*batch.schema.names, "bound"])
 
-    return asked.select("vec_id", "embedding", "size").mapInArrow(run, "vec_id long, embedding array<double>, size int, bound double")
+    return asked.select("vec_id", "embedding", "size").mapInArrow(tidied(run), "vec_id long, embedding array<double>, size int, bound double")
 
 
 def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk: int = CHUNK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:

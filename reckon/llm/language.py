@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import mixed, slices, table, text_bytes, text_column
+from .common import mixed, slices, table, text_bytes, text_column, tidied
 
 #: Rows sampled for each language to fit the filter.
 SAMPLE = 600
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model) -> DataFrame:
                 )
 
     schema = docs.select(*own).schema.add("lang_pred", "string").add("lang_score", "double")
-    return docs.select(*own).mapInArrow(run, schema)
+    return docs.select(*own).mapInArrow(tidied(run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

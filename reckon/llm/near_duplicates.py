@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import broadcast_if_small, checkpointed, prepare, shingles, slices, stored, table, text_bytes, text_column
+from .common import broadcast_if_small, checkpointed, prepare, shingles, slices, stored, table, text_bytes, text_column, tidied
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Coordinates of a signature, tokens sampled at a node, and splits before square blocks.
@@ -90,7 +90,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     out = docs.select("doc_id", "text")
     schema = out.select("doc_id").schema.add("key", "binary").add("sig", "binary")
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidied(run), schema)
 
 
 def _children(nodes: DataFrame, sampled: int) -> DataFrame:
@@ -204,7 +204,7 @@ def candidates(blocks: DataFrame, sets: DataFrame, agree: float = AGREE) -> Data
                 out = []
         yield _batch(out, _PLACED)
 
-    return placed.mapInArrow(run, "node long, path long, half int, key binary")
+    return placed.mapInArrow(tidied(run), "node long, path long, half int, key binary")
 
 
 _PLACED = pa.schema([("node", pa.int64()), ("path", pa.int64()), ("half", pa.int32()), ("key", pa.binary())])
@@ -273,7 +273,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, recall
                 lead[root(i)] = root(j)
             yield _batch([(key[k], key[root(k)], int(near[k])) for k in np.flatnonzero(near).tolist()], _LINKED)
 
-    return both.mapInArrow(run, "key binary, root binary, near long")
+    return both.mapInArrow(tidied(run), "key binary, root binary, near long")
 
 
 def components(edges: DataFrame) -> DataFrame:

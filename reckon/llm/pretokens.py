@@ -18,6 +18,8 @@ from .common import text_bytes
 LETTER, DIGIT, BLANK, SIGN = 1, 2, 3, 4
 #: Pieces in each of the two generations that a Python worker keeps (about 20 MB each; workers outlive their tasks, and keep them).
 CACHE = 100_000
+#: Bytes of text whose pieces are told apart at once.
+SLICE = 1 << 20
 
 
 def _kinds() -> np.ndarray:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import broadcast_if_small, prepare, slices, span_hashes, table, text_bytes, text_column, words
+from .common import broadcast_if_small, prepare, slices, span_hashes, table, text_bytes, text_column, words, tidied
 
 #: Hashed features, byte n-gram lengths, and labelled rows in the fit at most.
 BITS, GRAMS, SAMPLE = 18, (3, 5), 3000
@@ -116,7 +116,7 @@ def class_counts(rows: DataFrame) -> np.ndarray:
         columns = [pa.array(at, pa.int64()), pa.array(sums[0, at]), pa.array(sums[1, at])]
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "n0", "n1"])
 
-    parts = rows.select("text", "label").mapInArrow(run, "feature long, n0 long, n1 long")
+    parts = rows.select("text", "label").mapInArrow(tidied(run), "feature long, n0 long, n1 long")
     got = parts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     out = np.zeros((2, FEATURES + 1))
     out[:, got["feature"].to_numpy()] = np.stack([got["n0"].to_numpy(), got["n1"].to_numpy()])
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p.astype(float))], names=[*part.schema.names, "score"])
 
-    return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("score", "double"))
+    return docs.select(*own).mapInArrow(tidied(run), docs.select(*own).schema.add("score", "double"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

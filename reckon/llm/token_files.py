@@ -33,8 +33,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import prepare, shared_path, slices, table, text_column
-from .pretokens import BLANK, CACHE, KINDS, PieceCache, encoded
+from .common import prepare, shared_path, slices, table, text_column, tidied
+from .pretokens import BLANK, CACHE, KINDS, SLICE, PieceCache, encoded
 
 MAGIC = b"RKS8B001"
 #: Ids in a block at most; it bounds what a reader must decode to reach one document.
@@ -274,7 +274,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list
         with files.open_output_stream(draft) as stream:
             writer = ShardWriter(stream)
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=SLICE):
                     ids = bpe.encode(text_column(part))
                     for doc_id, x in zip(part.column(0).to_pylist(), ids):
                         writer.add(doc_id, np.append(x, np.uint32(end_id)))
@@ -285,7 +285,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list
             pa.schema([("shard", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]),
         )
 
-    rows = ordered.mapInArrow(run, "shard long, file string, docs long, ids long").collect()
+    rows = ordered.mapInArrow(tidied(run), "shard long, file string, docs long, ids long").collect()
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(rows, key=lambda r: r["shard"]) if r["docs"]]
 
 
@@ -310,7 +310,7 @@ def read(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]]) -
                             rows, size = [], 0
                     yield _rows(rows)
 
-    return listed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return listed.mapInArrow(tidied(run), "doc_id long, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

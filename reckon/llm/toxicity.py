@@ -36,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import _SPACE, prepare, slices, table, text_bytes, text_column, words
+from .common import _SPACE, prepare, slices, table, text_bytes, text_column, words, tidied
 from .quality import held_out, known_labels, sampled
 
 #: Labelled rows in the sample at most, toxic and ordinary.
@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.weights), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, "score"])
 
-    return docs.select(*own).mapInArrow(run, docs.select(*own).schema.add("score", "double"))
+    return docs.select(*own).mapInArrow(tidied(run), docs.select(*own).schema.add("score", "double"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

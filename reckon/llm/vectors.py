@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import tidied
+
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id, embedding (doubles), size of rows with an id and finite components, repeated rows once.
@@ -93,7 +95,7 @@ def blocked(vectors: DataFrame, queries: DataFrame, held_as: Callable, best: Cal
                 kinds = (pa.int64(), pa.int64(), pa.float64() if score == "double" else pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["query_id", "vec_id", "score"])
 
-    return both.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+    return both.mapInArrow(tidied(run), f"query_id long, vec_id long, score {score}")
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
