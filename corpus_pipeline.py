@@ -50,18 +50,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens and whether decoding gives as many words back, of every document of the mix."""
-    prepare(spark)
-    path = bpe.vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "ids"), path)
-    return coded.select(
-        "doc_id",
-        "source",
-        "ids",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, source, ids, n_tokens and the digests of the ids and of the text they decode to, of every document of the mix."""
+    return bpe.digests(docs, bpe.vocabulary_path(), ("doc_id", "source"), ids=True)
 
 
 STAGES = [
