@@ -1,8 +1,9 @@
 """Reconciliation of partner with internal transactions, over any number of partner days in one plan.
 
-Each side is aggregated once to a row for each (partner, date, key); one full
-outer join on those keys, which keeps the aggregations' partitioning, gives
-every outcome. Keys with several rows on a side give one ambiguous row.
+Each side is scanned once and aggregated to a row for each (partner, date, key);
+one full outer join on those keys, which keeps the aggregations' partitioning,
+gives every outcome. Keys with several rows on a side give one ambiguous row; rows
+without a key go through the same pass, spread by their ids.
 """
 
 from __future__ import annotations
@@ -51,9 +52,15 @@ def excluded_internal(internal: DataFrame) -> DataFrame:
 
 
 def _grouped(side: DataFrame, name: str) -> DataFrame:
-    fields = [c for c in side.columns if c not in KEYS]
-    one = F.min(F.struct("id", *[c for c in fields if c != "id"]))
-    return side.where("key IS NOT NULL").groupBy(*KEYS).agg(
+    """A row for each key of a side, with its number of rows, their ids and the least row.
+
+    Rows without a key have slots of their own, named by their ids: nothing of the other side
+    matches them, and they spread over all tasks.
+    """
+    slot = F.when(F.col("key").isNull(), F.concat(F.lit(f"{name}:"), F.coalesce("id", F.lit("")))).otherwise("")
+    one = F.min(F.struct("id", *[c for c in side.columns if c not in (*KEYS, "id")]))
+    keyed = side.withColumns({"_slot": slot, "_key": F.coalesce("key", F.lit(""))})
+    return keyed.groupBy("partner", "date", "_key", "_slot").agg(
         F.count("*").alias(f"{name}_n"), F.array_sort(F.collect_list("id")).alias(f"{name}_ids"), one.alias(name)
     )
 
@@ -62,7 +69,8 @@ def _outcome() -> Column:
     same_amount = F.col("p.amount") == F.col("i.amount")
     same_status = F.col("p.status") == F.col("i.status")
     return (
-        F.when((F.coalesce("p_n", F.lit(0)) > 1) | (F.coalesce("i_n", F.lit(0)) > 1), "AMBIGUOUS_KEY")
+        F.when(F.col("key").isNull(), "UNMAPPED_SKIPPED")
+        .when((F.coalesce("p_n", F.lit(0)) > 1) | (F.coalesce("i_n", F.lit(0)) > 1), "AMBIGUOUS_KEY")
         .when(F.col("i_n").isNull(), "MISSING_INTERNAL")
         .when(F.col("p_n").isNull(), "MISSING_PARTNER")
         .when(same_amount & same_status & (F.col("p.status") == "FAILED"), "MATCHED_FAILED")
@@ -93,8 +101,11 @@ def reconcile(
         p = p.where(F.col("file") == source_file)
         if scope != "FULL_SNAPSHOT":
             i = i.join(p.select(*KEYS).distinct(), KEYS, "left_semi")
-    both = _grouped(p, "p").join(_grouped(i, "i"), KEYS, "full_outer").withColumn("reconciliation_status", _outcome())
-    clear = F.col("reconciliation_status") != "AMBIGUOUS_KEY"
+    unmapped = F.col("key").isNull()
+    copies = F.when(unmapped, F.sequence(F.lit(1), F.coalesce("p_n", "i_n").cast("int"))).otherwise(F.array(F.lit(1)))  # of one id
+    both = _grouped(p, "p").join(_grouped(i, "i"), ["partner", "date", "_key", "_slot"], "full_outer").withColumn("key", F.nullif(F.col("_key"), F.lit("")))
+    both = both.withColumn("reconciliation_status", _outcome()).withColumn("_copy", F.explode(copies))
+    clear = ~F.col("reconciliation_status").isin("AMBIGUOUS_KEY", "UNMAPPED_SKIPPED")
 
     def of(side: str, field: str) -> Column:
         return F.when(clear, F.col(f"{side}.{field}"))
@@ -106,7 +117,13 @@ def reconcile(
         .when(F.abs(delta) <= tolerance, "MATCHED")
         .otherwise("MISMATCH")
     )
-    matched = both.select(
+    def ids(side: str) -> Column:
+        """Ids of an ambiguous key, the one id of a row without a key, none of a side without rows; null where the key is clear."""
+        none = F.array().cast("array<string>")
+        own = F.when(F.col(f"{side}_n").isNull(), none).when(unmapped, F.array(F.col(f"{side}.id"))).otherwise(F.col(f"{side}_ids"))
+        return F.when(~clear, own)
+
+    return both.select(
         "partner",
         "date",
         F.col("key").alias("reconciliation_key"),
@@ -122,25 +139,9 @@ def reconcile(
         evidence.alias("timestamp_status"),
         delta.alias("timestamp_delta_seconds"),
         F.coalesce(of("p", "file"), F.lit(source_file)).alias("source_file_id"),
-        F.when(~clear, F.coalesce("p_ids", F.array().cast("array<string>"))).alias("ambiguous_partner_record_ids"),
-        F.when(~clear, F.coalesce("i_ids", F.array().cast("array<string>"))).alias("ambiguous_internal_record_ids"),
+        ids("p").alias("ambiguous_partner_record_ids"),
+        ids("i").alias("ambiguous_internal_record_ids"),
     )
-    return matched.unionByName(_unmapped(p, "partner", source_file)).unionByName(_unmapped(i, "internal", source_file))
-
-
-def _unmapped(side: DataFrame, name: str, source_file: str | None) -> DataFrame:
-    none = F.array().cast("array<string>")
-    ids = {n: F.array("id") if n == name else none for n in ("partner", "internal")}
-    text, money, time = (F.lit(None).cast(t) for t in ("string", keys.MONEY, "timestamp_ntz"))
-    return side.where("key IS NULL").select(
-        "partner", "date", text.alias("reconciliation_key"),
-        money.alias("partner_amount"), money.alias("internal_amount"), text.alias("partner_status"), text.alias("internal_status"),
-        F.lit("UNMAPPED_SKIPPED").alias("reconciliation_status"), text.alias("partner_record_id"), text.alias("internal_record_id"),
-        time.alias("partner_trans_date"), time.alias("internal_transaction_time"),
-        F.lit("NOT_EVALUATED").alias("timestamp_status"), F.lit(None).cast("decimal(20,6)").alias("timestamp_delta_seconds"),
-        F.lit(source_file).cast("string").alias("source_file_id"),
-        ids["partner"].alias("ambiguous_partner_record_ids"), ids["internal"].alias("ambiguous_internal_record_ids"),
-    )
 
 
 def one_day(side: DataFrame, column: str, day, zone: str = times.BUSINESS_ZONE) -> DataFrame:
