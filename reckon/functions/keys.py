@@ -35,6 +35,13 @@ def ingestion_key(ident: Column, trace: Column) -> Column:
     return F.coalesce(F.nullif(ident, F.lit("")), F.nullif(trace, F.lit("")))
 
 
+def exact_money(text: Column) -> Column:
+    """The amount of a text, null if it is none or would lose places in the stored scale."""
+    wide = text.try_cast("decimal(38,22)")
+    stored = text.try_cast(MONEY)
+    return F.when(wide == stored, stored)
+
+
 def plain_amount(amount: Column) -> Column:
     """An amount's text without trailing zeros, '0' for zero: equal amounts give equal texts."""
     text = amount.cast(MONEY).cast("string")
@@ -50,3 +57,22 @@ def percent(part: Column, whole: Column) -> Column:
 def fingerprint(*fields: Column) -> Column:
     """SHA-256 over fields, with nulls told apart from empty texts."""
     return F.sha2(F.to_json(F.struct(*[F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("~")).alias(f"f{k}") for k, f in enumerate(fields)])), 256)
+
+
+def canonical_metadata(fields: Column) -> Column:
+    """A map of strings as JSON with sorted names; null and empty maps are equal, and so are numbers that differ in trailing zeros."""
+    number = r"^-?\d+\.\d+$"
+    plain = lambda v: F.when(v.rlike(number), F.regexp_replace(F.regexp_replace(v, "0+$", ""), r"\.$", "")).otherwise(v)
+    entries = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.struct(e["key"].alias("key"), plain(e["value"]).alias("value")))
+    return F.coalesce(F.to_json(entries), F.lit("[]"))
+
+
+def payload_fingerprint(ident: Column, trace: Column, status: Column, amount: Column, currency: Column, at: Column, metadata: Column) -> Column:
+    """The fingerprint of the business fields of a payload: equal for equal amounts and metadata, however they are spelled."""
+    instant = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return fingerprint(F.coalesce(ident, F.lit("")), trace, status, plain_amount(amount), currency, instant, canonical_metadata(metadata))
+
+
+def row_hash(cells: Column) -> Column:
+    """128 bits over the cells of a row, as hexadecimal text; nulls are empty cells."""
+    return F.md5(F.array_join(cells, "\x1f", ""))

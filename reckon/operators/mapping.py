@@ -6,6 +6,7 @@ field error rejects the row, optional fields included.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,6 +49,15 @@ def column_number(column: int | str) -> int:
     return number
 
 
+def column_letters(number: int) -> str:
+    """Spreadsheet letters of a column number from 1."""
+    out = ""
+    while number > 0:
+        number, rest = divmod(number - 1, 26)
+        out = chr(ord("A") + rest) + out
+    return out
+
+
 def canonical_mappings(mappings: list[FieldMapping]) -> list[FieldMapping]:
     """Adds the currency constant and the default status map where they are missing."""
     out = [
@@ -75,6 +85,8 @@ def config_issues(mappings: list[FieldMapping]) -> list[tuple[str, str]]:
             out.append(("EMPTY_MAPPING", m.path))
         if m.column is None and not m.source_field:
             out.append(("NO_SOURCE", m.path))
+        if isinstance(m.column, str) and not re.fullmatch("[A-Za-z]+", m.column):
+            out.append(("INVALID_COLUMN", m.path))
     return out
 
 
@@ -87,8 +99,16 @@ def _source(m: FieldMapping, cells: str | None, record: str | None) -> tuple[Col
     if cells is not None and m.column is not None:
         n = column_number(m.column)
         return F.get(F.col(cells), F.lit(n - 1)), F.size(cells) >= n
-    name = m.source_field if m.column is None else str(m.column)
-    return F.try_element_at(F.col(record), F.lit(name)), F.map_contains_key(F.col(record), F.lit(name))
+    names = [m.source_field if m.column is None else str(m.column)]
+    if isinstance(m.column, int):  # of records keyed by letters
+        names.append(column_letters(m.column))
+    elif m.column is not None and m.column.isdigit():  # of records keyed by numbers
+        names.append(str(int(m.column)))
+    value, there = F.lit(None).cast("string"), F.lit(False)
+    for name in reversed(names):
+        has = F.map_contains_key(F.col(record), F.lit(name))
+        value, there = F.when(has, F.try_element_at(F.col(record), F.lit(name))).otherwise(value), has | there
+    return value, there
 
 
 def _error(code: str | Column, path: str) -> Column:
@@ -104,7 +124,7 @@ def compile_field(m: FieldMapping, cells: str | None, record: str | None, zone:
     raw, there = _source(m, cells, record)
     absent = F.when(~F.coalesce(there, F.lit(False)), _error("MALFORMED_ROW", m.path))
     if m.type == "DECIMAL" or m.path == "amount":
-        value = raw.try_cast(keys.MONEY)
+        value = keys.exact_money(raw)  # null where the stored scale would change the amount
         fault = F.when(raw.isNull(), _error(missing, m.path)).when(value.isNull(), _error("INVALID_AMOUNT", m.path))
     elif m.type == "DATE":
         value = times.canonical_time(raw, zone)
@@ -122,19 +142,24 @@ def compile_field(m: FieldMapping, cells: str | None, record: str | None, zone:
 
 
 def map_rows(rows: DataFrame, mappings: list[FieldMapping], cells: str | None = "cells", record: str | None = None, zone: str = times.BUSINESS_ZONE) -> DataFrame:
-    """``rows`` with a column for each canonical field, ``extra`` (a map) and ``errors``."""
-    fields, faults, extra = {}, [], []
+    """``rows`` with a column for each canonical field, ``extra`` (a map), ``nested`` (a map of maps, from paths ``a.b``) and ``errors``."""
+    fields, faults, extra, inner = {}, [], [], {}
     for m in mappings:
         value, fault = compile_field(m, cells, record, zone)
         faults.append(fault)
         if m.path in CANONICAL:
             fields[m.path] = value
+            continue
+        outer, _, name = m.path.partition(".")
+        if name and outer != "extra":
+            inner.setdefault(outer, []).extend([F.lit(name), value.cast("string")])
         else:
-            extra += [F.lit(m.path.removeprefix("extra.")), value.cast("string")]
+            extra += [F.lit(name or outer), value.cast("string")]
     kinds = {"amount": keys.MONEY, "transDate": "timestamp_ntz"}
     columns = {name: fields.get(name, F.lit(None)).cast(kinds.get(name, "string")) for name in CANONICAL}
     found = F.filter(F.array(*faults), lambda e: e.isNotNull()) if faults else F.array().cast(_ERROR)
-    mapped = rows.withColumns({**columns, "extra": F.create_map(*extra) if extra else F.create_map().cast("map<string,string>"), "errors": found})
+    nested = F.create_map(*[x for outer, pairs in inner.items() for x in (F.lit(outer), F.create_map(*pairs))]) if inner else F.create_map().cast("map<string,map<string,string>>")
+    mapped = rows.withColumns({**columns, "nested": nested, "extra": F.create_map(*extra) if extra else F.create_map().cast("map<string,string>"), "errors": found})
     return mapped.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(_missing()))
 
 

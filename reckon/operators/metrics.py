@@ -128,6 +128,13 @@ def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame
     return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).offset(offset).limit(size)
 
 
+def ordered(rows: DataFrame, order: list[str], **wanted) -> DataFrame:
+    """The full list of rows that have the ``wanted`` values, in order, nulls last: a range sort over all tasks."""
+    for name, want in wanted.items():
+        rows = rows if want is None else rows.where(F.col(name) == want)
+    return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order])
+
+
 def page_after(rows: DataFrame, at: str, ident: str, after: tuple, size: int) -> DataFrame:
     """The page after (at, ident), with one row more if there are more."""
     t, i = (F.lit(x) for x in after)

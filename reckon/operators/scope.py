@@ -54,6 +54,20 @@ def count_scope(internals: Column, received: Column) -> tuple[Column, Column]:
     return scope, sure.cast("decimal(4,2)")
 
 
+#: Probabilities of FULL_SNAPSHOT, INCREMENTAL_APPEND and REPLACEMENT by what the two counts show.
+PROBABILITIES = {"none": (0.34, 0.33, 0.33), "first": (0.9, 0.07, 0.03), "near": (0.82, 0.14, 0.04), "partial": (0.18, 0.72, 0.1), "other": (0.62, 0.28, 0.1)}
+
+
+def count_probabilities(internals: Column, received: Column) -> Column:
+    """A map from scope to its probability, from the two counts."""
+    larger, gap = F.greatest(internals, received), F.abs(internals - received)
+    near = (gap <= F.greatest(F.lit(10), F.floor(larger * 0.05))) | (gap <= larger * 0.05)
+    shown = F.when(received <= 0, "none").when(internals <= 0, "first").when(near, "near").when(received < internals * 0.8, "partial").otherwise("other")
+    known = F.create_map(*[x for name, row in PROBABILITIES.items() for x in (F.lit(name), F.array(*[F.lit(str(p)).cast("decimal(4,2)") for p in row]))])
+    chosen = F.element_at(known, shown)
+    return F.create_map(*[x for k, name in enumerate(("FULL_SNAPSHOT", "INCREMENTAL_APPEND", "REPLACEMENT")) for x in (F.lit(name), F.get(chosen, F.lit(k)))])
+
+
 def overridden(scope: Column, internals: Column, received: Column) -> Column:
     """Whether an append suggestion is overruled because the gap of counts is small for their size."""
     larger, gap = F.greatest(internals, received, F.lit(1)), F.abs(internals - received)

@@ -1,3 +1,3 @@
 """Registered queries over the settlement relations."""
 
-from . import catalog, desk, operations  # noqa: F401  the latter two add their queries to the catalog
+from . import catalog, desk, landing, operations  # noqa: F401  the latter three add their queries to the catalog

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -37,3 +38,13 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(path)
     context._reckon_shipped = True
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; a private folder only where all run on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="reckon-")
+    return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

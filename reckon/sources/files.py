@@ -8,6 +8,7 @@ import hashlib
 import io
 import json
 import re
+import time
 from collections.abc import Iterator
 from datetime import date
 
@@ -33,7 +34,12 @@ def kept(rows: DataFrame, start_row: int, cells: Column | None = None) -> DataFr
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",", start_row: int = 1) -> DataFrame:
-    """file, row, cells, ordinal of UTF-8 files. A settlement file is read by one task, as quoted
+    """file, row, cells, ordinal of the kept rows of UTF-8 files."""
+    return kept(delimited(spark, path, separator), start_row)
+
+
+def delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """file, row, cells of all rows of UTF-8 files. A settlement file is read by one task, as quoted
     cells may hold line ends; many files are read in parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +54,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", start_r
                         held = []
                 yield _rows(held)
 
-    return kept(_record_starts(spark, path).mapInArrow(run, ROWS), start_row)
+    return _record_starts(spark, path).mapInArrow(run, ROWS)
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
@@ -69,9 +75,18 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ordinal", F.col("row"))
 
 
-def preview(rows: DataFrame, n: int = 20) -> list[list[str]]:
-    """The cells of the first ``n`` rows: what a person sees of a file before it is mapped."""
-    return [r["cells"] for r in rows.orderBy("row").limit(n).collect()]
+def raw(rows: DataFrame) -> DataFrame:
+    """Rows as they stand in their file, from the first filled one on: blank and summary rows stay, ``ordinal`` counts from 1."""
+    filled = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    if "record" in rows.columns:
+        filled = F.coalesce(filled, F.lit(False)) | F.col("record").isNotNull()
+    first = F.min(F.when(filled, F.col("row"))).over(Window.partitionBy("file"))
+    return rows.withColumn("_first", first).where(F.col("row") >= F.col("_first")).withColumn("ordinal", F.col("row") - F.col("_first") + 1).drop("_first")
+
+
+def preview(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` rows of each file, cells trimmed and null cells empty: what a person sees before a file is mapped."""
+    return raw(rows).where(F.col("ordinal") <= n).withColumn("cells", F.transform("cells", lambda c: F.coalesce(F.trim(c), F.lit(""))))
 
 
 def signature(headers: list[str], columns: int) -> str:
@@ -87,8 +102,31 @@ def json_headers(rows: DataFrame, n: int = 20) -> list[str]:
     return list(out)
 
 
+def structures(rows: DataFrame, n: int = 10) -> DataFrame:
+    """file, headers, columns, header_row, first_data_row, signature: the structure of each file of raw rows.
+
+    Headers are a file's first filled row, or the names of its first n + 1 objects in the order of their appearance.
+    """
+    shown = preview(rows, n + 1)
+    names = F.col("cells")
+    if "record" in rows.columns:  # of n + 1 rows
+        names = F.coalesce(F.map_keys("record"), names)
+    line = F.struct("ordinal", "row", names.alias("names"))
+    lists = shown.groupBy("file").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    every = F.col("lines")
+    headers = every[0]["names"]
+    if "record" in rows.columns:
+        objects = shown.groupBy("file").agg(F.max(F.col("record").isNotNull()).alias("objects"))
+        lists = lists.join(objects, "file")
+        headers = F.when(F.col("objects"), F.array_distinct(F.flatten(every["names"]))).otherwise(headers)
+    out = lists.select("file", headers.alias("headers"), every[0]["row"].alias("header_row"), F.coalesce(F.get(every, F.lit(1))["row"], every[0]["row"] + 1).alias("first_data_row"))
+    body = F.concat(F.lit("["), F.concat(F.lit("["), F.array_join(F.transform("headers", lambda h: F.regexp_replace(F.to_json(F.array(h)), r"^\[|\]$", "")), ", "), F.lit("]")), F.lit(", "), F.size("headers").cast("string"), F.lit("]"))
+    return out.select("file", "headers", F.size("headers").alias("columns"), "header_row", "first_data_row", F.md5(body).alias("signature"))
+
+
 def row_at(rows: DataFrame, row: int) -> DataFrame:
-    return rows.where(F.col("row") == row)
+    """The row of each file that a replay asks for, counted from the first filled one; no filter hides it."""
+    return raw(rows).where(F.col("ordinal") == row)
 
 
 def dated(template: str, day: date) -> str:
@@ -96,11 +134,21 @@ def dated(template: str, day: date) -> str:
     return re.sub(r"\{date:([^}]*)\}", lambda m: day.strftime(m.group(1)), template)
 
 
-def dropped_files(spark: SparkSession, folder: str, pattern: str, day: date) -> list[str]:
-    """Files of a drop folder that match the day's pattern, sorted; the listing is Spark's."""
+def dropped_files(spark: SparkSession, folder: str, pattern: str, day: date, settle: float = 5.0) -> list[str]:
+    """Files of a drop folder that match the day's pattern and kept their size for ``settle`` seconds, sorted.
+
+    The listing is Spark's, and reads no contents.
+    """
     name = dated(pattern, day)
-    listed = spark.read.format("binaryFile").load(folder).select("path").collect()
-    return sorted(r["path"] for r in listed if fnmatch.fnmatch(r["path"].rsplit("/", 1)[-1], name))
+
+    def sizes() -> dict[str, int]:
+        listed = spark.read.format("binaryFile").load(folder).select("path", "length").collect()
+        return {r["path"]: r["length"] for r in listed if fnmatch.fnmatch(r["path"].rsplit("/", 1)[-1], name)}
+
+    before = sizes()
+    time.sleep(settle if before else 0)
+    after = sizes()
+    return sorted(path for path, size in before.items() if after.get(path) == size)
 
 
 def staged_items(pages: DataFrame, items: str = "$.items") -> DataFrame:
@@ -110,10 +158,30 @@ def staged_items(pages: DataFrame, items: str = "$.items") -> DataFrame:
     return each.select("page", (F.col("at") + 1).cast("long").alias("row"), F.from_json("item", "map<string,string>").alias("record"))
 
 
-def check_cursors(pages: DataFrame, most: int = 100) -> None:
-    """Refuses pages of which two have one next cursor, or more pages than allowed."""
-    seen = pages.select(F.get_json_object("body", "$.cursorAfter").alias("cursor"), "page").distinct()
+def check_cursors(pages: DataFrame, most: int = 100, cursor: str = "$.cursorAfter") -> None:
+    """Refuses pages of which two have one next cursor, found at the path ``cursor``, or more pages than allowed."""
+    seen = pages.select(F.get_json_object("body", cursor).alias("cursor"), "page").distinct()
     if seen.groupBy("cursor").count().where("cursor IS NOT NULL AND count > 1").limit(1).count():
         raise ValueError("a cursor is repeated")
     if seen.select("page").distinct().limit(most + 1).count() > most:
         raise ValueError(f"more than {most} pages")
+
+
+def staged(pages: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pages to stage: the first of each unit key that is not staged already, with the status STAGED."""
+    fresh = pages.join(earlier.select("unit").distinct(), "unit", "left_anti")
+    fields = [c for c in pages.columns if c != "unit"]
+    first = fresh.groupBy("unit").agg(F.min_by(F.struct(*fields), F.struct("created_at", "page")).alias("_r"))
+    return first.select(*[F.col("unit") if c == "unit" else F.col(f"_r.{c}").alias(c) for c in pages.columns], F.lit("STAGED").alias("status"))
+
+
+def consumed(pages: DataFrame, units: DataFrame) -> DataFrame:
+    """``pages`` with the status of the staged ones among ``units`` set to CONSUMED."""
+    hit = units.select("unit").distinct().withColumn("_hit", F.lit(True))
+    status = F.when(F.col("_hit") & (F.col("status") == "STAGED"), "CONSUMED").otherwise(F.col("status"))
+    return pages.join(hit, "unit", "left").withColumn("status", status).select(*pages.columns)
+
+
+def for_replay(pages: DataFrame, stage: str) -> DataFrame:
+    """All retained pages of a stage, staged or consumed; ``staged_items`` gives their records in page order."""
+    return pages.where((F.col("stage") == stage) & F.col("status").isin("STAGED", "CONSUMED"))

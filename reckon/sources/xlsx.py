@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from .files import ROWS, _rows, kept
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Numbers of the built-in formats that show a date or a time.
+DATE_FORMATS = (*range(14, 23), *range(45, 48))
 #: Cells of a row that are searched for summary words.
 LOOK = 3
 
@@ -37,7 +40,32 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in root.findall(f"{_MAIN}si")]
 
 
-def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_MAIN}numFmt")}
+    shows = {k for k, code in own.items() if re.search("[ymdhs]", re.sub(r'"[^"]*"|\\.|\[[^hms\]]*\]', "", code), re.IGNORECASE)}
+    styles = root.find(f"{_MAIN}cellXfs")
+    return {k for k, x in enumerate(styles if styles is not None else ()) if (n := int(x.get("numFmtId") or 0)) in shows or (n in DATE_FORMATS and n not in own)}
+
+
+def _epoch(book: zipfile.ZipFile) -> datetime:
+    """The day before serial number one; of books from 1900 shifted by the day that the format counts twice."""
+    props = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}workbookPr")
+    return datetime(1904, 1, 1) if props is not None and props.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
+
+
+def _instant(serial: float, epoch: datetime) -> str:
+    """A serial number as a local time that date fields can read; numbers below one are times of day."""
+    if epoch.year == 1899 and 1 <= serial < 60:
+        serial += 1
+    at = epoch + timedelta(milliseconds=round(serial * 86_400_000))
+    return at.strftime("%H:%M:%S") if 0 <= serial < 1 else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _value(cell: ElementTree.Element, shared: list[str], dates: set[int], epoch: datetime) -> str | None:
     kind, raw = cell.get("t"), cell.findtext(f"{_MAIN}v")
     if kind == "inlineStr":
         raw = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
@@ -47,6 +75,8 @@ def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
         raw = "TRUE" if raw == "1" else "FALSE"
     elif kind in (None, "n") and raw is not None:
         number = float(raw)
+        if int(cell.get("s") or 0) in dates:
+            return _instant(number, epoch)
         raw = str(int(number)) if number.is_integer() and abs(number) < 1e15 else raw
     return raw or None
 
@@ -54,7 +84,7 @@ def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
 def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, list[str | None]]]:
     """Row number and cells of a sheet, a row at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = _shared(book)
+        shared, dates, epoch = _shared(book), _date_styles(book), _epoch(book)
         with book.open(_sheet_part(book, sheet)) as part:
             last = 0
             for _, row in ElementTree.iterparse(part):
@@ -66,13 +96,18 @@ def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, list
                     letters = re.match(r"[A-Z]+", cell.get("r") or "")
                     at = column_number(letters.group()) - 1 if letters else len(cells)
                     cells += [None] * (at - len(cells) + 1)
-                    cells[at] = _value(cell, shared)
+                    cells[at] = _value(cell, shared, dates, epoch)
                 yield last, cells
                 row.clear()
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, start_row: int = 1) -> DataFrame:
-    """file, row, cells, ordinal of workbooks; a workbook is read by one task, many in parallel."""
+    """file, row, cells, ordinal of the kept rows of workbooks."""
+    return kept(workbook(spark, path, sheet), start_row, F.slice("cells", 1, LOOK))
+
+
+def workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """file, row, cells of all rows of workbooks; a workbook is read by one task, many in parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,5 +120,4 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, start_ro
                         held = []
                 yield _rows(held)
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)
-    return kept(found, start_row, F.slice("cells", 1, LOOK))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, ROWS)

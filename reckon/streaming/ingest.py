@@ -10,34 +10,49 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedupe
 
 
-def stored_rows(spark: SparkSession, target: str, schema) -> DataFrame:
-    """All rows ingested so far; none where nothing has been written."""
+def stored_rows(spark: SparkSession, target: str, kind: T.StructType) -> DataFrame:
+    """All rows of a kind ingested so far, with their batch; none where nothing has been written."""
+    schema = T.StructType([*kind, T.StructField("batch", T.LongType())])
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     return spark.read.schema(schema).parquet(target) if there else spark.createDataFrame([], schema)
 
 
-def append_batch(rows: DataFrame, batch: int, target: str, keys: list[str], ordinal: str = "ordinal") -> None:
-    """Appends the new keys of a batch to ``target`` under its number, replacing an earlier try of the same batch."""
+#: Values of a batch up to which only their folders of the target are read; a batch of more reads all.
+MOST_FOLDERS = 1000
+
+
+def append_batch(rows: DataFrame, batch: int, target: str, keys: list[str], ordinal: str = "ordinal", by: str | None = None) -> DataFrame:
+    """Appends the new keys of a batch to ``target`` under its number, replacing an earlier try of the same batch.
+
+    ``by`` is one of the keys, a day as a rule, whose values are folders of the target: of what was stored before, only
+    the folders of the batch's own values are read. Returns the keys with the rows that came, went in and repeated a key.
+    """
     spark = rows.sparkSession
-    schema = rows.schema.add("batch", "long")
-    earlier = stored_rows(spark, target, schema).where(F.col("batch") < batch)
+    earlier = stored_rows(spark, target, rows.schema).where(F.col("batch") < batch)
+    if by is not None:
+        values = [r[by] for r in rows.select(by).distinct().limit(MOST_FOLDERS + 1).collect()]
+        earlier = earlier.where(F.col(by).isin(values)) if len(values) <= MOST_FOLDERS else earlier
     fresh = dedupe.insertable(rows, earlier, keys, ordinal)
-    fresh.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+    writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer if by is None else writer.partitionBy(by)).parquet(f"{target}/batch={batch}")
+    written = spark.read.schema(rows.schema).parquet(f"{target}/batch={batch}").select(*keys).withColumn("_in", F.lit(1))
+    came = rows.groupBy(*keys).agg(F.count("*").alias("input")).join(written, keys, "left")
+    return came.select(*keys, "input", F.coalesce("_in", F.lit(0)).alias("inserted"), (F.col("input") - F.coalesce("_in", F.lit(0))).alias("repeated"))
 
 
 def ingest(
-    units: DataFrame, prepare: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: list[str], once: bool = True
+    units: DataFrame, prepare: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, keys: list[str], once: bool = True, by: str | None = None
 ) -> StreamingQuery:
     """Starts the stream ``units``; ``prepare`` maps a batch to rows with the keys and an ordinal."""
     writer = units.writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda rows, batch: append_batch(prepare(rows), batch, target, keys))
+    writer = writer.foreachBatch(lambda rows, batch: append_batch(prepare(rows), batch, target, keys, by=by))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 

@@ -99,3 +99,15 @@ def test_every_eligible_row_is_in_one_result(spark, left, right):
     rows = match.reconcile(spark.createDataFrame(partner, P), spark.createDataFrame(internal, I)).collect()
     seen = [x for r in rows for x in [r["partner_record_id"], r["internal_record_id"], *(r["ambiguous_partner_record_ids"] or []), *(r["ambiguous_internal_record_ids"] or [])] if x]
     assert sorted(seen) == sorted([f"p{k}" for k in range(len(left))] + [f"i{k}" for k, (_, s) in enumerate(right) if s != "x"])
+
+
+def test_rows_without_key_partner_or_day_match_nothing_and_are_all_kept(spark):
+    partner = [p("1", None), p("1", None), p("2", None), (*p("3", "k")[:1], None, *p("3", "k")[2:])]
+    internal = [i("a", None), (*i("b", "k")[:1], None, *i("b", "k")[2:])]
+    rows = match.reconcile(spark.createDataFrame(partner, P), spark.createDataFrame(internal, I))
+    got = sorted(map(str, ((r["reconciliation_status"], r["ambiguous_partner_record_ids"] or [r["partner_record_id"]], r["ambiguous_internal_record_ids"] or [r["internal_record_id"]]) for r in rows.collect())))
+    assert got == sorted(map(str, [
+        ("MISSING_INTERNAL", ["3"], [None]), ("MISSING_PARTNER", [None], ["b"]),
+        ("UNMAPPED_SKIPPED", ["1"], [None]), ("UNMAPPED_SKIPPED", ["1"], [None]), ("UNMAPPED_SKIPPED", ["2"], [None]), ("UNMAPPED_SKIPPED", [None], ["a"]),
+    ]))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # each side once

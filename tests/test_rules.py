@@ -156,3 +156,18 @@ def test_quarantine_store_appends_and_purges(spark, tmp_path):
     assert recovery.purge(spark, path, F.lit("2024-04-02 00:00:00").cast("timestamp"), 10) == 2 and ids() == [0, 3, 4, 9]
     assert recovery.purge(spark, path, F.lit("2026-01-01 00:00:00").cast("timestamp"), 1) == 1 and ids() == [0, 3, 9]
     assert recovery.purge(spark, path, F.lit("2023-01-01 00:00:00").cast("timestamp")) == 0
+
+
+def test_amounts_keep_their_places_or_are_errors(spark):
+    values = ["1.2345", "1.23450000", "1.23451", "-0.00001", "", "x", None, "NaN", "9999999999999999.9999", "99999999999999999"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(keys.exact_money(F.col("v")).alias("a"))
+    assert [r["a"] for r in rows.collect()] == [Decimal("1.2345"), Decimal("1.2345"), None, None, None, None, None, None, Decimal("9999999999999999.9999"), None]
+
+
+def test_columns_of_records(spark):
+    fields = [M("id", column=28), M("trace", column="7"), M("note.x", source_field="n"), M("extra.y", source_field="n"), M("plain", source_field="n")]
+    rows = spark.createDataFrame([({"AB": "1", "7": "t", "n": "v"},), ({"28": "2", "AB": "no", "n": "w"},)], "record map<string,string>")
+    got = mapping.map_rows(rows, fields, None, "record").collect()
+    assert [(r["id"], r["trace"], r["nested"], r["extra"]) for r in got] == [("1", "t", {"note": {"x": "v"}}, {"y": "v", "plain": "v"}), ("2", None, {"note": {"x": "w"}}, {"y": "w", "plain": "w"})]
+    assert [mapping.column_letters(n) for n in (1, 26, 27, 52, 702, 703)] == ["A", "Z", "AA", "AZ", "ZZ", "AAA"]
+    assert ("INVALID_COLUMN", "id") in mapping.config_issues([M("id", column="A1")]) and mapping.config_issues([M("id", column="ab")]) == []

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reckon.operators import mapping
-from reckon.sources import files, read_rows
+from reckon.sources import files, raw_rows, read_rows
 from reckon.streaming import ingest
 
 
@@ -52,10 +52,55 @@ def test_xlsx(spark, tmp_path):
     assert cells(read_rows(spark, path, sheet="none"))[0][0] == 2
 
 
+def test_raw_rows_and_structures(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",\nId, Note \n1,x\n,\nTotal,5\n2,y\n", "utf-8")
+    rows = raw_rows(spark, str(tmp_path / "a.csv"))
+    assert [(r["row"], r["ordinal"], r["cells"]) for r in files.preview(rows, 4).orderBy("row").collect()] == [(2, 1, ["Id", "Note"]), (3, 2, ["1", "x"]), (4, 3, ["", ""]), (5, 4, ["Total", "5"])]
+    assert [r["cells"] for r in files.row_at(rows, 4).collect()] == [["Total", "5"]] and files.row_at(rows, 9).count() == 0
+    shape = files.structures(rows).first()
+    assert (shape["headers"], shape["columns"], shape["header_row"], shape["first_data_row"], shape["signature"]) == (["Id", "Note"], 2, 2, 3, files.signature(["Id", "Note"], 2))
+    (tmp_path / "b.json").write_text('[{"a": 1, "c": "é"}, {"b": 2, "a": 3}]', "utf-8")
+    shape = files.structures(raw_rows(spark, str(tmp_path / "b.json"))).first()
+    assert shape["headers"] == ["a", "c", "b"] and shape["signature"] == files.signature(["a", "c", "b"], 3)
+
+
+def test_workbook_dates(spark, tmp_path):
+    path = str(tmp_path / "d.xlsx")
+    cells_ = "".join(f'<c r="{c}1" s="{s}"><v>{v}</v></c>' for c, s, v in (("A", 1, "45292.5"), ("B", 0, "45292.5"), ("C", 2, "45292"), ("D", 3, "0.25"), ("E", 4, "7"), ("F", 1, "59"), ("G", 1, "61")))
+    book(path, {"one": f'<row r="1">{cells_}</row>'})
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><numFmts><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/><numFmt numFmtId="165" formatCode="0.0 &quot;days&quot; [Red]"/></numFmts>'
+                   '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="164"/><xf numFmtId="20"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+    assert cells(read_rows(spark, path))[0][2] == ["2024-01-01 12:00:00", "45292.5", "2024-01-01 00:00:00", "06:00:00", "7", "1900-02-28 00:00:00", "1900-03-01 00:00:00"]
+
+
+def test_staging_is_idempotent(spark):
+    kind = "unit string, stage string, page int, created_at int, body string"
+    pages = spark.createDataFrame([("u1", "s", 1, 1, "a"), ("u1", "s", 1, 2, "b"), ("u2", "s", 2, 1, "c")], kind)
+    first = files.staged(pages, pages.limit(0))
+    assert sorted((r["unit"], r["body"], r["status"]) for r in first.collect()) == [("u1", "a", "STAGED"), ("u2", "c", "STAGED")]
+    assert files.staged(pages, first).count() == 0
+    done = files.consumed(first, pages.where("unit = 'u1'"))
+    assert sorted((r["unit"], r["status"]) for r in files.for_replay(done, "s").collect()) == [("u1", "CONSUMED"), ("u2", "STAGED")] and files.for_replay(done, "t").count() == 0
+
+
+def test_batches_by_day_read_only_their_days(spark, tmp_path):
+    target, kind = str(tmp_path / "days"), "k string, day int, ordinal int"
+    one = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("b", 2, 3)], kind)
+    got = ingest.append_batch(one, 0, target, ["k", "day"], by="day")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 1, 2, 1, 1), ("b", 2, 1, 1, 0)]
+    two = spark.createDataFrame([("a", 1, 4), ("c", 1, 5)], kind)
+    for _ in range(2):
+        got = ingest.append_batch(two, 1, target, ["k", "day"], by="day")
+        assert sorted(tuple(r) for r in got.collect()) == [("a", 1, 1, 0, 1), ("c", 1, 1, 1, 0)]
+    assert sorted((r["k"], r["day"], r["ordinal"]) for r in ingest.stored_rows(spark, target, one.schema).collect()) == [("a", 1, 1), ("b", 2, 3), ("c", 1, 5)]
+
+
 def test_discovery_and_signature(spark, tmp_path):
     for n in ("P_20260810_b.csv", "P_20260810_a.csv", "P_20260811_a.csv"):
         (tmp_path / n).write_text("x")
-    got = files.dropped_files(spark, str(tmp_path), "P_{date:%Y%m%d}_*.csv", date(2026, 8, 10))
+    got = files.dropped_files(spark, str(tmp_path), "P_{date:%Y%m%d}_*.csv", date(2026, 8, 10), 0.1)
     assert [g.rsplit("/", 1)[-1] for g in got] == ["P_20260810_a.csv", "P_20260810_b.csv"]
     assert files.signature(["a"], 1) != files.signature(["a"], 2)
 
