@@ -109,9 +109,9 @@ def results_replaced(spark, d):
     return back.groupBy("partner", "date", "reconciliation_status").agg(F.count("*").alias("n"))
 
 
-@query(FULL + " SELECT partner, date, reconciliation_key, reconciliation_status, partner_record_id, internal_record_id FROM results WHERE partner = 'BUILDING' AND date = DATE '1998-01-05'")
+@query(FULL + " SELECT partner, date, reconciliation_key, reconciliation_status, partner_record_id, internal_record_id FROM results WHERE partner = 'BUILDING' AND source_file_id = 'F3'")
 def results_ordered(spark, d):
-    rows = metrics.ordered(catalog.results(spark, d), ["reconciliation_key", "partner_record_id", "internal_record_id"], partner="BUILDING", date=F.lit("1998-01-05").cast("date"), source_file_id=None)
+    rows = metrics.ordered(catalog.results(spark, d), ["reconciliation_key", "partner_record_id", "internal_record_id"], partner="BUILDING", source_file_id="F3", date=None)
     return rows.select("partner", "date", "reconciliation_key", "reconciliation_status", "partner_record_id", "internal_record_id")
 
 
