@@ -11,14 +11,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import tidied
 
 
+def finite() -> Column:
+    """True where ``embedding`` has components, none of them null or non-finite."""
+    x = F.col("embedding")
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False))
+
+
+def whole(scale: int, limit: float) -> Column:
+    """``embedding`` as whole numbers floor(scale * x), in doubles; an error naming the vec_id where the squared length could reach ``limit``."""
+    x = F.transform("embedding", lambda c: c.cast("double") * scale)
+    square = F.aggregate(x, F.lit(0.0), lambda s, c: s + (F.abs(c) + 1) * (F.abs(c) + 1))
+    said = F.concat(F.lit("components too large for exact whole sums, vec_id "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))
+    return F.when(square < limit, F.transform(x, lambda c: F.floor(c).cast("double"))).otherwise(F.raise_error(said).cast("array<double>"))
+
+
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
     """vec_id, embedding (doubles), size of rows with an id and finite components, repeated rows once.
 
     Empty vectors are left out, and vectors of zeros unless ``zero``.
     """
     x = F.col("embedding")
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    keep = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False))
+    keep = F.col("vec_id").isNotNull() & finite()
     if not zero:
         keep &= F.exists(x, lambda c: c != 0)
     rows = vectors.where(keep).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
