@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_search, language, line_dedup, mixing, near_duplicates, quality, token_files, toxicity, vector_codes, vector_duplicates
+from . import ann, bpe, exact_search, hard_negatives, language, line_dedup, mixing, near_duplicates, quality, token_files, toxicity, vector_codes, vector_duplicates
 
-MODULES = (quality, near_duplicates, token_files, bpe, ann, mixing, exact_search, toxicity, line_dedup, language, vector_codes, vector_duplicates)
+MODULES = (quality, near_duplicates, token_files, bpe, ann, mixing, exact_search, toxicity, line_dedup, language, hard_negatives, vector_codes, vector_duplicates)
 
 
 def queries() -> dict:

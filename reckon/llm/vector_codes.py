@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import broadcast_if_small, dropped, stored, table, tidied
+from .common import broadcast_if_small, stored, table, tidied
 from .vectors import finite, matrix, whole
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
