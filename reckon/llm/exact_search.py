@@ -13,7 +13,8 @@ Defined results: components become floor(1024 * x) as whole numbers; only
 vectors of equal length are compared; rows of equal vec_id are the query's own
 if they are its id, and otherwise count once, by their highest score, as do
 several rows of one query; rows without id, empty, null, or with null or
-non-finite components take no part. Other columns play no part.
+non-finite components take no part. Whole vectors whose squared length could reach
+2**53 raise an error that names their vec_id. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stored, table, tidied
-from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
+from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable, whole
 
 SCALE, TOP, EVERY = 1024, 10, 100
 #: Vectors in a chunk and queries in a block, about.
@@ -101,10 +102,9 @@ def bounded(asked: DataFrame, drawn: list[tuple[np.ndarray, np.ndarray]], k: int
 def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk: int = CHUNK, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each row of it that meets ``queries``.
 
-    Scores are exact while they stay below 2**53, where doubles hold all whole numbers.
+    Scores are exact, as doubles hold all whole numbers below 2**53.
     """
-    whole = F.transform("embedding", lambda c: F.floor(c * scale).cast("double"))
-    rows = stored(usable(vectors, zero=True).withColumn("embedding", whole), "whole")
+    rows = stored(usable(vectors, zero=True).withColumn("embedding", whole(scale, 2.0**53)), "whole")
     common = commonest_size(rows)
     drawn = rows.where(F.col("size") == common).orderBy(F.xxhash64("vec_id", "embedding")).limit(sample).select("vec_id", "embedding").toArrow()
     known = []
