@@ -15,7 +15,8 @@ neighbours lie in most parts and most are probed.
 Defined results: only vectors of equal length are compared; rows of equal vec_id
 are the query's own if they are its id, and otherwise count once, by their
 highest score, as do several rows of one query; rows without id, null, empty,
-zero, or with null or non-finite components take no part; ties go to the smaller
+zero, or with null or non-finite components take no part; finite components of
+any size do, as vectors are scaled by powers of two first; ties go to the smaller
 vec_id. Other columns play no part.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stored, table, tidied
-from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable
+from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, scaled, usable
 
 TOP, EVERY = 5, 50
 #: Vectors in the sample at most, neighbours in its graph, and vectors in a part about.
@@ -124,6 +125,7 @@ def learn(unit: np.ndarray, target: np.ndarray, draw: np.random.Generator) -> Ro
 
 def fit(sample: np.ndarray, parts: int, top: int = TOP, recall: float = RECALL, seed: int = 5) -> Router:
     draw = np.random.default_rng(seed)
+    sample = scaled(sample) if len(sample) else sample
     unit = np.unique(sample / np.sqrt((sample * sample).sum(1, keepdims=True)), axis=0)
     unit = unit[draw.permutation(len(unit))]
     parts = max(1, min(parts, len(unit) // EACH))
@@ -164,8 +166,7 @@ def _routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
             fits = batch.column(2).to_numpy(zero_copy_only=False) == len(r.a)
             parts: list = [[-1]] * batch.num_rows
             if fits.any():
-                x = matrix(batch.filter(pa.array(fits)))
-                x = x / np.abs(x).max(1, keepdims=True)
+                x = scaled(matrix(batch.filter(pa.array(fits))))
                 x = x / np.sqrt((x * x).sum(1, keepdims=True))
                 wish = np.argsort(-r.logits(x), axis=1, kind="stable")[:, :probes]
                 for k, w in zip(np.flatnonzero(fits).tolist(), wish.tolist()):
@@ -213,10 +214,12 @@ def search(vectors: DataFrame, queries, k: int = TOP, sample: int = SAMPLE, part
     right = asked.withColumn("block", salted(many(blocks))).withColumn("chunk", every(chunks)).withColumn("bound", F.lit(0.0))
 
     def held(ids: np.ndarray, rows_: np.ndarray):
+        rows_ = scaled(rows_)
         return ids, rows_, rows_ / np.sqrt((rows_ * rows_).sum(1, keepdims=True))
 
     def best(chunk_, query_ids: np.ndarray, _, queries_: np.ndarray) -> list[tuple]:
         ids, rows_, unit = chunk_
+        queries_ = scaled(queries_)
         near = (queries_ / np.sqrt((queries_ * queries_).sum(1, keepdims=True))) @ unit.T
         out = []
         for query_id, query, line in zip(query_ids.tolist(), queries_, near):

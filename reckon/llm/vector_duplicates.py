@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stored, table, tidied
 from .near_duplicates import components
-from .vectors import finite, matrix
+from .vectors import finite, matrix, scaled
 
 THRESHOLD = 0.98
 #: Largest |u| (see above) for which pairs are kept: 1 is certain, less lets go of more pairs and may lose links.
@@ -56,11 +56,6 @@ def rotation(size: int) -> np.ndarray:
     return _TURNS[size]
 
 
-def scaled(rows: np.ndarray) -> np.ndarray:
-    """Rows times powers of two, so that their largest components lie between 1/2 and 1; no digit is lost."""
-    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
-
-
 def turned(rows: np.ndarray) -> np.ndarray:
     rows = scaled(rows)
     return (rows / np.sqrt((rows * rows).sum(1, keepdims=True))) @ rotation(rows.shape[1])

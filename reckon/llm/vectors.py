@@ -56,6 +56,11 @@ def matrix(batch: pa.RecordBatch, a: int = 0, b: int | None = None) -> np.ndarra
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their largest components lie between 1/2 and 1; no digit is lost, and squares stay finite and above 0."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+
+
 def distinct_best(score: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
     """Rows that hold the ``k`` highest scores of distinct ids, and those within ``slack`` below."""
     many = k

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from reckon.llm import ann, exact_search
@@ -144,3 +145,18 @@ def test_parts_follow_the_graph():
     cut = (label[graph] != label[:, None]).mean()
     mixed_up = draw.permutation(label)
     assert cut < 0.2 < 0.8 < (mixed_up[graph] != mixed_up[:, None]).mean() and np.bincount(label, minlength=8).max() <= 110
+
+
+def test_extreme_finite_components(spark):
+    draw = np.random.default_rng(13)
+    x = draw.normal(0, 1, (40, 6))
+    sizes = [10.0 ** int(k) for k in draw.integers(-290, 290, 40)]
+    rows = spark.createDataFrame([(k, [float(c) * s for c in v]) for k, (v, s) in enumerate(zip(x, sizes))], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(rows, F.col("vec_id") == 3, recall=1.0).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = [k for k in np.argsort(-(unit @ unit[3])) if k != 3][:5]
+    assert [got[3, r][0] for r in range(1, 6)] == order and all(abs(got[3, r][1] - unit[k] @ unit[3]) < 1e-12 for r, k in enumerate(order, 1))
+    with pytest.raises(PySparkException, match="vec_id"):
+        exact_search.search(rows, F.col("vec_id") == 3).collect()
+    near = rows.where(F.forall("embedding", lambda c: F.abs(c) < 1000))
+    assert exact_search.search(near, F.col("vec_id") >= 0).count() > 0
