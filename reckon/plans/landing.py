@@ -98,6 +98,38 @@ def stream_first_writer(spark, d):
     return ingest.stored_rows(spark, target, e.schema).select("user_id", "day", "event_id")
 
 
+_BATCHES = """WITH e AS (SELECT user_id, CASE WHEN event_id % 40 <> 7 THEN CAST(ts AS DATE) END AS day, event_id, event_type = 'error' AS bad, event_id * 6 // (SELECT max(event_id) + 1 FROM events) AS part FROM events),
+b AS (SELECT * FROM e UNION ALL SELECT user_id, day, event_id, bad, part + 1 FROM e WHERE part < 5)"""
+
+
+def event_batches(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Six batches of events, each with the rows of the one before once more; every fortieth row has no day."""
+    ends = table(spark, d, "events").agg((F.max("event_id") + 1).alias("end"))  # a row
+    day = F.when(F.col("event_id") % 40 != 7, F.to_date("ts"))
+    rows = table(spark, d, "events").join(F.broadcast(ends)).select("user_id", day.alias("day"), "event_id", (F.col("event_type") == "error").alias("bad"), F.floor(F.col("event_id") * 6 / F.col("end")).alias("part"))
+    return [rows.where(F.col("part").isin(n, n - 1)).drop("part") for n in range(6)]
+
+
+@query(_BATCHES + " SELECT user_id, day, min(event_id) AS event_id, min_by(part, event_id) AS batch FROM e GROUP BY ALL")
+def ingest_batches(spark, d):
+    """Batches by day: a key is stored once, by its first writer, in the first batch that has it; so are those without a day."""
+    target = shared_path(spark, "ingested")
+    batches = event_batches(spark, d)
+    for n, rows in enumerate(batches):
+        ingest.append(rows, n, target, ["user_id", "day"], "event_id", by="day")
+    return ingest.stored_rows(spark, target, batches[0].schema).select("user_id", "day", "event_id", "batch")
+
+
+@query(_BATCHES + """, f AS (SELECT user_id, day, min(part) AS part FROM b WHERE NOT bad GROUP BY ALL), n AS (SELECT part, count(*) AS inserted FROM f GROUP BY ALL)
+SELECT b.part AS batch, count(*) AS input, count(*) FILTER (WHERE bad) AS failed, coalesce(any_value(inserted), 0) AS inserted, count(*) FILTER (WHERE NOT bad) - coalesce(any_value(inserted), 0) AS repeated
+FROM b LEFT JOIN n ON b.part = n.part GROUP BY b.part""")
+def ingest_counters(spark, d):
+    """The counts of each batch as its own write observes them; events of errors are not valid."""
+    target = shared_path(spark, "ingested")
+    counts = [(n, *ingest.append(rows, n, target, ["user_id", "day"], "event_id", valid=~F.col("bad")).values()) for n, rows in enumerate(event_batches(spark, d))]
+    return spark.createDataFrame(counts, "batch long, input long, failed long, inserted long, repeated long")  # a row a batch
+
+
 @query(FULL + " SELECT partner, date, reconciliation_status, count(*) AS n FROM results WHERE partner IS NOT NULL GROUP BY ALL")
 def results_replaced(spark, d):
     """Results written twice, the second run for one partner: the read-back holds every outcome once."""
