@@ -240,7 +240,12 @@ def row_violations(spark, d):
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    rows = mapped(spark, d).withColumn("faults", F.concat("errors", "violations"))
+    return ruled(cells(spark, d))
+
+
+def ruled(rows: DataFrame) -> DataFrame:
+    """Rows of cells mapped, with the rules that they break and their outcome."""
+    rows = mapping.violations(mapping.map_rows(rows, FIELDS)).withColumn("faults", F.concat("errors", "violations"))
     no = F.lit(False)
     return rows.withColumn("outcome", mapping.outcome(no, no, F.size("faults") > 0, no, no))
 
