@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import csv
 import fnmatch
 import hashlib
-import io
 import json
 import re
 import time
-from collections.abc import Iterator
 from datetime import date
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import holds_summary_word
+from . import ranges
 
-ROWS = "file string, row long, cells array<string>"
 
-
-def _record_starts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+#: Rows of a file that are numbered together.
+NUMBERED = 65_536
 
 
 def kept(rows: DataFrame, start_row: int, cells: Column | None = None) -> DataFrame:
@@ -29,8 +24,18 @@ def kept(rows: DataFrame, start_row: int, cells: Column | None = None) -> DataFr
     look = F.col("cells") if cells is None else cells
     filled = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
     rows = rows.where((F.col("row") >= start_row) & filled & ~holds_summary_word(look))
-    order = Window.partitionBy("file").orderBy("row")
-    return rows.withColumn("ordinal", F.row_number().over(order).cast("long") + start_row - 1)
+    return numbered(rows, start_row)
+
+
+def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
+    """``rows`` with ``ordinal``, their place in their file from ``first`` on; runs of ``NUMBERED`` rows are counted, then each in itself."""
+    rows = rows.withColumn("_run", F.floor(F.col("row") / NUMBERED))
+    counts = rows.groupBy(F.col("file").alias("_file"), F.col("_run").alias("_at")).agg(F.count("*").alias("_many"))
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select("_file", "_at", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_before"))
+    within = rows.withColumn("_place", F.row_number().over(Window.partitionBy("file", "_run").orderBy("row")))
+    out = within.join(sums, (F.col("file") == F.col("_file")) & (F.col("_run") == F.col("_at")))
+    return out.withColumn("ordinal", (F.col("_before") + F.col("_place") + first - 1).cast("long")).drop("_file", "_at", "_run", "_before", "_place")
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",", start_row: int = 1) -> DataFrame:
@@ -38,41 +43,28 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", start_r
     return kept(delimited(spark, path, separator), start_row)
 
 
-def delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """file, row, cells of all rows of UTF-8 files. A settlement file is read by one task, as quoted
-    cells may hold line ends; many files are read in parallel."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = io.TextIOWrapper(io.BytesIO(content.as_buffer()), "utf-8-sig", newline="")
-                held: list[tuple] = []
-                for n, cells in enumerate(csv.reader(text, delimiter=separator), 1):
-                    held.append((name, n, cells))
-                    if len(held) == 5000:
-                        yield _rows(held)
-                        held = []
-                yield _rows(held)
+def delimited(spark: SparkSession, path: str, separator: str = ",", range_bytes: int | None = None) -> DataFrame:
+    """file, row, cells of all rows of UTF-8 files; large files are read by ranges, though quoted cells may hold line ends."""
+    return ranges.delimited(spark, path, separator, range_bytes)
 
-    return _record_starts(spark, path).mapInArrow(run, ROWS)
 
+def read_json(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """file, row, cells (of lists and scalars), record (of objects, values as texts) of a root array or ``items``.
 
-def _rows(held: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*held)) or [(), (), ()]
-    kinds = (pa.string(), pa.int64(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "row", "cells"])
-
-
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, cells (of lists and scalars), record (of objects, values as texts) of a root array or ``items``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
-    items = F.when(F.startswith("value", F.lit("[")), F.col("value")).otherwise(F.get_json_object("value", "$.items"))
-    each = whole.select("file", F.posexplode(F.from_json(items, "array<string>")).alias("at", "item"))
-    item = F.col("item")
-    cells = F.when(item.startswith("["), F.from_json(item, "array<string>")).when(~item.startswith("{"), F.array(item))
-    record = F.when(item.startswith("{"), F.from_json(item, "map<string,string>"))
-    rows = each.select("file", (F.col("at") + 1).cast("long").alias("row"), cells.alias("cells"), record.alias("record"))
-    return rows.withColumn("ordinal", F.col("row"))
+    Root arrays are read by ranges; a file with ``items``, a page as a rule, by one task.
+    """
+    each, others = ranges.json_items(spark, path, range_bytes)
+    each = each.withColumn("literal", F.lit(True))  # an element stands as in its file
+    if others:
+        whole = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.get_json_object("value", "$.items").alias("items"))
+        items = whole.select("file", F.posexplode(F.from_json("items", "array<string>")).alias("at", "text"))
+        each = each.unionByName(items.select("file", (F.col("at") + 1).cast("long").alias("row"), "text", F.lit(False).alias("literal")))
+    item = F.col("text")
+    plain = F.when(F.col("literal"), F.from_json(F.concat(F.lit("["), item, F.lit("]")), "array<string>")[0]).otherwise(item)
+    kind = F.substring(item, 1, 1)
+    cells = F.when(kind == "[", F.from_json(item, "array<string>")).when((kind != "{") & plain.isNotNull(), F.array(plain))
+    record = F.when(kind == "{", F.from_json(item, "map<string,string>"))
+    return each.select("file", "row", cells.alias("cells"), record.alias("record"), F.col("row").alias("ordinal"))
 
 
 def raw(rows: DataFrame) -> DataFrame:
@@ -80,8 +72,8 @@ def raw(rows: DataFrame) -> DataFrame:
     filled = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
     if "record" in rows.columns:
         filled = F.coalesce(filled, F.lit(False)) | F.col("record").isNotNull()
-    first = F.min(F.when(filled, F.col("row"))).over(Window.partitionBy("file"))
-    return rows.withColumn("_first", first).where(F.col("row") >= F.col("_first")).withColumn("ordinal", F.col("row") - F.col("_first") + 1).drop("_first")
+    first = rows.where(filled).groupBy(F.col("file").alias("_file")).agg(F.min("row").alias("_first"))
+    return rows.join(first, (F.col("file") == F.col("_file")) & (F.col("row") >= F.col("_first"))).withColumn("ordinal", F.col("row") - F.col("_first") + 1).drop("_first", "_file")
 
 
 def preview(rows: DataFrame, n: int = 20) -> DataFrame:
