@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..session import ship
+from . import folds
 
 #: Error codes of each kind of issue; other codes are OTHER.
 ISSUE_CODES = {
@@ -40,6 +46,62 @@ def transition_allowed(now: Column, then: Column) -> Column:
     return F.concat(now, F.lit(">"), then).isin(*pairs)
 
 
+def status_changes(events: DataFrame) -> DataFrame:
+    """``events`` (record_id, event_id, at, to_status) with before, after and result: APPLIED, REFUSED or REPEATED.
+
+    Records begin as PENDING. Events of a record are taken in order of (at, event_id); the first of an event id counts, and
+    others of it are repeats, which meet and leave the record as the first one left it.
+    """
+    fields = [c for c in events.columns if c not in ("record_id", "event_id")]
+    each = events.groupBy("record_id", "event_id").agg(F.min(F.struct("at", F.struct(*fields).alias("row"))).alias("first"), F.count("*").alias("times"))
+    once = each.select("record_id", "event_id", *[F.col(f"first.row.{c}").alias(c) for c in fields], "times")
+    table = {a: {b: b for b in bs} for a, bs in TRANSITIONS.items()}
+    done = folds.folded(once, ["record_id"], ["at", "event_id"], "to_status", table, "PENDING")
+    result = F.when(F.col("applied"), "APPLIED").otherwise("REFUSED")
+    # a repeat stands behind the event that it repeats: one row tells how many came
+    repeats = done.where("times > 1").select(*events.columns, F.col("after").alias("before"), "after", F.lit("REPEATED").alias("result"), (F.col("times") - 1).alias("times"))
+    return done.select(*events.columns, "before", "after", result.alias("result"), F.lit(1).cast("long").alias("times")).unionByName(repeats)
+
+
+def latest_status(changes: DataFrame) -> DataFrame:
+    """record_id, status, attempts (changes to REPROCESSING), applied, refused and repeated events of every record."""
+    of = lambda name: F.sum(F.when(F.col("result") == name, F.col("times")).otherwise(0))
+    again = (F.col("result") == "APPLIED") & (F.col("after") == "REPROCESSING")
+    last = F.max_by("after", F.struct("at", "event_id")).alias("status")
+    return changes.groupBy("record_id").agg(last, F.count_if(again).alias("attempts"), *[of(n).alias(n.lower()) for n in ("APPLIED", "REFUSED", "REPEATED")])
+
+
+def follow_status(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same rule over a stream of events: record_id, event_id, before, after, result, as events come.
+
+    A record's status and the event ids that it has seen are kept; those of an event time further back than ``late`` from
+    the record's newest are forgotten, so state stays bounded. Events of one micro-batch are taken in order of (at, event_id).
+    """
+    ship(events.sparkSession)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, ids, times = state.get if state.exists else ("PENDING", [], [])
+        known, rows = dict(zip(ids, times)), []
+        for row in pd.concat(list(frames)).sort_values(["at", "event_id"], kind="stable").itertuples():
+            moment = int(row.at.value // 1000)
+            if row.event_id in known:
+                rows.append((key[0], row.event_id, now, now, "REPEATED"))
+                continue
+            known[row.event_id] = moment
+            fine = row.to_status in TRANSITIONS[now]
+            rows.append((key[0], row.event_id, now, row.to_status if fine else now, "APPLIED" if fine else "REFUSED"))
+            now = row.to_status if fine else now
+        edge = max(known.values(), default=0) - kept
+        known = {i: t for i, t in known.items() if t >= edge}
+        state.update((now, list(known), list(known.values())))
+        yield pd.DataFrame(rows, columns=["record_id", "event_id", "before", "after", "result"])
+
+    kept = int(pd.Timedelta(late).total_seconds() * 1_000_000)
+    kind = f"record_id {events.schema['record_id'].dataType.simpleString()}, event_id {events.schema['event_id'].dataType.simpleString()}, before string, after string, result string"
+    held = f"status string, ids array<{events.schema['event_id'].dataType.simpleString()}>, times array<long>"
+    return events.groupBy("record_id").applyInPandasWithState(step, kind, held, "append", GroupStateTimeout.NoTimeout)
+
+
 def with_defaults(records: DataFrame) -> DataFrame:
     """Adds priority, due_at and expires_at to quarantined records."""
     grave = F.col("severity").isin("FATAL") | F.exists("codes", lambda c: c == "CONFLICTING_DUPLICATE")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys
 from ..operators import mapping, metrics, profile, queues, recovery
+from ..streaming import ingest
 from . import catalog, workload
 from .catalog import _NOW, _QUARANTINE, _ROWS, FULL, query
 from .desk import _PACKETS, packets
@@ -27,6 +28,77 @@ def quarantine_transitions(spark, d):
     return rows.withColumn("allowed", recovery.transition_allowed(F.col("now"), F.col("next"))).groupBy("now", "next", "allowed").agg(F.count("*").alias("n"))
 
 
+_LOG = """WITH RECURSIVE l AS (SELECT CASE WHEN event_id % 10 < 3 THEN 0 ELSE user_id END AS record_id, event_id - CASE WHEN event_id % 9 = 8 THEN 8 ELSE 0 END AS id, CAST(ts AS TIMESTAMP) AS tm,
+  ['REPROCESSING', 'PENDING', 'RESOLVED', 'REPROCESSING', 'REPROCESSING', 'REJECTED', 'PENDING', 'REPROCESSING', 'BAD', NULL][event_id % 71 % 10 + 1] AS target FROM events),
+f AS (SELECT record_id, id, min(tm) AS tm, arg_min(coalesce(target, ''), tm) AS target, count(*) AS times FROM l GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY tm, id) AS k FROM f),
+s AS (SELECT record_id, 0 AS k, 'PENDING' AS state, 'PENDING' AS was, false AS fine, CAST(0 AS BIGINT) AS times FROM n WHERE k = 1
+  UNION ALL SELECT n.record_id, n.k, CASE WHEN s.state = 'PENDING' AND n.target = 'REPROCESSING' OR s.state = 'REPROCESSING' AND n.target IN ('PENDING', 'RESOLVED', 'REJECTED') THEN n.target ELSE s.state END, s.state,
+    s.state = 'PENDING' AND n.target = 'REPROCESSING' OR s.state = 'REPROCESSING' AND n.target IN ('PENDING', 'RESOLVED', 'REJECTED'), n.times FROM s JOIN n ON n.record_id IS NOT DISTINCT FROM s.record_id AND n.k = s.k + 1)"""
+
+
+def quarantine_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of status changes made of the events: a third of it is of one record, and some event ids come again."""
+    k = F.col("event_id")
+    names = ("REPROCESSING", "PENDING", "RESOLVED", "REPROCESSING", "REPROCESSING", "REJECTED", "PENDING", "REPROCESSING", "BAD")
+    again = F.when(k % 9 == 8, 8).otherwise(0)
+    record = F.when(k % 10 < 3, 0).otherwise(F.col("user_id"))
+    return table(spark, d, "events").select(record.alias("record_id"), (k - again).alias("event_id"), F.col("ts").alias("at"), F.get(F.array(*map(F.lit, names)), (k % 71 % 10).cast("int")).alias("to_status"))
+
+
+@query(_LOG + """ SELECT record_id, arg_max(state, k) AS status, count(*) FILTER (WHERE fine AND state = 'REPROCESSING') AS attempts, count(*) FILTER (WHERE fine) AS applied,
+count(*) FILTER (WHERE NOT fine AND k > 0) AS refused, CAST(coalesce(sum(times - 1) FILTER (WHERE k > 0), 0) AS BIGINT) AS repeated FROM s GROUP BY record_id""")
+def quarantine_folded(spark, d):
+    return recovery.latest_status(recovery.status_changes(quarantine_log(spark, d)))
+
+
+@query(_LOG + """ SELECT was AS before, state AS after, fine AS applied, count(*) AS n FROM s WHERE k > 0 GROUP BY ALL""")
+def quarantine_paths(spark, d):
+    """Every change that the log's events made or were refused."""
+    changes = recovery.status_changes(quarantine_log(spark, d)).where("result <> 'REPEATED'")
+    return changes.groupBy("before", "after", (F.col("result") == "APPLIED").alias("applied")).agg(F.count("*").alias("n"))
+
+
+_UNITS = """WITH u AS (SELECT CASE WHEN event_id % 10 < 3 THEN 0 ELSE user_id END AS stream, event_id AS position, 'k' || event_id AS key, event_type, 'h' || event_id // 3 AS hash,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'FAILED' ELSE 'WAITING_REVIEW' END WHEN event_id % 7 = 0 THEN 'SKIPPED' ELSE 'COMPLETED' END AS outcome FROM events),
+c AS (SELECT stream, CASE WHEN stream % 3 = 0 THEN min(key) FILTER (WHERE position % 2 = 0) END AS done_key, CASE WHEN stream % 3 = 1 THEN max(hash) END AS done_hash FROM u WHERE stream % 3 < 2 GROUP BY 1),
+m AS (SELECT u.stream, min(position) FILTER (WHERE key = done_key OR hash = done_hash) AS done FROM u LEFT JOIN c USING (stream) GROUP BY 1),
+r AS (SELECT u.*, done IS NULL OR position > done AS runs FROM u JOIN m USING (stream)),
+t AS (SELECT stream, min(position) FILTER (WHERE runs AND outcome NOT IN ('COMPLETED', 'SKIPPED')) AS stop FROM r GROUP BY 1),
+p AS (SELECT r.*, CASE WHEN NOT runs THEN 'DONE' WHEN position > stop THEN 'WAITING' ELSE outcome END AS status FROM r JOIN t USING (stream))"""
+
+
+def units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Units of as many streams as events have users, one of them with a third of all units, and the checkpoints of two streams in three."""
+    k = F.col("event_id")
+    failed = F.when(k % 2 == 0, "FAILED").otherwise("WAITING_REVIEW")
+    outcome = F.when((F.col("event_type") == "error") & (k % 3 == 0), failed).when(k % 7 == 0, "SKIPPED").otherwise("COMPLETED")
+    name = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    each = table(spark, d, "events").select(F.when(k % 10 < 3, 0).otherwise(F.col("user_id")).alias("stream"), k.alias("position"), name("k", k).alias("key"), name("h", F.floor(k / 3)).alias("hash"), outcome.alias("outcome"))
+    at = F.min(F.when(F.col("position") % 2 == 0, F.col("key")))
+    marks = each.where("stream % 3 < 2").groupBy("stream").agg(at.alias("k"), F.max("hash").alias("h"))
+    return each, marks.select("stream", F.when(F.col("stream") % 3 == 0, F.col("k")).alias("done_key"), F.when(F.col("stream") % 3 == 1, F.col("h")).alias("done_hash"))
+
+
+@query(_UNITS + " SELECT stream, status, count(*) AS n, min(position) AS first, max(position) AS last FROM p GROUP BY ALL")
+def ordered_units(spark, d):
+    planned = ingest.ordered_units(*units(spark, d))
+    return planned.groupBy("stream", "status").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last"))
+
+
+@query(_UNITS + """, a AS (SELECT stream, arg_max(key, position) FILTER (WHERE status IN ('COMPLETED', 'SKIPPED')) AS k, arg_max(hash, position) FILTER (WHERE status IN ('COMPLETED', 'SKIPPED')) AS h,
+  max(key) FILTER (WHERE status IN ('FAILED', 'WAITING_REVIEW')) AS held_at FROM p GROUP BY 1),
+b AS (SELECT a.stream, held_at, CASE WHEN k IS NULL THEN done_key ELSE k END AS done_key, CASE WHEN k IS NULL THEN done_hash ELSE h END AS done_hash FROM a LEFT JOIN c USING (stream)),
+x AS (SELECT u.* FROM u), m2 AS (SELECT u.stream, min(position) FILTER (WHERE key = done_key OR hash = done_hash) AS done FROM u LEFT JOIN b USING (stream) GROUP BY 1)
+SELECT stream, done_key, done_hash, held_at, count(*) FILTER (WHERE done IS NULL OR position > done) AS ahead FROM b JOIN m2 USING (stream) JOIN u USING (stream) GROUP BY ALL""")
+def units_resumed(spark, d):
+    """Checkpoints behind a run, and the units that the next run has ahead of it."""
+    each, marks = units(spark, d)
+    then = ingest.advanced(ingest.ordered_units(each, marks), marks)
+    ahead = ingest.ordered_units(each, then).groupBy("stream").agg(F.count_if(F.col("status") != "DONE").alias("ahead"))
+    return then.join(ahead, "stream").select("stream", "done_key", "done_hash", "held_at", "ahead")
+
+
 @query(f"""WITH {_QUARANTINE} SELECT 'late' AS kind, status, count(*) AS n FROM q WHERE status IN ('PENDING', 'REPROCESSING') AND due_at <= TIMESTAMP '{_NOW}' GROUP BY ALL
 UNION ALL SELECT 'early', status, count(*) FROM q WHERE due_at > TIMESTAMP '{_NOW}' GROUP BY ALL UNION ALL SELECT 'rejected', status, count(*) FROM q WHERE status = 'REJECTED' AND due_at <= TIMESTAMP '{_NOW}' GROUP BY ALL""")
 def quarantine_overdue(spark, d):

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable
-from datetime import date
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import filters
+from ..session import ship
 
 
 def stored_rows(spark: SparkSession, target: str, kind: T.StructType) -> DataFrame:
@@ -203,34 +205,66 @@ def ingest(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def after_checkpoint(units: list[dict], done_key: str | None, done_hash: str | None) -> list[dict]:
-    """Units behind the completed one, found by key or content hash; all if it is not among them."""
-    for at, unit in enumerate(units):
-        if (done_key and unit["key"] == done_key) or (done_hash and unit.get("hash") == done_hash):
-            return units[at + 1 :]
-    return units
-
-
-def process_units(units: list[dict], step: Callable[[dict], None]) -> tuple[list[str], str | None]:
-    """Runs the units in order and stops at the first failure: completed keys and the failed one."""
-    done: list[str] = []
-    for unit in units:
-        try:
-            step(unit)
-        except Exception:
-            return done, unit["key"]
-        done.append(unit["key"])
-    return done, None
-
-
-def backfill(days: list[date], step: Callable[[date], str]) -> dict[date, str]:
-    """The outcome of each day in order; days after a failure or a review are not run."""
-    out: dict[date, str] = {}
-    for day in days:
-        out[day] = step(day)
-        if out[day] not in ("COMPLETED", "SKIPPED"):
-            break
-    return out
+#: Outcomes that let a stream go on; any other one holds it.
+GOES_ON = ("COMPLETED", "SKIPPED")
+
+
+def ordered_units(units: DataFrame, checkpoints: DataFrame, goes_on: tuple[str, ...] = GOES_ON) -> DataFrame:
+    """``units`` (stream, position, key, hash, outcome) with ``status``: how far each stream gets, all streams in one plan.
+
+    ``checkpoints`` (stream, done_key, done_hash) has a row a stream at most. Units up to the first with the completed key
+    or content hash are DONE before; then units take their outcome in order, up to the first that does not let the
+    stream go on, and those behind it are WAITING. Streams of any length are cut by minima, which partial aggregates
+    find; a completed key that is not among the units means that all are to run. Days of a backfill are units too.
+    """
+    marks = checkpoints.select(F.col("stream").alias("_of"), "done_key", "done_hash")
+    same = F.col("stream").eqNullSafe(F.col("_of"))
+    met = units.join(marks, same, "left")
+    hit = F.coalesce((F.col("key") == F.col("done_key")) | (F.col("hash") == F.col("done_hash")), F.lit(False))
+    done = met.groupBy(F.col("stream").alias("_of")).agg(F.min(F.when(hit, F.col("position"))).alias("_done"))
+    rest = units.join(done, same).withColumn("_runs", F.col("_done").isNull() | (F.col("position") > F.col("_done"))).drop("_of")
+    held = F.col("_runs") & ~F.coalesce(F.col("outcome").isin(*goes_on), F.lit(False))
+    stop = rest.groupBy(F.col("stream").alias("_of")).agg(F.min(F.when(held, F.col("position"))).alias("_stop"))
+    status = F.when(~F.col("_runs"), "DONE").when(F.col("position") > F.col("_stop"), "WAITING").otherwise(F.coalesce("outcome", F.lit("FAILED")))
+    return rest.join(stop, same).withColumn("status", status).select(*units.columns, "status")
+
+
+def advanced(planned: DataFrame, checkpoints: DataFrame, goes_on: tuple[str, ...] = GOES_ON) -> DataFrame:
+    """The checkpoints behind ``planned`` (of ``ordered_units``): stream, done_key, done_hash, held_at (the key that holds the stream)."""
+    went = F.col("status").isin(*goes_on)
+    stopped = ~went & ~F.col("status").isin("DONE", "WAITING")
+    last = planned.groupBy("stream").agg(F.max_by(F.struct("key", "hash"), F.when(went, F.col("position"))).alias("_last"), F.max(F.when(stopped, F.col("key"))).alias("held_at"))
+    before = checkpoints.select(F.col("stream").alias("_of"), F.col("done_key").alias("_key"), F.col("done_hash").alias("_hash"))
+    both = last.join(before, F.col("stream").eqNullSafe(F.col("_of")), "full_outer")
+    fresh = F.col("_last").isNotNull()
+    return both.select(
+        F.coalesce("stream", "_of").alias("stream"),
+        F.when(fresh, F.col("_last.key")).otherwise(F.col("_key")).alias("done_key"),
+        F.when(fresh, F.col("_last.hash")).otherwise(F.col("_hash")).alias("done_hash"),
+        "held_at",
+    )
+
+
+def follow_units(units: DataFrame, goes_on: tuple[str, ...] = GOES_ON) -> DataFrame:
+    """The same rule over a stream of units: stream, key, position, status. A stream that is held goes on when the unit that held it comes again and is completed."""
+    ship(units.sparkSession)
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, held = state.get if state.exists else (None, None)
+        rows = []
+        for u in pd.concat(list(frames)).sort_values("position", kind="stable").itertuples():
+            if u.key == done:
+                status = "DONE"  # a repeat of what was completed last
+            elif held is not None and u.key != held:
+                status = "WAITING"
+            else:
+                status = u.outcome or "FAILED"
+                done, held = (u.key, None) if status in goes_on else (done, u.key)
+            rows.append((name[0], u.key, u.position, status))
+        state.update((done, held))
+        yield pd.DataFrame(rows, columns=["stream", "key", "position", "status"])
+
+    return units.groupBy("stream").applyInPandasWithState(step, "stream string, key string, position long, status string", "done string, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, at: str, by: list[str], width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

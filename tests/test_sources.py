@@ -133,10 +133,3 @@ def test_stream_is_idempotent(spark, tmp_path):
     again = spark.createDataFrame([("b", 9), ("c", 4)], "id string, ordinal int")
     ingest.append_batch(again, 1, target, ["id"])  # a repeated batch
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
-
-
-def test_units():
-    units = [{"key": k} for k in "abc"]
-    assert ingest.after_checkpoint(units, "a", None) == units[1:] and ingest.after_checkpoint(units, None, None) == units
-    assert ingest.process_units(units, lambda u: 1 / (u["key"] != "b")) == (["a"], "b")
-    assert list(ingest.backfill([1, 2, 3], lambda d: "FAILED" if d == 2 else "COMPLETED").values()) == ["COMPLETED", "FAILED"]
