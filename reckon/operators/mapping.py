@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys, times
 
@@ -58,6 +58,73 @@ def column_letters(number: int) -> str:
     return out
 
 
+def number_of(letters: Column) -> Column:
+    """The number from 1 of a column given by digits or spreadsheet letters; null for other texts."""
+    text = F.upper(F.trim(letters))
+    number = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 64)
+    return F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("long")).when(text.rlike("^[A-Z]{1,12}$"), number)
+
+
+def letters_of(number: Column) -> Column:
+    """Spreadsheet letters of a column number from 1 up to 12,356,630, which has five."""
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["rest"] - 1
+        more = acc["rest"] > 0
+        letter = F.concat(F.char(F.pmod(at, F.lit(26)) + 65), acc["out"])
+        return F.struct(F.when(more, F.floor(at / 26)).otherwise(F.lit(0).cast("long")).alias("rest"), F.when(more, letter).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(number.cast("long").alias("rest"), F.lit("").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(5)), start, step, lambda acc: acc["out"])
+
+
+def config_findings(mappings: DataFrame) -> DataFrame:
+    """config, code, path: what keeps mappings from being compiled, over any number of configurations.
+
+    ``mappings`` has a row a mapping: config, position, path, type, column, source_field, constant, pairs (entries of its table).
+    """
+    order = Window.partitionBy("config", "path").orderBy("position")  # within one configuration
+    constant, mapped = F.col("type") == "CONSTANT", F.col("type") == "MAPPING"
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    codes = [
+        F.when(F.col("_again"), "DUPLICATE_PATH"),
+        F.when(constant & blank("constant"), "EMPTY_CONSTANT"),
+        F.when(mapped & (F.coalesce("pairs", F.lit(0)) == 0), "EMPTY_MAPPING"),
+        F.when(~constant & F.col("column").isNull() & blank("source_field"), "NO_SOURCE"),
+        F.when(~constant & ~F.col("column").rlike("^([A-Za-z]+|[0-9]+)$"), "INVALID_COLUMN"),
+    ]
+    return mappings.withColumn("_again", F.row_number().over(order) > 1).select("config", F.explode(F.array_compact(F.array(*codes))).alias("code"), "path")
+
+
+def config_scores(mappings: DataFrame) -> DataFrame:
+    """config, findings, score: 100 less 15 for each finding, at least 0."""
+    found = config_findings(mappings).groupBy(F.col("config").alias("_of")).agg(F.count("*").alias("findings"))
+    every = mappings.select("config").distinct().join(found, F.col("config").eqNullSafe(F.col("_of")), "left")
+    n = F.coalesce("findings", F.lit(0).cast("long"))
+    return every.select("config", n.alias("findings"), F.greatest(F.lit(0), 100 - 15 * n).cast("int").alias("score"))
+
+
+def gate_findings(files: DataFrame, mappings: DataFrame, expected: DataFrame) -> DataFrame:
+    """file, outcome, code: what is wrong with the structure of each of many files; a file without findings has no row.
+
+    ``files`` has file, config, headers; ``mappings`` as for ``config_findings``; ``expected`` has config, known (the
+    headers that its configuration was approved for, or null).
+    """
+    fatal = F.lit("BATCH_FATAL")
+    paths = mappings.groupBy(F.col("config").alias("_of")).agg(F.collect_set("path").alias("paths"))
+    known = files.join(expected.select(F.col("config").alias("_with"), "known"), F.col("config") == F.col("_with"), "left").join(paths, F.col("config") == F.col("_of"), "left")
+    absent = F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce("paths", F.array().cast("array<string>")))
+    unmapped = known.select("file", F.explode(absent)).select("file", fatal.alias("outcome"), F.lit("REQUIRED_SCHEMA_PATH").alias("code"))
+    appended = (F.size("headers") > F.size("known")) & (F.slice("headers", 1, F.greatest(F.size("known"), F.lit(1))) == F.col("known"))
+    drifted = known.where(F.col("known").isNotNull() & (F.col("headers") != F.col("known"))).select("file", F.when(appended, "WARNING").otherwise(fatal).alias("outcome"), F.lit("SCHEMA_CONFIG_DRIFT").alias("code"))
+    own = mappings.where("type <> 'CONSTANT'").select(F.col("config").alias("_of"), "column", "source_field")
+    each = files.join(own, F.col("config") == F.col("_of"))
+    named = F.array_contains("headers", F.coalesce("column", "source_field"))
+    by_number = F.col("column").isNotNull() & (F.col("column").rlike("^[0-9]+$") | ~F.array_contains("headers", F.col("column")))
+    there = F.when(by_number, number_of(F.col("column")) <= F.size("headers")).otherwise(named)
+    missing = each.where(~F.coalesce(there, F.lit(False))).select("file", fatal.alias("outcome"), F.lit("MISSING_REQUIRED_SOURCE_COLUMN").alias("code"))
+    return unmapped.unionByName(missing).unionByName(drifted)
+
+
 def canonical_mappings(mappings: list[FieldMapping]) -> list[FieldMapping]:
     """Adds the currency constant and the default status map where they are missing."""
     out = [

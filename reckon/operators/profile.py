@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import shared_path, ship
+
 #: Texts that stand for a missing value.
 NULL_WORDS = ("", "null", "none", "nan", "n/a", "na")
 
@@ -15,15 +20,90 @@ def is_missing(value: Column) -> Column:
     return value.isNull() | F.lower(F.trim(value.cast("string"))).isin(*NULL_WORDS)
 
 
-def columns(rows: DataFrame, names: list[str]) -> DataFrame:
-    """name, missing, distinct of each column, in one aggregation that is then laid out in rows."""
-    one = rows.agg(
-        F.count("*").alias("n"),
-        *[F.count_if(is_missing(F.col(c))).alias(f"{c}_missing") for c in names],
-        *[F.count_distinct(F.when(~is_missing(F.col(c)), F.col(c))).alias(f"{c}_distinct") for c in names],
-    )
-    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_missing").alias("missing"), F.col(f"{c}_distinct").alias("distinct_values")) for c in names])
-    return one.select("n", F.explode(each).alias("c")).select("c.name", F.col("n").alias("total"), "c.missing", "c.distinct_values")
+#: Distinct values of a column that are counted exactly; beyond, only that there are more is told.
+DISTINCT_LIMIT = 100_000
+#: Kinds of texts as bits; what a column holds is the union of its values' bits.
+INTEGER, DECIMAL, INSTANT, TEXT = 1, 2, 4, 8
+#: Types from narrow to wide: a column of a type may hold values of those that it lists.
+TYPES = {"integer": INTEGER, "decimal": INTEGER | DECIMAL, "instant": INSTANT, "text": INTEGER | DECIMAL | INSTANT | TEXT}
+
+
+def kind(value: Column) -> Column:
+    """The bit of a value's text: an integer, a decimal number, an instant (a date, with or without a time of day) or another text."""
+    x = F.trim(value.cast("string"))
+    day = x.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?$") & x.try_cast("timestamp").isNotNull()
+    return F.when(x.rlike(r"^[+-]?\d+$"), INTEGER).when(x.rlike(r"^[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?$"), DECIMAL).when(day, INSTANT).otherwise(TEXT)
+
+
+def type_name(kinds: Column) -> Column:
+    """The narrowest type that holds all kinds; null where there are none."""
+    out = F.lit("text")
+    for name in ("decimal", "integer", "instant"):
+        out = F.when(kinds.bitwiseAND(~TYPES[name] & 15) == 0, name).otherwise(out)
+    return F.when(kinds > 0, out)
+
+
+def observed(rows: DataFrame, names: list[str], limit: int = DISTINCT_LIMIT) -> DataFrame:
+    """name, total, missing, type, distinct_values, saturated of each column, in one pass over the rows.
+
+    A task keeps the hashes of each column's values up to ``limit`` and sends them once; a column that exceeds it in
+    one task sends nothing but that. Sets are put together in parts by hash. distinct_values is exact up to ``limit``
+    (hashes have 64 bits) and null beyond, where saturated is true.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    each = [x for k, c in enumerate(names) for x in (F.when(~is_missing(F.col(c)), F.xxhash64(c)).alias(f"h{k}"), F.when(~is_missing(F.col(c)), kind(F.col(c))).cast("int").alias(f"k{k}"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, missing, kinds = 0, [0] * len(names), [0] * len(names)
+        sets: list = [np.zeros(0, np.int64) for _ in names]
+        for batch in batches:
+            total += batch.num_rows
+            for k in range(len(names)):
+                hashes, bits = batch.column(2 * k).drop_null().to_numpy(), batch.column(2 * k + 1).drop_null().to_numpy()
+                missing[k] += batch.num_rows - len(hashes)
+                kinds[k] |= int(np.bitwise_or.reduce(bits)) if len(bits) else 0
+                if sets[k] is not None:
+                    sets[k] = np.union1d(sets[k], hashes)
+                    sets[k] = sets[k] if len(sets[k]) <= limit else None
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(names)), pa.int32()), pa.array([total] * len(names), pa.int64()), pa.array(missing, pa.int64()), pa.array(kinds, pa.int32()), pa.array([None if x is None else x.tolist() for x in sets], pa.list_(pa.int64()))],
+            names=["place", "total", "missing", "kinds", "hashes"],
+        )
+
+    path = shared_path(spark, "observed")
+    fields = "place int, total long, missing long, kinds int, hashes array<long>"
+    rows.select(*each).mapInArrow(run, fields).write.parquet(path)
+    made = spark.read.schema(fields).parquet(path)
+    counts = made.groupBy("place").agg(F.sum("total").alias("total"), F.sum("missing").alias("missing"), F.bit_or("kinds").alias("kinds"), F.max(F.col("hashes").isNull()).alias("over"))
+    parts = made.select("place", F.explode("hashes").alias("h")).groupBy("place", F.pmod("h", F.lit(64)).alias("part")).agg(F.count_distinct("h").alias("n"))
+    sums = parts.groupBy(F.col("place").alias("_place")).agg(F.sum("n").alias("n"))
+    named = spark.createDataFrame(list(enumerate(names)), "_at int, name string")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    over = F.coalesce("over", F.lit(False)) | (n > limit)
+    joined = named.join(counts, F.col("_at") == F.col("place"), "left").join(sums, F.col("place") == F.col("_place"), "left")  # a row a column
+    zero = F.lit(0).cast("long")
+    return joined.select("name", F.coalesce("total", zero).alias("total"), F.coalesce("missing", zero).alias("missing"), type_name(F.col("kinds")).alias("type"), F.when(~over, n).alias("distinct_values"), over.alias("saturated"))
+
+
+def drift(found: DataFrame, expected: list[tuple[str, str, bool]]) -> DataFrame:
+    """name, expected, type and drift of ``observed`` columns against (name, type, required): MISSING, OPTIONAL_MISSING, UNEXPECTED, TYPE, EMPTY or null.
+
+    A column may hold a narrower type than expected.
+    """
+    spec = found.sparkSession.createDataFrame(expected, "_name string, expected string, required boolean")
+    both = found.join(spec, F.col("name") == F.col("_name"), "full_outer")
+    narrower = F.lit(False)
+    for wide, bits in TYPES.items():
+        narrower |= (F.col("expected") == wide) & F.col("type").isin(*[n for n, b in TYPES.items() if b | bits == bits])
+    gone = F.col("name").isNull()
+    what = F.when(gone & F.col("required"), "MISSING").when(gone, "OPTIONAL_MISSING").when(F.col("_name").isNull(), "UNEXPECTED").when(F.col("type").isNull(), F.when(F.col("required"), "EMPTY")).when(~narrower, "TYPE")
+    return both.select(F.coalesce("name", "_name").alias("name"), "expected", "type", what.alias("drift"))
+
+
+def columns(rows: DataFrame, names: list[str], limit: int = DISTINCT_LIMIT) -> DataFrame:
+    """name, total, missing, distinct_values of each column; the last is null for columns of more than ``limit`` values."""
+    return observed(rows, names, limit).select("name", "total", "missing", "distinct_values")
 
 
 QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
@@ -110,12 +190,14 @@ def medians(rows: DataFrame, by: str, column: str, values: list[str], amount: st
 
 
 def outliers_by_group(rows: DataFrame, by: str, amount: str) -> DataFrame:
-    """by, q1, q3, outliers: values beyond 1.5 interquartile ranges of their own group, on either side."""
-    points = rows.where(F.col(amount).isNotNull()).groupBy(by, amount).agg(F.count("*").alias("_n"))
-    quart = points.groupBy(by).agg(F.expr(f"percentile({amount}, array(0.25, 0.75), _n)").alias("_q")).select(by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
+    """by, q1, q3, outliers: values beyond 1.5 interquartile ranges of their own group, on either side; quartiles by histograms."""
+    x = F.col(amount).cast("double")
+    points = rows.where(F.col(amount).isNotNull()).groupBy(by, x.alias("_x")).agg(F.count("*").alias("_n"))
+    found = quantiles(points, [by], "_x", "_n", [0.25, 0.75]).select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    outside = (F.col(amount) < F.col("q1") - reach) | (F.col(amount) > F.col("q3") + reach)
-    return points.join(quart, by).groupBy(by).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.coalesce(F.sum(F.when(outside, F.col("_n"))), F.lit(0)).alias("outliers"))
+    outside = (F.col("_x") < F.col("q1") - reach) | (F.col("_x") > F.col("q3") + reach)
+    joined = points.join(found, F.col(by).eqNullSafe(F.col("_by")))
+    return joined.groupBy(by).agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.coalesce(F.sum(F.when(outside, F.col("_n"))), F.lit(0)).alias("outliers"))
 
 
 def daily(rows: DataFrame, at: str) -> DataFrame:
@@ -139,7 +221,8 @@ def described(rows: DataFrame, amount: str) -> DataFrame:
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Each value, nulls included, with its rows and their share, the most frequent first."""
     counted = rows.groupBy(column).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), column)
+    whole = rows.agg(F.count("*").alias("_all"))  # a row
+    return counted.join(F.broadcast(whole), F.lit(True)).select(column, "n", (F.col("n") / F.col("_all")).alias("share")).orderBy(F.desc("n"), column)
 
 
 def histogram(rows: DataFrame, amount: str, bins: int) -> DataFrame:

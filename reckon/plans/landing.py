@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import keys, text
 from ..operators import mapping, match, metrics, recovery, scope
@@ -230,34 +230,62 @@ def row_hashes(spark, d):
     return table(spark, d, "events").agg(F.count("*").alias("n"), F.count_distinct(keys.row_hash(cells)).alias("hashes"))
 
 
-_BAD = (
-    mapping.FieldMapping("id", column="A", required=True), mapping.FieldMapping("id", column="B"), mapping.FieldMapping("amount", "DECIMAL", column="A1", required=True),
-    mapping.FieldMapping("status", "MAPPING", column="C"), mapping.FieldMapping("currency", "CONSTANT"), mapping.FieldMapping("trace", required=True),
-)
+def configurations(spark: SparkSession, d: str) -> DataFrame:
+    """A configuration for each customer, a row a mapping; most have something wrong."""
+    k = F.col("c_custkey")
 
+    def one(position, path, type_, column=None, source=None, constant=None, pairs=0):
+        of = lambda x, kind: (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+        return F.struct(of(position, "int").alias("position"), of(path, "string").alias("path"), of(type_, "string").alias("type"), of(column, "string").alias("column"), of(source, "string").alias("source_field"), of(constant, "string").alias("constant"), of(pairs, "int").alias("pairs"))
 
-@query("""SELECT * FROM (VALUES ('DUPLICATE_PATH', 'id', 25), ('INVALID_COLUMN', 'amount', 25), ('EMPTY_MAPPING', 'status', 25), ('EMPTY_CONSTANT', 'currency', 25), ('NO_SOURCE', 'trace', 25)) AS t(code, path, score)""")
+    maps = F.array(
+        one(1, "id", "STRING", F.when(k % 7 == 0, "A1").otherwise(mapping.letters_of(k % 3 + 1))),
+        one(2, F.when(k % 5 == 0, "id").otherwise("amount"), "DECIMAL", "2"),
+        one(3, "status", "MAPPING", None, F.when(k % 11 != 0, "Status"), None, F.when(k % 3 == 0, 0).otherwise(4)),
+        one(4, "currency", "CONSTANT", None, None, F.when(k % 4 != 0, "VND").otherwise("")),
+    )
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("config"), F.explode(maps).alias("m")).select("config", "m.*")
+
+
+_FINDINGS = """WITH f AS (SELECT c_custkey AS config, unnest(list_filter([
+  CASE WHEN c_custkey % 5 = 0 THEN {'code': 'DUPLICATE_PATH', 'path': 'id'} END, CASE WHEN c_custkey % 7 = 0 THEN {'code': 'INVALID_COLUMN', 'path': 'id'} END,
+  CASE WHEN c_custkey % 3 = 0 THEN {'code': 'EMPTY_MAPPING', 'path': 'status'} END, CASE WHEN c_custkey % 11 = 0 THEN {'code': 'NO_SOURCE', 'path': 'status'} END,
+  CASE WHEN c_custkey % 4 = 0 THEN {'code': 'EMPTY_CONSTANT', 'path': 'currency'} END], lambda x: x IS NOT NULL)) AS x FROM customer)"""
+
+
+@query(_FINDINGS + " SELECT config, x.code AS code, x.path AS path FROM f")
 def mapping_config_rules(spark, d):
-    found = mapping.config_issues(list(_BAD))
-    return spark.createDataFrame([(code, path, mapping.mapping_score(len(found), 0)) for code, path in found], "code string, path string, score int")
+    return mapping.config_findings(configurations(spark, d))
+
+
+@query(_FINDINGS + ", n AS (SELECT config, count(*) AS findings FROM f GROUP BY 1) SELECT c_custkey AS config, coalesce(findings, 0) AS findings, CAST(greatest(0, 100 - 15 * coalesce(findings, 0)) AS INTEGER) AS score FROM customer LEFT JOIN n ON c_custkey = config")
+def mapping_config_scores(spark, d):
+    return mapping.config_scores(configurations(spark, d))
 
 
-@query("""SELECT * FROM (VALUES ('same', NULL, NULL), ('appended', 'WARNING', 'SCHEMA_CONFIG_DRIFT'), ('renamed', 'BATCH_FATAL', 'SCHEMA_CONFIG_DRIFT'), ('short', 'BATCH_FATAL', 'MISSING_REQUIRED_SOURCE_COLUMN'), ('short', 'BATCH_FATAL', 'SCHEMA_CONFIG_DRIFT')) AS t(file, outcome, code)""")
+@query("""WITH o AS (SELECT o_orderkey AS file, o_custkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 2 END AS n, o_orderkey % 4 = 2 AS renamed FROM orders),
+f AS (SELECT file, unnest(list_filter([
+  CASE WHEN k % 5 = 0 THEN 'BATCH_FATAL:REQUIRED_SCHEMA_PATH' END,
+  CASE WHEN k % 7 = 0 OR k % 3 + 1 > n THEN 'BATCH_FATAL:MISSING_REQUIRED_SOURCE_COLUMN' END,
+  CASE WHEN k % 11 = 0 OR n < 3 THEN 'BATCH_FATAL:MISSING_REQUIRED_SOURCE_COLUMN' END,
+  CASE WHEN n = 4 THEN 'WARNING:SCHEMA_CONFIG_DRIFT' WHEN renamed OR n < 3 THEN 'BATCH_FATAL:SCHEMA_CONFIG_DRIFT' END], lambda x: x IS NOT NULL)) AS x FROM o)
+SELECT file, split_part(x, ':', 1) AS outcome, split_part(x, ':', 2) AS code, count(*) AS n FROM f GROUP BY ALL""")
 def file_gates(spark, d):
-    known = ["Id", "Amount", "Status"]
-    maps = [mapping.FieldMapping("id", column="A"), mapping.FieldMapping("amount", column="B"), mapping.FieldMapping("currency", "CONSTANT", constant="VND"), mapping.FieldMapping("status", source_field="Status")]
-    shown = {"same": known, "appended": [*known, "New"], "renamed": ["Key", *known[1:]], "short": known[:2]}
-    rows = [(name, *found) for name, headers in shown.items() for found in (mapping.file_gate(maps, headers, known) or [(None, None)])]
-    return spark.createDataFrame(rows, "file string, outcome string, code string")
+    """Files of all orders against the configurations of their customers: unchanged, with a new column, renamed or cut."""
+    known = F.array(*map(F.lit, ("Id", "Amount", "Status")))
+    k = F.col("o_orderkey")
+    headers = F.when(k % 4 == 0, known).when(k % 4 == 1, F.array_append(known, F.lit("New"))).when(k % 4 == 2, F.array(F.lit("Key"), F.lit("Amount"), F.lit("Status"))).otherwise(F.slice(known, 1, 2))
+    files_ = table(spark, d, "orders").select(k.alias("file"), F.col("o_custkey").alias("config"), headers.alias("headers"))
+    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("config"), known.alias("known"))
+    return mapping.gate_findings(files_, configurations(spark, d), expected).groupBy("file", "outcome", "code").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, event_id % 800 + 1 AS number FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id < 26 THEN chr(CAST(65 + event_id AS INTEGER)) WHEN event_id < 702 THEN chr(CAST(64 + event_id // 26 AS INTEGER)) || chr(CAST(65 + event_id % 26 AS INTEGER))
+  ELSE chr(CAST(65 + (event_id - 702) // 676 AS INTEGER)) || chr(CAST(65 + (event_id - 702) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (event_id - 702) % 26 AS INTEGER)) END AS letters, event_id + 1 AS number FROM events WHERE event_id < 18278""")
 def column_letters(spark, d):
-    """Column numbers to spreadsheet letters and back, as a table of 800 columns."""
-    both = spark.createDataFrame([(n, mapping.column_letters(n)) for n in range(1, 801)], "n int, letters string").select("n", F.col("letters"))
-    back = spark.createDataFrame([(mapping.column_letters(n), mapping.column_number(mapping.column_letters(n))) for n in range(1, 801)], "letters string, number long")
-    known = both.join(back, "letters").select("n", "number")
-    return table(spark, d, "events").join(F.broadcast(known), F.col("event_id") % 800 + 1 == F.col("n")).select("event_id", "number")
+    """Numbers of columns to spreadsheet letters, up to the last of three letters, and back."""
+    rows = table(spark, d, "events").where("event_id < 18278").select("event_id", mapping.letters_of(F.col("event_id") + 1).alias("letters"))
+    return rows.withColumn("number", mapping.number_of(F.col("letters")))
 
 
 @query("""SELECT event_type, CASE WHEN event_id % 2 = 0 THEN 'failed: token=*** for db://u:***@h' ELSE 'failed: ' || event_type END AS message, count(*) AS n FROM events GROUP BY ALL""")

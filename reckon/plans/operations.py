@@ -292,3 +292,33 @@ def profile_instants(spark, d):
 @query(f"WITH {_ROWS} SELECT count(*) AS n, count(*) FILTER (WHERE len(errors) + len(violations) > 0) AS rejected, 100.0::DOUBLE * count(*) FILTER (WHERE len(errors) + len(violations) = 0) / count(*) AS score FROM v")
 def profile_score(spark, d):
     return profile.quality_score(catalog.judged(spark, d), F.size("faults") > 0)
+
+
+_CELLS = """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS ident, CASE WHEN event_id % 97 = 5 THEN 'n/a' WHEN event_id % 97 = 6 THEN 'u' || user_id ELSE CAST(user_id AS VARCHAR) END AS user_text,
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 AS VARCHAR) ELSE (event_id % 50) || '.5' END AS amount, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS moment, '' AS nothing, event_type AS kind FROM events)"""
+
+
+def text_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a file's texts: one column has drifted, one is empty."""
+    k = F.col("event_id")
+    user = F.when(k % 97 == 5, "n/a").when(k % 97 == 6, F.concat(F.lit("u"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string"))
+    amount = F.concat((k % 50).cast("string"), F.when(k % 2 == 0, "").otherwise(".5"))
+    return table(spark, d, "events").select(k.cast("string").alias("ident"), user.alias("user_text"), amount.alias("amount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("moment"), F.lit("").alias("nothing"), F.col("event_type").alias("kind"))
+
+
+_TEXTS = ["ident", "user_text", "amount", "moment", "nothing", "kind"]
+
+
+@query(_CELLS + f""", c AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS total, count(*) FILTER (WHERE {c} IN ('', 'n/a')) AS missing, count(DISTINCT CASE WHEN {c} NOT IN ('', 'n/a') THEN {c} END) AS n FROM e" for c in _TEXTS)})
+SELECT name, total, missing, CASE name WHEN 'ident' THEN 'integer' WHEN 'amount' THEN 'decimal' WHEN 'moment' THEN 'instant' WHEN 'nothing' THEN NULL ELSE 'text' END AS type,
+  CASE WHEN n <= 120 THEN n END AS distinct_values, n > 120 AS saturated FROM c""")
+def profile_observed(spark, d):
+    """Types and distinct values, those counted up to 120 so that some columns go beyond."""
+    return profile.observed(text_cells(spark, d), _TEXTS, 120)
+
+
+@query(_CELLS + """ SELECT unnest(['ident', 'user_text', 'amount', 'moment', 'nothing', 'kind', 'gone', 'maybe']) AS name, unnest(['integer', 'integer', 'decimal', 'instant', 'text', NULL, 'text', 'text']) AS expected,
+unnest(['integer', 'text', 'decimal', 'instant', NULL, 'text', NULL, NULL]) AS type, unnest([NULL, CASE WHEN bool_or(NOT regexp_full_match(user_text, '[0-9]+|n/a')) THEN 'TYPE' END, NULL, NULL, 'EMPTY', 'UNEXPECTED', 'MISSING', 'OPTIONAL_MISSING']) AS drift FROM e""")
+def profile_drift(spark, d):
+    expected = [("ident", "integer", True), ("user_text", "integer", True), ("amount", "decimal", True), ("moment", "instant", True), ("nothing", "text", True), ("gone", "text", True), ("maybe", "text", False)]
+    return profile.drift(profile.observed(text_cells(spark, d), _TEXTS), expected)

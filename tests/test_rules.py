@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reckon.functions import keys, text, times
-from reckon.operators import dedupe, mapping, metrics, recovery, scope
+from reckon.operators import dedupe, mapping, metrics, profile, recovery, scope
 
 M = mapping.FieldMapping
 
@@ -171,3 +171,43 @@ def test_columns_of_records(spark):
     assert [(r["id"], r["trace"], r["nested"], r["extra"]) for r in got] == [("1", "t", {"note": {"x": "v"}}, {"y": "v", "plain": "v"}), ("2", None, {"note": {"x": "w"}}, {"y": "w", "plain": "w"})]
     assert [mapping.column_letters(n) for n in (1, 26, 27, 52, 702, 703)] == ["A", "Z", "AA", "AZ", "ZZ", "AAA"]
     assert ("INVALID_COLUMN", "id") in mapping.config_issues([M("id", column="A1")]) and mapping.config_issues([M("id", column="ab")]) == []
+
+
+def test_configurations_and_gates_of_many_files_equal_those_of_one(spark):
+    sets = {
+        "good": [M("id", column="A"), M("amount", column=2), M("currency", "CONSTANT", constant="VND"), M("status", source_field="Status")],
+        "bad": [M("id", column="A"), M("id", column="B"), M("status", "MAPPING", column="C"), M("currency", "CONSTANT"), M("trace")],
+        "none": [],
+    }
+    rows = [(c, k, m.path, m.type, None if m.column is None else str(m.column), m.source_field, m.constant, len(m.mapping)) for c, maps in sets.items() for k, m in enumerate(maps)]
+    maps = spark.createDataFrame(rows, "config string, position int, path string, type string, column string, source_field string, constant string, pairs int")
+    got = sorted(tuple(r) for r in mapping.config_findings(maps).collect())
+    assert got == sorted((c, *f) for c, m in sets.items() for f in mapping.config_issues(m))
+    assert {r["config"]: r["score"] for r in mapping.config_scores(maps).collect()} == {c: mapping.mapping_score(len(mapping.config_issues(m)), 0) for c, m in sets.items() if m}
+    known = ["Id", "Amount", "Status"]
+    shapes = {"same": known, "more": [*known, "New"], "other": ["Key", *known[1:]], "short": known[:1], "empty": []}
+    files = spark.createDataFrame([(f"{c}/{s}", c, h) for c in sets for s, h in shapes.items()], "file string, config string, headers array<string>")
+    expected = spark.createDataFrame([(c, known) for c in sets if c != "bad"], "config string, known array<string>")
+    found = sorted(tuple(r) for r in mapping.gate_findings(files, maps, expected).collect())
+    assert found == sorted((f"{c}/{s}", *f) for c, m in sets.items() for s, h in shapes.items() for f in mapping.file_gate(m, h, known if c != "bad" else None))
+
+
+def test_column_numbers_as_expressions(spark):
+    numbers = [1, 26, 27, 52, 53, 702, 703, 18278, 18279, 12356630]
+    rows = spark.createDataFrame([(n, mapping.column_letters(n)) for n in numbers], "n long, letters string")
+    assert all(r["l"] == r["letters"] and r["b"] == r["n"] for r in rows.select("*", mapping.letters_of(F.col("n")).alias("l"), mapping.number_of(F.lower("letters")).alias("b")).collect())
+    odd = spark.createDataFrame([("A1",), ("",), (None,), ("7",)], "x string")
+    assert [r[0] for r in odd.select(mapping.number_of(F.col("x"))).collect()] == [None, None, None, 7]
+
+
+def test_observed_columns_and_their_drift(spark):
+    rows = [(str(k), None if k % 3 else "1.5", "2024-01-0%d" % (k % 9 + 1), "x" if k == 7 else "7", "") for k in range(300)]
+    frame = spark.createDataFrame(rows, "a string, b string, c string, d string, e string").repartition(5)
+    got = {r["name"]: tuple(r)[1:] for r in profile.observed(frame, list("abcde"), 100).collect()}
+    assert got == {"a": (300, 0, "integer", None, True), "b": (300, 200, "decimal", 1, False), "c": (300, 0, "instant", 9, False), "d": (300, 0, "text", 2, False), "e": (300, 300, None, 0, False)}
+    exact = {r["name"]: r["distinct_values"] for r in profile.observed(frame, list("abcde"), 300).collect()}
+    assert exact["a"] == 300
+    found = profile.drift(profile.observed(frame, list("abcde")), [("a", "decimal", True), ("b", "integer", True), ("c", "text", True), ("d", "integer", False), ("e", "text", False), ("f", "text", True)])
+    assert {r["name"]: r["drift"] for r in found.collect()} == {"a": None, "b": "TYPE", "c": None, "d": "TYPE", "e": None, "f": "MISSING"}
+    none = profile.observed(frame.limit(0), ["a"]).collect()
+    assert [tuple(r) for r in none] == [("a", 0, 0, None, 0, False)]
