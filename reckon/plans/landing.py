@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import keys, text
 from ..operators import mapping, match, metrics, recovery, scope
 from ..session import shared_path, ship
-from ..sources import files
+from ..sources import files, registered
 from ..streaming import ingest
 from . import catalog, workload
 from .catalog import FULL, query
@@ -107,6 +107,44 @@ def staged_replay(spark, d):
     return files.staged_items(kept, "$.data.items").select("page", F.col("record")["id"].alias("id"), F.col("record")["kind"].alias("kind"))
 
 
+_CURSORS = 80
+
+
+@query(f"""WITH e AS (SELECT event_id, event_type, event_id * {_CURSORS} // (SELECT max(event_id) + 1 FROM events) AS part FROM events)
+SELECT CAST(part + 1 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY part ORDER BY event_id) AS INTEGER) AS row, event_id AS id, event_type AS kind FROM e""")
+def cursor_pages(spark, d):
+    """Events landed as eighty pages that each name the next one's cursor, half of them first: two runs of a stream give each item once."""
+    registered.register(spark)
+    path, sink = shared_path(spark, "pages"), shared_path(spark, "items")
+    ends = table(spark, d, "events").agg((F.max("event_id") + 1).alias("end"))  # a row
+    e = table(spark, d, "events").join(F.broadcast(ends)).withColumn("part", F.floor(F.col("event_id") * _CURSORS / F.col("end")))
+    item = F.struct("event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))).alias("body"))
+    page = e.groupBy("part").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    name = lambda part: F.concat(F.lit("c"), part.cast("string"))
+    then = F.when(F.col("part") < _CURSORS - 1, F.concat(F.lit('"'), name(F.col("part") + 1), F.lit('"'))).otherwise("null")
+    body = F.concat(F.lit('{"cursorAfter": '), then, F.lit(', "items": ['), F.array_join(F.transform("items", lambda i: i["body"]), ","), F.lit("]}"))
+    pages_ = page.select(F.when(F.col("part") > 0, name(F.col("part"))).alias("cursor"), body.alias("value"), "part")
+    for half in (F.col("part") < _CURSORS // 2, F.col("part") >= _CURSORS // 2):
+        pages_.where(half).drop("part").write.mode("append").partitionBy("cursor").text(path)
+        stream = spark.readStream.format("cursor_pages").load(path).writeStream.format("parquet").option("checkpointLocation", f"{sink}-at").option("path", sink)
+        stream.trigger(availableNow=True).start().awaitTermination()
+    item = F.from_json("item", "id long, kind string")
+    return spark.read.parquet(sink).select("page", "row", item["id"].alias("id"), item["kind"].alias("kind"))
+
+
+@query("""SELECT p_partkey AS key, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN p_size END AS size FROM part WHERE p_partkey % 3 <> 2""")
+def source_workbook(spark, d):
+    """Workbooks of the parts, a hundred a book and three sheets in each, of which two are read; strings are shared or inline, numbers are numbers."""
+    registered.register(spark)
+    path = f"{shared_path(spark, 'books')}"
+    spark.createDataFrame([], "x string").write.text(path)  # makes the folder where all tasks write
+    parts = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size")).alias("size"), F.floor(F.col("p_partkey") / 100).alias("book"))
+    written = parts.groupBy("book").applyInPandas(lambda rows: registered.written_book(rows, path, ["p_partkey", "p_name", "size"], rows["p_partkey"] % 3), "file string")
+    written.count()
+    rows = spark.read.format("workbook").load(f"{path}/*.xlsx").where(F.col("sheet").isin("s0", "s1") & (F.col("row") > 1))
+    return rows.select(F.col("cells")[0].cast("long").alias("key"), F.col("cells")[1].alias("name"), F.get("cells", F.lit(2)).cast("int").alias("size"))
+
+
 # Writes and streams
 
 

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import IO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -82,9 +83,14 @@ def _value(cell: ElementTree.Element, shared: list[str], dates: set[int], epoch:
     return raw or None
 
 
-def sheet_rows(content: bytes, sheet: str | int = 0) -> Iterator[tuple[int, list[str | None]]]:
+def sheet_names(content: bytes | IO[bytes]) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
+        return [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).findall(f"{_MAIN}sheets/{_MAIN}sheet")]
+
+
+def sheet_rows(content: bytes | IO[bytes], sheet: str | int = 0) -> Iterator[tuple[int, list[str | None]]]:
     """Row number and cells of a sheet, a row at a time."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         shared, dates, epoch = _shared(book), _date_styles(book), _epoch(book)
         with book.open(_sheet_part(book, sheet)) as part:
             last = 0
