@@ -164,6 +164,24 @@ def surviving(existing: DataFrame, partner: DataFrame, scope: str, source_file:
     return marked.where(~(same & (of_file | F.col("_hit").isNotNull()))).select(*existing.columns)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Replaces the partner days that ``results`` holds and leaves others untouched."""
-    results.hint("rebalance", "partner", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partner", "date").parquet(path)
+def write_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """Replaces the partner days that ``results`` holds and leaves others untouched; ``run`` is stored as run_id of every row.
+
+    A folder holds a month of a partner, as days of few rows make files of few rows. Where there are results already, the
+    new ones are staged once, and the other days of their months are written again with them.
+    """
+    spark, month = results.sparkSession, F.trunc("date", "month")
+    rows = results.withColumns({"run_id": F.lit(run).cast("string"), "month": month})
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_staged")
+    if system.exists(place):
+        rows.write.mode("overwrite").parquet(f"{path}/_staged")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}/_staged")
+        days = rows.select(F.col("partner").alias("_p"), F.col("month").alias("_m"), F.col("date").alias("_d")).distinct()
+        same = F.col("partner").eqNullSafe(F.col("_p"))
+        months = days.select("_p", "_m").distinct()
+        there = spark.read.schema(rows.schema).parquet(path).join(months, same & F.col("month").eqNullSafe(F.col("_m")), "left_semi")
+        rows = rows.unionByName(there.join(days, same & F.col("date").eqNullSafe(F.col("_d")), "left_anti").select(rows.columns))
+    rows.hint("rebalance", "partner", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partner", "month").parquet(path)
+    system.delete(staged, True)

@@ -123,10 +123,10 @@ def stale(known_hash: Column, seen_hash: Column, known_shape: Column, seen_shape
     return F.when(known_hash.isNotNull() & seen_hash.isNotNull(), known_hash != seen_hash).otherwise(~known_shape.eqNullSafe(seen_shape))
 
 
-def by_run_or_file(rows: DataFrame, run=None, file=None) -> DataFrame:
-    """Rows of a run or list of runs; only without one, of a file or list of files."""
+def by_run_or_file(rows: DataFrame, run=None, file=None, column: str = "run_id") -> DataFrame:
+    """Rows of a run or list of runs, as stored with results; only without one, of a file or list of files."""
     if run is not None:
-        return filtered(rows, run=run)
+        return filtered(rows, **{column: run})
     return filtered(rows, source_file_id=file)
 
 

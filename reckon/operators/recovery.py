@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
+from ..streaming import ingest
 from . import folds
 
 #: Error codes of each kind of issue; other codes are OTHER.
@@ -174,18 +175,44 @@ def expired(records: DataFrame, now: Column, most: int = 100) -> DataFrame:
     return records.where(F.col("status").isin(*KEPT_DAYS) & (F.col("expires_at") <= now)).orderBy("expires_at", "id").limit(most)
 
 
-def append(records: DataFrame, path: str) -> None:
-    """Adds quarantined records, with their defaults, to the store at ``path``, a folder for each status."""
-    with_defaults(records).write.mode("append").partitionBy("status").parquet(path)
+def append(records: DataFrame, path: str) -> dict[str, int]:
+    """Adds quarantined records, with their defaults, to the store at ``path``; those of an id, status and day of expiry that it has are not added again.
+
+    Folders are the days on which records expire, so that a purge touches few of them.
+    """
+    store = ingest.Store(records.sparkSession, path)
+    _finish(store)
+    last = max((int(n.removeprefix("batch=")) for n in store.names("") if n.startswith("batch=")), default=-1)
+    rows = with_defaults(records).withColumn("expires_on", F.to_date("expires_at"))
+    return ingest.append(rows, last + 1, path, ["id", "status", "expires_on"], "created_at", "expires_on")
 
 
 def purge(spark: SparkSession, path: str, now: Column, most: int = 100) -> int:
-    """Takes the ``most`` longest expired records out of the store and returns how many went; only closed statuses are rewritten."""
-    closed = spark.read.parquet(path).where(F.col("status").isin(*KEPT_DAYS))
-    gone = expired(closed, now, most).select("id").checkpoint()  # at most ``most`` rows
-    n = gone.count()
-    if n:
-        kept = closed.join(F.broadcast(gone), "id", "left_anti").checkpoint()
-        for status in KEPT_DAYS:
-            kept.where(F.col("status") == status).drop("status").write.mode("overwrite").parquet(f"{path}/status={status}")
-    return n
+    """Takes the ``most`` longest expired records out of the store and returns how many went.
+
+    Only the folders that hold them are written anew, beside the store; each then takes the place of the old one. A purge
+    that breaks off has either changed nothing of a folder, or left its new content, which the next purge or append puts
+    in its place.
+    """
+    store = ingest.Store(spark, path)
+    _finish(store)
+    rows = spark.read.parquet(path)
+    due = rows.where(F.col("expires_on") <= F.to_date(now))  # reaches the folders
+    gone = expired(due.select("*", ingest.parent().alias("_folder")), now, most).select("id", "status", "_folder").collect()  # ``most`` at most
+    kind = T.StructType([f for f in rows.schema if f.name not in ("batch", "expires_on")])
+    for folder in sorted({r["_folder"] for r in gone}):
+        out = spark.createDataFrame([(r["id"], r["status"]) for r in gone if r["_folder"] == folder], T.StructType([rows.schema["id"], rows.schema["status"]]))
+        kept = spark.read.schema(kind).parquet(folder).join(F.broadcast(out), ["id", "status"], "left_anti").select(*kind.names)
+        kept.write.mode("overwrite").parquet(f"{store.target}/_purged/{'/'.join(folder.split('/')[-2:])}")
+    _finish(store)
+    return len(gone)
+
+
+def _finish(store: ingest.Store) -> None:
+    """Puts the complete folders of a purge in the place of those that they replace."""
+    for batch in store.names("_purged"):
+        for day in store.names(f"_purged/{batch}"):
+            if store.exists(f"_purged/{batch}/{day}/_SUCCESS"):
+                store.delete(f"{batch}/{day}")
+                store.rename(f"_purged/{batch}/{day}", f"{batch}/{day}")
+    store.delete("_purged")

@@ -77,6 +77,25 @@ def source_json_array(spark, d):
     return rows.select("row", record["p_partkey"].cast("long").alias("key"), record["p_name"].alias("name"), F.get_json_object(record["inner"], "$.sizes[0]").cast("int").alias("size"))
 
 
+@query("""WITH b AS (SELECT p_brand AS brand, CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) % 3 AS kind, min(p_partkey) AS first FROM part GROUP BY ALL)
+SELECT brand, len(h) AS columns, h[1] AS first_header, md5('[[' || array_to_string(list_transform(h, lambda x: '"' || x || '"'), ', ') || '], ' || len(h) || ']') AS signature, first AS first_key
+FROM (SELECT *, CASE kind WHEN 0 THEN ['Id', 'Name'] WHEN 1 THEN ['Id', 'Name', 'Size'] ELSE ['Mã số', 'Name'] END AS h FROM b)""")
+def source_structures(spark, d):
+    """A file for each brand behind a blank line: its headers, the signature that files of one structure share, and the first row by number."""
+    path = shared_path(spark, "brands")
+    digits = F.regexp_extract("p_brand", "[0-9]+$", 0).cast("int") % 3
+    heads = F.element_at(F.array(*[F.lit(h) for h in ("Id,Name", "Id,Name,Size", "Mã số,Name")]), digits + 1)
+    line = F.concat_ws(",", "p_partkey", "p_type", F.when(digits == 1, F.col("p_size").cast("string")))
+    rows = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("at"), line.alias("value"))
+    brands = table(spark, d, "part").select("p_brand", heads.alias("heads")).distinct()
+    top = brands.select("p_brand", F.posexplode(F.array(F.lit(","), "heads")).alias("at", "value")).withColumn("at", F.col("at").cast("long") - 10)
+    rows.unionByName(top).repartition("p_brand").sortWithinPartitions("p_brand", "at").drop("at").write.partitionBy("p_brand").text(path)
+    raw = files.delimited(spark, f"{path}/*")
+    brand = F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]*)", 1))).alias("brand")  # escaped in the folder, and again in its URI
+    shapes = files.structures(raw).select(brand, "columns", F.col("headers")[0].alias("first_header"), "signature")
+    return shapes.join(files.row_at(raw, 2).select(brand, F.col("cells")[0].cast("long").alias("first_key")), "brand")
+
+
 _PAGES = """
 g AS (SELECT event_id // 20 AS page, event_id // 2000 AS stage, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY ALL)"""
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import keys
-from ..operators import mapping, metrics, profile, queues, recovery
+from ..operators import mapping, match, metrics, profile, queues, recovery
+from ..session import shared_path
 from ..streaming import ingest
 from . import catalog, workload
 from .catalog import _NOW, _QUARANTINE, _ROWS, FULL, query
@@ -223,16 +224,33 @@ def config_staleness(spark, d):
     return rows.groupBy("stale").agg(F.count("*").alias("n"))
 
 
-@query(FULL + """, r AS (SELECT *, CASE WHEN source_file_id IS NULL THEN 'R0' ELSE 'R' || (CAST(substr(source_file_id, 2) AS INTEGER) % 3) END AS run FROM results)
-SELECT 'run' AS asked, run, source_file_id, count(*) AS n FROM r WHERE run IN ('R1', 'R2') GROUP BY ALL UNION ALL SELECT 'file', run, source_file_id, count(*) FROM r WHERE source_file_id = 'F3' GROUP BY ALL""")
+@query(FULL + """, r AS (SELECT *, CASE WHEN partner IN ('BUILDING', 'MACHINERY') THEN 'R2' ELSE 'R1' END AS run FROM results WHERE partner IS NOT NULL)
+SELECT 'run' AS asked, run, source_file_id, count(*) AS n FROM r WHERE run IN ('R2', 'R3') GROUP BY ALL UNION ALL SELECT 'file', run, source_file_id, count(*) FROM r WHERE source_file_id = 'F3' GROUP BY ALL""")
 def results_by_run_or_file(spark, d):
-    run = F.when(F.col("source_file_id").isNull(), "R0").otherwise(F.concat(F.lit("R"), (F.substring("source_file_id", 2, 9).cast("int") % 3).cast("string")))
-    rows = catalog.results(spark, d).withColumn("run", run)
-    both = {"run": queues.by_run_or_file(rows, ["R1", "R2"], "F3"), "file": queues.by_run_or_file(rows, None, "F3")}
-    parts = [r.groupBy("run", "source_file_id").agg(F.count("*").alias("n")).select(F.lit(a).alias("asked"), "run", "source_file_id", "n") for a, r in both.items()]
+    """Results stored by one run, those of two partners again by another: read back by run, or by file."""
+    path = shared_path(spark, "results")
+    rows = catalog.results(spark, d).where("partner IS NOT NULL").select("partner", F.trunc("date", "year").alias("date"), "source_file_id")  # a folder a year
+    match.write_results(rows, path, "R1")
+    match.write_results(rows.where(F.col("partner").isin("BUILDING", "MACHINERY")), path, "R2")
+    back = spark.read.schema("source_file_id string, run_id string, partner string, date date").parquet(path)
+    both = {"run": queues.by_run_or_file(back, ["R2", "R3"], "F3"), "file": queues.by_run_or_file(back, None, "F3")}
+    parts = [r.groupBy(F.col("run_id").alias("run"), "source_file_id").agg(F.count("*").alias("n")).select(F.lit(a).alias("asked"), "run", "source_file_id", "n") for a, r in both.items()]
     return parts[0].unionByName(parts[1])
 
 
+@query(f"""WITH {_QUARANTINE}, x AS (SELECT id, status, created_at + to_days(CASE status WHEN 'RESOLVED' THEN 90 WHEN 'REJECTED' THEN 365 END) AS expires_at FROM q),
+g AS (SELECT id FROM x WHERE expires_at <= TIMESTAMP '{_LATER}' ORDER BY expires_at, id LIMIT 100)
+SELECT status, count(*) AS n FROM x WHERE id NOT IN (SELECT id FROM g) GROUP BY 1""")
+def quarantine_purged(spark, d):
+    """A store of records added twice, as after a retry, and purged of the hundred longest expired."""
+    path = shared_path(spark, "quarantine")
+    records = catalog.quarantine(spark, d).drop("priority", "due_at", "expires_at").withColumn("resolved_at", F.col("created_at"))
+    for _ in range(2):
+        recovery.append(records, path)
+    recovery.purge(spark, path, F.lit(_LATER).cast("timestamp_ntz"))
+    return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query(FULL + """, g AS (SELECT partner, reconciliation_status AS s, count(*) AS n FROM results GROUP BY ALL)
 SELECT partner, count(*) AS kinds, sum(n) AS total, CAST(coalesce(sum(n) FILTER (WHERE s IN ('AMOUNT_MISMATCH', 'STATUS_MISMATCH', 'MULTIPLE_MISMATCH')), 0) AS BIGINT) AS mismatches FROM g GROUP BY 1""")
 def mismatch_groups(spark, d):

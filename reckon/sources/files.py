@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import json
 import re
@@ -129,17 +128,17 @@ def dated(template: str, day: date) -> str:
 def dropped_files(spark: SparkSession, folder: str, pattern: str, day: date, settle: float = 5.0) -> list[str]:
     """Files of a drop folder that match the day's pattern and kept their size for ``settle`` seconds, sorted.
 
-    The listing is Spark's, and reads no contents.
+    The listing is Spark's, which reads no contents and looks for the day's names only.
     """
     name = dated(pattern, day)
 
     def sizes() -> dict[str, int]:
-        listed = spark.read.format("binaryFile").load(folder).select("path", "length").collect()
-        return {r["path"]: r["length"] for r in listed if fnmatch.fnmatch(r["path"].rsplit("/", 1)[-1], name)}
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).select("path", "length")
+        return {r["path"]: r["length"] for r in listed.collect()}
 
     before = sizes()
     time.sleep(settle if before else 0)
-    after = sizes()
+    after = sizes() if before else {}
     return sorted(path for path, size in before.items() if after.get(path) == size)
 
 

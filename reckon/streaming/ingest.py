@@ -52,6 +52,10 @@ class Store:
     def delete(self, path: str) -> None:
         self._fs.delete(self._jvm.Path(f"{self.target}/{path}"), True)
 
+    def rename(self, path: str, to: str) -> None:
+        if not self._fs.rename(self._jvm.Path(f"{self.target}/{path}"), self._jvm.Path(f"{self.target}/{to}")):
+            raise OSError(f"{path} cannot be moved to {to}")
+
     def names(self, path: str) -> list[str]:
         return sorted(f.getPath().getName() for f in self._fs.listStatus(self._jvm.Path(f"{self.target}/{path}"))) if self.exists(path) else []
 
@@ -129,7 +133,7 @@ def _possible(store: Store, came: DataFrame, keys: list[str], by: str | None, ra
     return [r["path"] for r in hits.select("path").distinct().collect()]  # a row a folder that is read
 
 
-def _parent() -> Column:
+def parent() -> Column:
     """The folder of a row's file; file names come as URIs."""
     plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(plain, "/[^/]*$", "")
@@ -170,7 +174,7 @@ def append(rows: DataFrame, batch: int, target: str, keys: list[str], ordinal: s
     path = f"{store.target}/batch={batch}"
     (writer if by is None else writer.partitionBy(by)).parquet(path)
     written = spark.read.schema(rows.schema).parquet(path)
-    hashed = written.select(_folder(by).alias("folder"), filters.key_hash(*map(F.col, keys)).alias("hash"), _parent().alias("path"))
+    hashed = written.select(_folder(by).alias("folder"), filters.key_hash(*map(F.col, keys)).alias("hash"), parent().alias("path"))
     sets = hashed.groupBy("folder").agg(F.max("path").alias("path"), F.count("*").alias("rows")).withColumn("blocks", filters.blocks(F.col("rows"))).coalesce(1)
     sets = sets.select(F.lit(batch).cast("long").alias("batch"), "folder", "path", "rows", "blocks")
     made = f"{store.target}/_made"
