@@ -18,20 +18,28 @@ LEAST_SCORE = 0.2
 ORACLE_SQL = None
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``docs`` with columns of these names under others, as the stage adds its own, and the columns that bring them back."""
+    hidden = {c: f"{c}_of_documents" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(hidden), [F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; null texts, texts without letters and unknown languages go."""
     prepare(spark)
-    model = language.train(docs)
-    known = language.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
-    return known.select(*docs.columns)
+    rows, own = _aside(docs, ("lang_pred", "lang_score"))
+    known = language.identify(rows, language.train(docs)).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    return known.select(*own)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier runs of lines; n_chars follows the text."""
     prepare(spark)
-    clean = line_dedup.dedup_lines(docs)
-    size = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return clean.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, own = _aside(docs, ("n_lines", "n_removed"))
+    clean = line_dedup.dedup_lines(rows)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*own)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +51,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     prepare(spark)
-    taken = mixing.mix(docs, keep=True)
+    rows, own = _aside(docs, ("size", "h", "source_size", "target", "taken", "mixed_copy"))
+    taken = mixing.mix(rows, keep=True)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     repeated = F.explode(F.sequence(F.lit(1), times))
-    return taken.where(F.col("taken") > 0).select(*docs.columns, repeated.alias("_copy")).drop("_copy")
+    return taken.where(F.col("taken") > 0).withColumn("mixed_copy", repeated).select(*own)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
