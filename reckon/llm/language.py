@@ -57,6 +57,10 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mixed(value), begin
 
 
+#: Sampled texts of a language from which on n-grams seen once are left out; with fewer, all are learned.
+FEW = 50
+
+
 def _slot(hashes: np.ndarray, k: int) -> np.ndarray:
     return ((hashes >> np.uint64(20 * k)) % np.uint64(SLOTS)).astype(np.int64)
 
@@ -71,7 +75,8 @@ def fit(samples: Iterable[tuple[str, list[str]]]) -> tuple[list[str], np.ndarray
     for name, texts in samples:
         found, _ = grams(*lowered(texts))
         gram, count = np.unique(found, return_counts=True)
-        by[name] = (gram[count > 1], count[count > 1] / max(1, count.sum()))
+        often = count > (1 if len(texts) >= FEW else 0)
+        by[name] = (gram[often], count[often] / max(1, count.sum()))
     names = sorted(by)
     counted = [by[name] for name in names]
     every = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.zeros(0, np.uint64)

@@ -170,6 +170,11 @@ def margins(model: Model, found: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return (sums[begin[1:]] - sums[begin[:-1]]) / size + model.bias
 
 
+def blended(w: np.ndarray) -> np.ndarray:
+    """Weights between naive Bayes, whose weights over ratio-scaled features are one (the mean magnitude), and ``w``."""
+    return (1 - BLEND) * np.abs(w).mean() + BLEND * w
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     rows = labelled(docs, labels, label)
     counts = class_counts(rows)
@@ -188,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     fit, rest = np.arange(len(y)) % 4 != 0, np.arange(len(y)) % 4 == 0
     cost = PENALTY * len(y) / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
     w, bias = descend([x for x, k in zip(lists, fit) if k], y[fit], ratio, cost[fit])
-    w = (1 - BLEND) * np.abs(w).mean() * np.sign(ratio) + BLEND * w
+    w = blended(w)
     model = Model(w.astype(np.float32), ratio.astype(np.float32), float(bias), 1.0, 0.0)
     margin = margins(model, found, begin)
     if len(set(y[rest])) == 2:

@@ -204,3 +204,16 @@ def test_toxicity_on_held_out_rows(spark):
     rank = rows["score"].rank()
     n = (rows["toxic"] == 1).sum()
     assert (rank[rows["toxic"] == 1].sum() - n * (n + 1) / 2) / (n * (len(rows) - n)) > 0.78
+
+
+def test_blended_weights_lean_on_naive_bayes_for_both_classes():
+    w = np.array([0.4, -0.2, 0.0])
+    ratio = np.array([1.0, -1.0, -2.0])
+    got = quality.blended(w)
+    assert np.allclose(got, 0.9 * w + 0.1 * 0.2)
+    assert (got * ratio)[2] < 0  # a feature of class 0 that was never fitted speaks for class 0
+
+
+def test_a_language_of_one_short_text_is_learned():
+    names, filled, false = language.fit([("en", ["the cat sat on the mat and the dog ran " * 3] * 60), ("rare", ["zebra quux flimp wozzle"])])
+    assert names[language.shares((names, filled, false), ["zebra quux flimp wozzle"])[0].argmax()] == "rare"

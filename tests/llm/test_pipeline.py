@@ -55,3 +55,13 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_columns_that_clash_with_those_of_stages_come_through(spark):
+    names = ["h", "_copy", "n_lines", "n_removed", "size", "source_size", "target", "taken", "mixed_copy", "lang_pred", "lang_score", "key", "id", "doc", "Size2"]
+    docs = table(spark, FOLDER, "documents").limit(60).select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, docs, FOLDER), "t")
+        assert kept.columns == docs.columns and kept.count() > 0, name
+        assert kept.where(" OR ".join(f"`{n}` <> '{n}:' || doc_id" for n in names)).count() == 0, name
+        docs = kept
