@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import keys
-from ..session import ship
+from ..session import shared_path, ship
 from .match import MATCHED
 
 DIFFERING = ("AMOUNT_MISMATCH", "STATUS_MISMATCH", "MULTIPLE_MISMATCH")
@@ -128,6 +128,19 @@ def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame
     return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).offset(offset).limit(size)
 
 
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, from 1 in the order of columns (nulls last), without a window over all rows: sorted parts are stored, and counted one by one."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "placed")
+    parts = rows.orderBy(*[F.asc_nulls_last(c) for c in order]).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    parts.write.parquet(path)
+    back = spark.read.schema(parts.schema).parquet(path)
+    counts = back.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy().orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    sums = counts.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)  # how the ids of a part begin
+    return back.join(F.broadcast(sums), F.col("_part") == F.col("_of")).select(*rows.columns, (F.col("_before") + inside + 1).alias("place"))
+
+
 def ordered(rows: DataFrame, order: list[str], **wanted) -> DataFrame:
     """The full list of rows that have the ``wanted`` values, in order, nulls last: a range sort over all tasks."""
     for name, want in wanted.items():

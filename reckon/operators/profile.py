@@ -123,6 +123,7 @@ def quantiles(points: DataFrame, by: list[str], value: str, n: str, at: list[flo
     x, finite = F.col(value), ~F.isnan(value) & (F.abs(value) != float("inf"))
     # twice the halves, so that the width of the range can't overflow
     bounds = [F.min(F.when(finite, x / 2)).alias("lo"), F.max(F.when(finite, x / 2)).alias("hi")]
+    points = points.select(*by, value, n).persist()  # read once a round
     totals = points.groupBy(*by).agg(F.sum(n).alias("n"), *bounds).collect()
     spark, kinds = points.sparkSession, [points.schema[c] for c in by]
     wanted, found = {}, {}
@@ -155,6 +156,7 @@ def quantiles(points: DataFrame, by: list[str], value: str, n: str, at: list[flo
                 del wanted[g, rank]
             else:
                 wanted[g, rank] = ("part", r["least"] / 2, r["most"] / 2, below + r["through"] - r["n"])
+    points.unpersist()
     out = []
     for g, r in enumerate(totals):
         q = []

@@ -111,18 +111,19 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT event_id // 2000 AS stage, event_id // 20 AS page, count(*) AS items FROM events GROUP BY ALL)
-SELECT CASE WHEN page % 4 = 0 THEN 'CONSUMED' ELSE 'STAGED' END AS status, count(*) AS pages, CAST(sum(items) AS BIGINT) AS items FROM p WHERE page % 5 <> 0 AND stage = 0 GROUP BY 1""")
+SELECT CAST(stage AS VARCHAR) AS stage, CASE WHEN page % 4 = 0 THEN 'CONSUMED' ELSE 'STAGED' END AS status, count(*) AS pages, CAST(sum(items) AS BIGINT) AS items FROM p WHERE page % 5 <> 0 GROUP BY ALL""")
 def staged_pages(spark, d):
     every = pages(spark, d)
     fresh = files.staged(every, every.where("page % 5 = 0"))
     marked = files.consumed(fresh, every.where("page % 4 = 0"))
-    return files.for_replay(marked, "0").groupBy("status").agg(F.count("*").alias("pages"), F.sum(F.json_array_length(F.get_json_object("body", "$.data.items"))).cast("long").alias("items"))
+    counted = F.sum(F.json_array_length(F.get_json_object("body", "$.data.items"))).cast("long").alias("items")
+    return files.for_replay(marked).groupBy("stage", "status").agg(F.count("*").alias("pages"), counted)
 
 
-@query("""SELECT event_id // 20 AS page, CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events WHERE event_id // 2000 = 0""")
+@query("""SELECT event_id // 20 AS page, CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events""")
 def staged_replay(spark, d):
     every = pages(spark, d)
-    kept = files.for_replay(files.staged(every, every.limit(0)), "0")
+    kept = files.for_replay(files.staged(every, every.limit(0)))
     return files.staged_items(kept, "$.data.items").select("page", F.col("record")["id"].alias("id"), F.col("record")["kind"].alias("kind"))
 
 
@@ -223,10 +224,14 @@ def results_replaced(spark, d):
     return back.groupBy("partner", "date", "reconciliation_status").agg(F.count("*").alias("n"))
 
 
-@query(FULL + " SELECT partner, date, reconciliation_key, reconciliation_status, partner_record_id, internal_record_id FROM results WHERE partner = 'BUILDING' AND source_file_id = 'F3'")
+@query(FULL + """ SELECT partner, date, reconciliation_key, reconciliation_status, partner_record_id, internal_record_id,
+row_number() OVER (ORDER BY reconciliation_key NULLS LAST, partner_record_id NULLS LAST, internal_record_id NULLS LAST, date, partner_ids) AS place FROM results WHERE partner = 'BUILDING' AND source_file_id = 'F3'""")
 def results_ordered(spark, d):
-    rows = metrics.ordered(catalog.results(spark, d), ["reconciliation_key", "partner_record_id", "internal_record_id"], partner="BUILDING", source_file_id="F3", date=None)
-    return rows.select("partner", "date", "reconciliation_key", "reconciliation_status", "partner_record_id", "internal_record_id")
+    """Results of a partner's file, each with its place in the order."""
+    rows = catalog.results(spark, d).where((F.col("partner") == "BUILDING") & (F.col("source_file_id") == "F3"))
+    ids = F.array_join("ambiguous_partner_record_ids", ",").alias("ids")
+    rows = rows.select("partner", "date", "reconciliation_key", "reconciliation_status", "partner_record_id", "internal_record_id", ids)
+    return metrics.placed(rows, ["reconciliation_key", "partner_record_id", "internal_record_id", "date", "ids"]).drop("ids")
 
 
 # Mapping

@@ -173,6 +173,7 @@ def consumed(pages: DataFrame, units: DataFrame) -> DataFrame:
     return pages.join(hit, "unit", "left").withColumn("status", status).select(*pages.columns)
 
 
-def for_replay(pages: DataFrame, stage: str) -> DataFrame:
-    """All retained pages of a stage, staged or consumed; ``staged_items`` gives their records in page order."""
-    return pages.where((F.col("stage") == stage) & F.col("status").isin("STAGED", "CONSUMED"))
+def for_replay(pages: DataFrame, stage: str | None = None) -> DataFrame:
+    """All retained pages of a stage, or of every stage, staged or consumed; ``staged_items`` gives their records in page order."""
+    kept = pages.where(F.col("status").isin("STAGED", "CONSUMED"))
+    return kept if stage is None else kept.where(F.col("stage") == stage)
