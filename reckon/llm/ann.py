@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored, table, tidied
+from .common import prepare, stored, table, tidied
 from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, scaled, usable
 
 TOP, EVERY = 5, 50
@@ -196,6 +196,7 @@ def fitted(rows: DataFrame, k: int = TOP, sample: int = SAMPLE, part: int = PART
 
 def search(vectors: DataFrame, queries, k: int = TOP, sample: int = SAMPLE, part: int = PART, chunk: int = CHUNK, block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``vectors`` that meets ``queries``; with a recall of 1 all parts are probed."""
+    prepare(vectors.sparkSession)
     rows = stored(usable(vectors, zero=False), "vectors")
     router = fitted(rows, k, sample, part, recall)
     index = stored(_routed(rows, router, 1), "index")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stored, table, tidied
+from .common import prepare, stored, table, tidied
 from .vectors import blocked, commonest_size, distinct_best, first_of_each, matrix, ranked, salted, usable, whole
 
 SCALE, TOP, EVERY = 1024, 10, 100
@@ -104,6 +104,7 @@ def search(vectors: DataFrame, queries, k: int = TOP, scale: int = SCALE, chunk:
 
     Scores are exact, as doubles hold all whole numbers below 2**53.
     """
+    prepare(vectors.sparkSession)
     rows = stored(usable(vectors, zero=True).withColumn("embedding", whole(scale, 2.0**53)), "whole")
     common = commonest_size(rows)
     drawn = rows.where(F.col("size") == common).orderBy(F.xxhash64("vec_id", "embedding")).limit(sample).select("vec_id", "embedding").toArrow()

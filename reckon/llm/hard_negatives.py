@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import stored, table, tidied
+from .common import prepare, stored, table, tidied
 from .vectors import commonest_size, finite, matrix, whole
 
 SCALE, POSITIVES, NEGATIVES, EVERY = 256, 5, 5, 100
@@ -334,6 +334,7 @@ def nearest(index: Index, anchors: DataFrame, same: bool, k: int) -> DataFrame:
 
 def mined(vectors: DataFrame, anchors: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, share: int = SHARE, scale: int = SCALE, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for the rows of ``vectors`` that meet ``anchors``."""
+    prepare(vectors.sparkSession)
     rows = stored(usable(vectors, scale), "whole")
     index = indexed(rows, sample, chunk)
     array = lambda x: F.array(F.lit(x))

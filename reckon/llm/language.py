@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import mixed, slices, table, text_bytes, text_column, tidied
+from .common import mixed, prepare, slices, table, text_bytes, text_column, tidied
 
 #: Rows sampled for each language to fit the filter.
 SAMPLE = 600
@@ -133,6 +133,7 @@ def train(docs: DataFrame, sample: int = SAMPLE):
 
 def identify(docs: DataFrame, model) -> DataFrame:
     """``docs`` with lang_pred and lang_score."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
 

@@ -116,6 +116,7 @@ def class_counts(rows: DataFrame) -> np.ndarray:
         columns = [pa.array(at, pa.int64()), pa.array(sums[0, at]), pa.array(sums[1, at])]
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "n0", "n1"])
 
+    prepare(rows.sparkSession)
     parts = rows.select("text", "label").mapInArrow(tidied(run), "feature long, n0 long, n1 long")
     got = parts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     out = np.zeros((2, FEATURES + 1))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import broadcast_if_small, stored, table, tidied
+from .common import broadcast_if_small, prepare, stored, table, tidied
 from .vectors import finite, matrix, whole
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
@@ -185,6 +185,7 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     """vec_id, label, code, error, label_error, codebooks_sha256 of the usable rows; at most 256 entries."""
     if not 1 <= entries <= 256:
         raise ValueError("a code has two hex digits a part: 1 to 256 entries")
+    prepare(vectors.sparkSession)
     rows = vectors.where(finite()).select("vec_id", "label", whole(scale, 2.0**51).alias("embedding"))
     lengths = rows.groupBy(F.size("embedding").alias("size")).count().where(F.col("size") % parts == 0)
     common = lengths.orderBy(F.desc("count"), "size").first()

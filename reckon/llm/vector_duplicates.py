@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stored, table, tidied
+from .common import prepare, stored, table, tidied
 from .near_duplicates import components
 from .vectors import finite, matrix, scaled
 
@@ -199,6 +199,7 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, reach: float = REACH
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH, side: int = SIDE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every distinct vector; groups are the values of ``label``."""
+    prepare(vectors.sparkSession)
     x = F.col("embedding").cast("array<double>")
     some = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite() & F.exists("embedding", lambda c: c != 0)
     rows = vectors.select("vec_id", "label", x.alias("embedding")).dropDuplicates().withColumn("fit", F.coalesce(some, F.lit(False)))
