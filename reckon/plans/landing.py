@@ -78,7 +78,7 @@ def source_json_array(spark, d):
 
 
 @query("""WITH b AS (SELECT p_brand AS brand, CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER) % 3 AS kind, min(p_partkey) AS first FROM part GROUP BY ALL)
-SELECT brand, len(h) AS columns, h[1] AS first_header, md5('[[' || array_to_string(list_transform(h, lambda x: '"' || x || '"'), ', ') || '], ' || len(h) || ']') AS signature, first AS first_key
+SELECT brand, CAST(len(h) AS INTEGER) AS columns, h[1] AS first_header, md5('[[' || array_to_string(list_transform(h, lambda x: '"' || x || '"'), ', ') || '], ' || len(h) || ']') AS signature, first AS first_key
 FROM (SELECT *, CASE kind WHEN 0 THEN ['Id', 'Name'] WHEN 1 THEN ['Id', 'Name', 'Size'] ELSE ['Mã số', 'Name'] END AS h FROM b)""")
 def source_structures(spark, d):
     """A file for each brand behind a blank line: its headers, the signature that files of one structure share, and the first row by number."""
