@@ -65,6 +65,12 @@ def _grouped(side: DataFrame, name: str) -> DataFrame:
     )
 
 
+def partner_groups(partner: DataFrame) -> DataFrame:
+    """partner, date, key, n, record_ids (in order) and basis (the least of the key's rows) of every keyed partner row."""
+    keyed = partner_side(partner).where("key IS NOT NULL")
+    return keyed.groupBy(*KEYS).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("record_ids"), F.min("basis").alias("basis"))
+
+
 def _outcome() -> Column:
     same_amount = F.col("p.amount") == F.col("i.amount")
     same_status = F.col("p.status") == F.col("i.status")

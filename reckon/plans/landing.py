@@ -358,6 +358,25 @@ def scrubbed_messages(spark, d):
     return table(spark, d, "events").groupBy("event_type", text.scrubbed(message).alias("message")).agg(F.count("*").alias("n"))
 
 
+# Keys and names
+
+
+@query(f"""WITH {RELATIONS} SELECT partner, date, key, count(*) AS n, array_to_string(list_sort(list(id)), ',') AS record_ids,
+min(CASE WHEN id LIKE '%b' THEN 'BUSINESS_LOCAL' ELSE 'CANONICAL_UTC' END) AS basis FROM p WHERE key IS NOT NULL GROUP BY ALL""")
+def partner_key_groups(spark, d):
+    """Rows, ids and the least timestamp basis of every partner key; second copies have another basis."""
+    basis = F.when(F.col("id").endswith("b"), "BUSINESS_LOCAL").otherwise("CANONICAL_UTC")
+    groups = match.partner_groups(workload.partner_transaction(spark, d).withColumn("timestamp_basis", basis))
+    return groups.withColumn("record_ids", F.array_join("record_ids", ","))
+
+
+@query("""SELECT strftime(CAST(o_orderdate AS DATE), 'P_%Y%m%d_') || '*_' || strftime(CAST(o_orderdate AS DATE), '%d-%m-%y') || '.csv' AS name, count(*) AS n FROM orders GROUP BY 1""")
+def drop_names(spark, d):
+    """Patterns of the files that are due on each day of orders."""
+    name = files.dated_names("P_{date:%Y%m%d}_*_{date:%d-%m-%y}.csv", F.to_date("o_orderdate"))
+    return table(spark, d, "orders").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+
+
 # Scope and state
 
 _COUNTED = f"""WITH {RELATIONS}, a AS (SELECT partner, date, count(*) AS received, count(DISTINCT file) AS files FROM p GROUP BY ALL), b AS (SELECT partner, date, count(*) AS internals FROM i_all GROUP BY ALL),

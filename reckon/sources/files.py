@@ -125,6 +125,23 @@ def dated(template: str, day: date) -> str:
     return re.sub(r"\{date:([^}]*)\}", lambda m: day.strftime(m.group(1)), template)
 
 
+#: Letters of a date format and Spark's patterns for them.
+_LETTERS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%j": "DDD", "%H": "HH", "%M": "mm", "%S": "ss"}
+
+
+def dated_names(template: str, day: Column) -> Column:
+    """``dated`` for a column of days."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{date:([^}]*)\}", template):
+        parts.append(F.lit(template[at : m.start()]))
+        at = m.end()
+        for letter in re.findall(r"%.|[^%]+", m.group(1)):
+            if letter[0] == "%" and letter not in _LETTERS:
+                raise ValueError(f"no date format: {letter}")
+            parts.append(F.date_format(day, _LETTERS[letter]) if letter in _LETTERS else F.lit(letter))
+    return F.concat(*parts, F.lit(template[at:]))
+
+
 def dropped_files(spark: SparkSession, folder: str, pattern: str, day: date, settle: float = 5.0) -> list[str]:
     """Files of a drop folder that match the day's pattern and kept their size for ``settle`` seconds, sorted.
 

@@ -77,3 +77,17 @@ def test_json_arrays_by_ranges(spark, tmp_path, size):
     for name, rows in want.items():
         for (row, cells), (_, item) in zip(got[name], rows):
             assert cells == (None if item is None or isinstance(item, dict) else cells if isinstance(item, list) else [texts[type(item)](item)]), (name, row)
+
+
+def test_dated_names_of_a_column(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    days = [date(2024, 2, 29), date(1999, 12, 31)]
+    rows = spark.createDataFrame([(d,) for d in days], "d date")
+    for template in ("P_{date:%Y%m%d}_*.csv", "{date:%d/%m/%y}", "none", "a{date:%j}b{date:x%Hy}"):
+        got = [r[0] for r in rows.select(files.dated_names(template, F.col("d"))).collect()]
+        assert got == [files.dated(template, d) for d in days]
+    with pytest.raises(ValueError):
+        files.dated_names("{date:%Q}", F.col("d"))
