@@ -267,9 +267,9 @@ def outcome(fatal: Column, conflict: Column, rejected: Column, warned: Column, e
     )
 
 
-def quality_summary(rows: DataFrame, faults: str = "faults", result: str = "outcome") -> DataFrame:
-    """total, valid, rejected, warnings, fatal, decision and action over all rows."""
-    counts = rows.agg(
+def quality_summary(rows: DataFrame, faults: str = "faults", result: str = "outcome", by: tuple[str, ...] = ()) -> DataFrame:
+    """total, valid, rejected, warnings, fatal, decision and action over all rows, or for each value of ``by``, a file as a rule."""
+    counts = rows.groupBy(*by).agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col(result) == o).alias(n) for o, n in (("VALID", "valid"), ("REJECT", "rejected"), ("WARNING", "warnings"), ("BATCH_FATAL", "fatal"), ("CONFLICTING_DUPLICATE", "conflicting"), ("EQUIVALENT_DUPLICATE", "equivalent"))],
     )

@@ -261,6 +261,17 @@ def quality_decision(spark, d):
     return mapping.quality_summary(judged(spark, d)).select("total", "valid", "rejected", "decision", "action")
 
 
+@query(f"""WITH {_ROWS}, f AS (SELECT k % 7 AS file, len(errors) + len(violations) > 0 AS bad, k % 70 = 1 AS torn FROM v WHERE k % 7 <> 0 OR len(errors) + len(violations) = 0),
+s AS (SELECT file, count(*) AS total, count(*) FILTER (WHERE NOT torn AND NOT bad) AS valid, count(*) FILTER (WHERE NOT torn AND bad) AS rejected, count(*) FILTER (WHERE torn) AS fatal FROM f GROUP BY 1)
+SELECT *, CASE WHEN fatal > 0 THEN 'FAIL' WHEN rejected > 0 THEN 'REVIEW' ELSE 'PASS' END AS decision, CASE WHEN fatal > 0 THEN 'FAIL' WHEN rejected > 0 THEN 'HOLD_FOR_REVIEW' ELSE 'CONTINUE' END AS action FROM s""")
+def quality_decisions(spark, d):
+    """A decision for each of seven files: one of good rows alone, one with rows that are fatal, the others with rejected rows."""
+    k = F.col("event_id")
+    rows = judged(spark, d).withColumn("file", k % 7).where((k % 7 != 0) | (F.col("outcome") == "VALID"))
+    rows = rows.withColumn("outcome", F.when(k % 70 == 1, "BATCH_FATAL").otherwise(F.col("outcome")))
+    return mapping.quality_summary(rows, by=("file",)).select("file", "total", "valid", "rejected", "fatal", "decision", "action")
+
+
 @query(f"WITH {_ROWS} SELECT code, count(*) AS n FROM (SELECT unnest(list_concat(errors, violations)) AS code FROM v) GROUP BY 1 ORDER BY n DESC, code LIMIT 10")
 def top_rule_codes(spark, d):
     return mapping.top_codes(judged(spark, d))
