@@ -178,42 +178,74 @@ def _source(m: FieldMapping, cells: str | None, record: str | None) -> tuple[Col
     return value, there
 
 
+def _found(faults: list[Column]) -> Column:
+    """An array of the errors that are not null; without a lambda, which Spark would not compile."""
+    none = F.array().cast(_ERROR)
+    return F.concat(none, *[F.when(fault.isNotNull(), F.array(fault)).otherwise(none) for fault in faults])
+
+
 def _error(code: str | Column, path: str) -> Column:
     return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), F.lit(path).alias("field"))
 
 
-def compile_field(m: FieldMapping, cells: str | None, record: str | None, zone: str) -> tuple[Column, Column]:
-    """The value of a field and its error, null if there is none."""
+def _value(m: FieldMapping, cells: str | None, record: str | None, zone: str) -> Column:
+    """The value of a field, null where it has none."""
+    if m.type == "CONSTANT":
+        return F.lit(m.constant or None).cast("string")
+    raw, _ = _source(m, cells, record)
+    if m.type == "DECIMAL" or m.path == "amount":
+        return keys.exact_money(raw)  # null where the stored scale would change the amount
+    if m.type == "DATE":
+        return times.canonical_time(raw, zone)
+    if m.type == "MAPPING":
+        table = F.create_map(*[F.lit(x) for pair in m.mapping.items() for x in pair])
+        return F.coalesce(F.try_element_at(table, raw), F.lit(m.mapping.get("others")))
+    return F.nullif(raw, F.lit(""))
+
+
+def _fault(m: FieldMapping, value: Column, cells: str | None, record: str | None) -> Column:
+    """The error of a field whose value is ``value``, null if there is none."""
     missing = "MISSING_REQUIRED_FIELD" if m.required else "MALFORMED_ROW"
     if m.type == "CONSTANT":
-        value = F.lit(m.constant or None).cast("string")
-        return value, F.when(value.isNull(), _error(missing, m.path))
+        return F.when(value.isNull(), _error(missing, m.path))
     raw, there = _source(m, cells, record)
     absent = F.when(~F.coalesce(there, F.lit(False)), _error("MALFORMED_ROW", m.path))
     if m.type == "DECIMAL" or m.path == "amount":
-        value = keys.exact_money(raw)  # null where the stored scale would change the amount
         fault = F.when(raw.isNull(), _error(missing, m.path)).when(value.isNull(), _error("INVALID_AMOUNT", m.path))
     elif m.type == "DATE":
-        value = times.canonical_time(raw, zone)
         empty = F.coalesce(F.trim(raw) == "", F.lit(True)) if m.path == "transDate" and not m.required else F.lit(False)
         fault = F.when(empty, None).when(raw.isNull(), _error(missing, m.path)).when(value.isNull(), _error("INVALID_TIMESTAMP", m.path))
     elif m.type == "MAPPING":
-        table = F.create_map(*[F.lit(x) for pair in m.mapping.items() for x in pair])
-        value = F.coalesce(F.try_element_at(table, raw), F.lit(m.mapping.get("others")))
         code = "INVALID_STATUS" if m.path == "status" else "MALFORMED_ROW"
         fault = F.when(raw.isNull(), _error(missing, m.path)).when(value.isNull(), _error(code, m.path))
     else:
-        value = F.nullif(raw, F.lit(""))
         fault = F.when(value.isNull(), _error(missing, m.path))
-    return value, F.coalesce(absent, fault)
+    return F.coalesce(absent, fault)
+
+
+def compile_field(m: FieldMapping, cells: str | None, record: str | None, zone: str) -> tuple[Column, Column]:
+    """The value of a field and its error, null if there is none."""
+    value = _value(m, cells, record, zone)
+    return value, _fault(m, value, cells, record)
+
+
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``columns``, which are computed once a row, however often later columns and filters name them.
+
+    They go through a generator of one row: a filter is never pushed below it, nor are projections merged with it, both of
+    which would put the columns' expressions in the place of each of their names.
+    """
+    made = rows.select("*", F.inline(F.array(F.struct(*[c.alias(f"_once_{name}") for name, c in columns.items()]))))
+    return made.withColumns({name: F.col(f"_once_{name}") for name in columns}).drop(*[f"_once_{name}" for name in columns])
 
 
 def map_rows(rows: DataFrame, mappings: list[FieldMapping], cells: str | None = "cells", record: str | None = None, zone: str = times.BUSINESS_ZONE) -> DataFrame:
     """``rows`` with a column for each canonical field, ``extra`` (a map), ``nested`` (a map of maps, from paths ``a.b``) and ``errors``."""
-    fields, faults, extra, inner = {}, [], [], {}
-    for m in mappings:
-        value, fault = compile_field(m, cells, record, zone)
-        faults.append(fault)
+    fields, faults, extra, inner, values = {}, [], [], {}, {}
+    for k, m in enumerate(mappings):
+        values[f"_value_{k}"] = _value(m, cells, record, zone)
+        value = F.col(f"_value_{k}")
+        faults.append(_fault(m, value, cells, record))
         if m.path in CANONICAL:
             fields[m.path] = value
             continue
@@ -224,10 +256,12 @@ def map_rows(rows: DataFrame, mappings: list[FieldMapping], cells: str | None =
             extra += [F.lit(name or outer), value.cast("string")]
     kinds = {"amount": keys.MONEY, "transDate": "timestamp_ntz"}
     columns = {name: fields.get(name, F.lit(None)).cast(kinds.get(name, "string")) for name in CANONICAL}
-    found = F.filter(F.array(*faults), lambda e: e.isNotNull()) if faults else F.array().cast(_ERROR)
+    found = _found(faults)
     nested = F.create_map(*[x for outer, pairs in inner.items() for x in (F.lit(outer), F.create_map(*pairs))]) if inner else F.create_map().cast("map<string,map<string,string>>")
-    mapped = rows.withColumns({**columns, "nested": nested, "extra": F.create_map(*extra) if extra else F.create_map().cast("map<string,string>"), "errors": found})
-    return mapped.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(_missing()))
+    extras = F.create_map(*extra) if extra else F.create_map().cast("map<string,string>")
+    valued = once(rows, values) if values else rows
+    mapped = once(valued, {**columns, "nested": nested, "extra": extras, "errors": found}).drop(*values)
+    return once(mapped, {"errors": F.when(F.size("errors") > 0, F.col("errors")).otherwise(_missing())})
 
 
 def field_trace(mappings: list[FieldMapping], cells: str | None = "cells", record: str | None = None, zone: str = times.BUSINESS_ZONE) -> Column:
@@ -242,8 +276,8 @@ def field_trace(mappings: list[FieldMapping], cells: str | None = "cells", recor
 
 def _missing() -> Column:
     """Errors of the canonical stage: required fields first, then the status's domain."""
-    needed = F.filter(F.array(*[F.when(F.col(f).isNull(), _error("MISSING_REQUIRED_FIELD", f)) for f in REQUIRED]), lambda e: e.isNotNull())
-    domain = F.filter(F.array(F.when(~F.col("status").isin(*keys.STATUSES), _error("INVALID_STATUS", "status"))), lambda e: e.isNotNull())
+    needed = _found([F.when(F.col(f).isNull(), _error("MISSING_REQUIRED_FIELD", f)) for f in REQUIRED])
+    domain = _found([F.when(~F.col("status").isin(*keys.STATUSES), _error("INVALID_STATUS", "status"))])
     return F.when(F.size(needed) > 0, needed).otherwise(domain)
 
 
@@ -255,8 +289,7 @@ def violations(rows: DataFrame) -> DataFrame:
         F.when(F.col("amount").isNull(), _error("MISSING_REQUIRED_FIELD", "amount")).when(F.col("amount") < 0, _error("NEGATIVE_AMOUNT", "amount")),
         F.when(~F.col("status").isin(*keys.STATUSES) & (F.trim("status") != ""), _error("INVALID_STATUS", "status")),
     ]
-    found = F.filter(F.array(*rules), lambda e: e.isNotNull())
-    return rows.withColumn("violations", F.when(F.size("errors") == 0, found).otherwise(F.array().cast(_ERROR)))
+    return once(rows, {"violations": F.when(F.size("errors") == 0, _found(rules)).otherwise(F.array().cast(_ERROR))})
 
 
 def outcome(fatal: Column, conflict: Column, rejected: Column, warned: Column, equivalent: Column) -> Column:

@@ -4,8 +4,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from reckon.functions import keys, text, times
 from reckon.operators import dedupe, mapping, metrics, profile, recovery, scope
+from reckon.plans import catalog
 
 M = mapping.FieldMapping
 
@@ -211,3 +213,12 @@ def test_observed_columns_and_their_drift(spark):
     assert {r["name"]: r["drift"] for r in found.collect()} == {"a": None, "b": "TYPE", "c": None, "d": "TYPE", "e": None, "f": "MISSING"}
     none = profile.observed(frame.limit(0), ["a"]).collect()
     assert [tuple(r) for r in none] == [("a", 0, 0, None, 0, False)]
+
+
+@pytest.mark.parametrize("name, reads", [("quarantine_filter", 1), ("quarantine_issue_types", 1), ("quarantine_overdue", 3)])
+def test_filters_on_mapped_rows_do_not_evaluate_their_texts_again(spark, name, reads):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().upper()
+    once = plan(spark.range(1).select(times.canonical_time(F.col("id").cast("string")))).count("RLIKE")
+    d = "/root/testdata/sf0.001"
+    assert once and plan(catalog.cells(spark, d).limit(1)).count("RLIKE") == 0
+    assert plan(entry.queries()[name](spark, d)).count("RLIKE") <= once * reads
