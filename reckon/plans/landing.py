@@ -16,6 +16,11 @@ from .workload import RELATIONS, table
 # Files. The parts are landed once a query as the files that a partner would drop.
 
 
+def _in_one(lines: DataFrame) -> DataFrame:
+    """Lines made in parallel, in the order of their parts for one task to write: one file has one writer."""
+    return lines.repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
+
+
 def _landed(spark: SparkSession, d: str, one_file: bool = False) -> str:
     """The parts table as files of CSV lines: quoted cells that hold line ends, blank rows and summary rows."""
     ship(spark)
@@ -23,9 +28,9 @@ def _landed(spark: SparkSession, d: str, one_file: bool = False) -> str:
     k = F.col("p_partkey")
     name = F.concat(F.lit('"'), F.regexp_replace("p_name", '"', '""'), F.lit(',\n""x"""'))
     line = F.when(k % 10 == 0, ",, ").when(k % 10 == 1, F.concat(F.lit("Grand Total,"), k.cast("string"))).otherwise(F.concat_ws(",", k.cast("string"), name, F.lit("")))
-    parts = table(spark, d, "part")
-    parts = parts.repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey") if one_file else parts
-    parts.select(line.alias("value")).write.text(path)
+    lines = table(spark, d, "part").select("p_partkey", line.alias("value"))
+    lines = _in_one(lines) if one_file else lines
+    lines.select("value").write.text(path)
     return f"{path}/*.txt"
 
 
@@ -38,7 +43,7 @@ def source_delimited(spark, d):
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS row FROM part), k AS (SELECT * FROM r WHERE p_partkey % 10 NOT IN (0, 1))
 SELECT row, row_number() OVER (ORDER BY p_partkey) AS ordinal, p_partkey AS key, p_name || ',' || chr(10) || '"x"' AS name FROM k""")
 def source_delimited_ranges(spark, d):
-    """One file read by ranges of a kilobyte, most of which begin or end inside of a quoted cell."""
+    """One file read by ranges of a kilobyte or more, most of which begin or end inside of a quoted cell."""
     rows = files.kept(files.delimited(spark, _landed(spark, d, one_file=True), range_bytes=1024), 1)
     return rows.select("row", "ordinal", F.get("cells", F.lit(0)).cast("long").alias("key"), F.get("cells", F.lit(1)).alias("name"))
 
@@ -64,14 +69,14 @@ def source_json(spark, d):
 
 @query("""SELECT row_number() OVER (ORDER BY p_partkey) AS row, p_partkey AS key, 'a]"' || p_name || '\\,[{' AS name, p_size AS size FROM part""")
 def source_json_array(spark, d):
-    """One array of all parts read by ranges of a kilobyte; texts hold brackets, commas, quotes and backslashes."""
+    """One array of all parts read by ranges of a kilobyte or more; texts hold brackets, commas, quotes and backslashes."""
     path = shared_path(spark, "landed-array")
     name = F.concat(F.lit('a]"'), F.col("p_name"), F.lit("\\,[{"))
     body = F.to_json(F.struct("p_partkey", name.alias("p_name"), F.struct(F.array("p_size").alias("sizes")).alias("inner")))
-    parts = table(spark, d, "part").repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
+    parts = table(spark, d, "part")
     edge = parts.agg(F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))  # a row
     line = F.concat(F.when(F.col("p_partkey") == F.col("first"), "[").otherwise(""), body, F.when(F.col("p_partkey") == F.col("last"), "]").otherwise(","))
-    parts.join(F.broadcast(edge)).select(line.alias("value")).write.text(path)
+    _in_one(parts.join(F.broadcast(edge)).select("p_partkey", line.alias("value"))).select("value").write.text(path)
     rows = files.read_json(spark, f"{path}/*.txt", range_bytes=1024)
     record = F.col("record")
     return rows.select("row", record["p_partkey"].cast("long").alias("key"), record["p_name"].alias("name"), F.get_json_object(record["inner"], "$.sizes[0]").cast("int").alias("size"))

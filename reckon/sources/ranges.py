@@ -10,7 +10,9 @@ every range its first state and row number. The second pass reads records; the
 parts of those that lie across ranges meet by their row number.
 
 What the driver holds, and sends to the tasks, is a few numbers for each range
-(``spark.sql.files.maxPartitionBytes``), never what they hold.
+(``spark.sql.files.maxPartitionBytes``), never what they hold. Smaller ranges
+may be asked for; they grow with the files, so that there are no more than
+``RANGES`` of them, up to that size.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ..session import ship
 
 #: Rows sent at once.
 HELD = 4096
+#: Ranges that all files are cut into, where a caller asks for smaller ones than Spark's; a range is a task of each pass.
+RANGES = 256
 #: A carriage return that no line feed follows ends a line too.
 _RETURNS = re.compile("(?<=\r)(?!\n)")
 _ENDS = re.compile("(?<=\n)|(?<=\r)(?!\n)")
@@ -47,9 +51,18 @@ def _pinned(spark: SparkSession, range_bytes: int | None) -> SparkSession:
     return own
 
 
+def _grown(spark: SparkSession, path: str | list[str], range_bytes: int) -> int:
+    """``range_bytes``, or as many bytes as leave no more than ``RANGES`` ranges, up to Spark's own size."""
+    size, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+    most = int(size) << 10 * " kmgtp".index(unit or " ")
+    held = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes")).first()["bytes"]  # listed, not read
+    return max(range_bytes, min(most, -(-(held or 0) // RANGES)))
+
+
 def pieces(spark: SparkSession, path: str | list[str], separator: str, range_bytes: int | None = None) -> DataFrame:
-    """file, block (first byte of its range) and value of the pieces between separators."""
+    """file, block (first byte of its range) and value of the pieces between separators; a range has ``range_bytes`` at least."""
     ship(spark)
+    range_bytes = _grown(spark, path, range_bytes) if range_bytes else None
     text = _pinned(spark, range_bytes).read.option("lineSep", separator).text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.col("_metadata.file_size").alias("size"))
 
@@ -220,7 +233,7 @@ def delimited(spark: SparkSession, path: str, separator: str = ",", range_bytes:
     if not any(r["entered"] or r["left"] for r in found):
         return rows
     ends = spark.createDataFrame(sorted({(r["file"], r["whole"]) for r in found}), "file string, whole boolean")
-    joined = _joined(text.mapInArrow(_read_lines(separator, known, True), PARTS), "").join(ends, "file")
+    joined = _joined(text.mapInArrow(_read_lines(separator, known, True), PARTS), "").join(F.broadcast(ends), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _wide_fields()
@@ -341,5 +354,5 @@ def json_items(spark: SparkSession, path: str, range_bytes: int | None = None) -
     item = F.col("text")
     item = F.when(F.col("row") == 1, F.regexp_replace(item, r"^[\s\x{FEFF}]*\[", "")).otherwise(item)
     item = F.when(F.col("row") == F.col("last"), F.regexp_replace(item, r"\]\s*$", "")).otherwise(item)
-    items = items.join(last, "file").select("file", "row", F.trim(item, F.lit(" \t\r\n")).alias("text"))
+    items = items.join(F.broadcast(last), "file").select("file", "row", F.trim(item, F.lit(" \t\r\n")).alias("text"))
     return items.where("text <> ''"), sorted({r["file"] for r in found if r["root"] != "["})

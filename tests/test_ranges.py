@@ -91,3 +91,24 @@ def test_dated_names_of_a_column(spark):
         assert got == [files.dated(template, d) for d in days]
     with pytest.raises(ValueError):
         files.dated_names("{date:%Q}", F.col("d"))
+
+
+def test_small_ranges_grow_with_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGES", 40, raising=False)
+    rows = [[str(k), f'a,\n"{k}"'] for k in range(4000)]
+    with open(tmp_path / "a.csv", "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows(rows)
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    for name, separator in (("a.csv", "\n"), ("a.json", ",")):
+        assert 30 <= ranges.pieces(spark, str(tmp_path / name), separator, 64).rdd.getNumPartitions() <= 41
+    want = list(enumerate(rows, 1))
+    assert read(ranges.delimited(spark, str(tmp_path / "a.csv"), range_bytes=64), lambda r: r["cells"]) == {"a.csv": want}
+    assert read(ranges.json_items(spark, str(tmp_path / "a.json"), 64)[0], lambda r: json.loads(r["text"])) == {"a.json": want}
+
+
+def test_ranges_are_no_larger_than_the_session_allows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,2\n" * 20_000)
+    own = spark.newSession()
+    for said, bytes_ in (("100b", 100), ("250", 250), ("64k", 313), ("128MB", 313)):
+        own.conf.set("spark.sql.files.maxPartitionBytes", said)
+        assert ranges._grown(own, str(tmp_path / "a.csv"), 64) == bytes_
