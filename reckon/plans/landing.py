@@ -164,6 +164,7 @@ def source_workbook(spark, d):
     path = f"{shared_path(spark, 'books')}"
     spark.createDataFrame([], "x string").write.text(path)  # makes the folder where all tasks write
     parts = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 5 == 0, F.col("p_size")).alias("size"), F.floor(F.col("p_partkey") / 100).alias("book"))
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "book")  # a book is work, few bytes as it has: by bytes, few tasks would write all
     written = parts.groupBy("book").applyInPandas(lambda rows: registered.written_book(rows, path, ["p_partkey", "p_name", "size"], rows["p_partkey"] % 3), "file string")
     written.count()
     rows = spark.read.format("workbook").load(f"{path}/*.xlsx").where(F.col("sheet").isin("s0", "s1") & (F.col("row") > 1))

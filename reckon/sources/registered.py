@@ -1,4 +1,4 @@
-"""Spark data sources: a stream over cursor-linked pages, and workbooks with a partition for each sheet.
+"""Spark data sources: a stream over cursor-linked pages, and workbooks with a partition for each large sheet or many small books.
 
 ``register`` makes them known to a session as ``cursor_pages`` and ``workbook``.
 Files are opened with pyarrow's file systems, by the URI of their folder.
@@ -25,6 +25,8 @@ from . import xlsx
 
 #: Pages of one run at most, and the places of items and of the next cursor in a page.
 MOST_PAGES, ITEMS, NEXT = 100, "items", "cursorAfter"
+#: Books that the driver opens to deal out their sheets, and partitions that all smaller books share, at most.
+BOOKS = 256
 
 
 def register(spark: SparkSession) -> None:
@@ -122,15 +124,19 @@ class CursorStream(DataSourceStreamReader):
 # --- workbooks -----------------------------------------------------------------------------------------------
 
 
-class SheetOf(InputPartition):
-    def __init__(self, file: str, sheet: str):
-        self.file, self.sheet = file, sheet
+class SheetsOf(InputPartition):
+    """Files, each with a sheet of it, or none for all that are wanted."""
+
+    def __init__(self, sheets: list[tuple[str, str | None]]):
+        self.sheets = sheets
 
 
 class Workbook(DataSource):
-    """file, sheet, row, cells of the sheets of workbooks, a partition each. Options: ``path`` (its last part may be a pattern).
+    """file, sheet, row, cells of the sheets of workbooks. Options: ``path`` (its last part may be a pattern).
 
-    Filters on file and sheet choose the sheets that are opened, filters on row the rows that are made.
+    Each sheet is a partition. Of more than ``BOOKS`` books, only those of more than an even share of all bytes are dealt out
+    so, and the others in ``BOOKS`` partitions of like size; only their tasks open them. Filters on file and sheet choose the
+    sheets that are opened, filters on row the rows that are made.
     """
 
     @classmethod
@@ -168,24 +174,40 @@ class WorkbookReader(DataSourceReader):
         of = {("file",): file, ("sheet",): sheet}
         return all(of[f.attribute] is None or of[f.attribute] in ((f.value,) if isinstance(f, EqualTo) else f.value) for f in self.only)
 
-    def partitions(self) -> list[SheetOf]:
+    def partitions(self) -> list[SheetsOf]:
         system, root = _opened(self.folder)
-        files = [f.path for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and fnmatch(f.base_name, self.pattern)]
-        out = []
-        for file in sorted(f for f in files if self._wanted(f, None)):
-            with system.open_input_file(file) as source:  # of which the parts that name the sheets are read
-                out += [SheetOf(file, s) for s in xlsx.sheet_names(source) if self._wanted(file, s)]
-        return out
-
-    def read(self, partition: SheetOf) -> Iterator[tuple]:
+        listed = [f for f in system.get_file_info(fs.FileSelector(root)) if f.is_file and fnmatch(f.base_name, self.pattern) and self._wanted(f.path, None)]
+        share = sum(f.size for f in listed) / BOOKS if len(listed) > BOOKS else -1
+        out, small = [], []
+        for f in sorted(listed, key=lambda f: f.path):
+            if f.size > share:  # of which there are fewer than BOOKS, if not all are
+                out += [SheetsOf([(f.path, s)]) for s in self._sheets(system, f.path)]
+            else:
+                small.append(f)
+        dealt: list[list] = [[] for _ in range(min(BOOKS, len(small)))]
+        for k, f in enumerate(sorted(small, key=lambda f: (-f.size, f.path))):  # to and fro, so that sizes are alike
+            turn, at = divmod(k, len(dealt))
+            dealt[at if turn % 2 == 0 else -1 - at].append((f.path, None))
+        return out + [SheetsOf(sheets) for sheets in dealt]
+
+    def _sheets(self, system: fs.FileSystem, file: str) -> list[str]:
+        with system.open_input_file(file) as source:  # of which the parts that name the sheets are read
+            return [s for s in xlsx.sheet_names(source) if self._wanted(file, s)]
+
+    def read(self, partition: SheetsOf) -> Iterator[tuple]:
         system, _ = _opened(self.folder)
+        for file, named in partition.sheets:
+            for sheet in [named] if named is not None else self._sheets(system, file):
+                yield from self._rows(system, file, sheet)
+
+    def _rows(self, system: fs.FileSystem, file: str, sheet: str) -> Iterator[tuple]:
         low, high = self.rows
-        with system.open_input_file(partition.file) as source:
-            for row, cells in xlsx.sheet_rows(source, partition.sheet):
+        with system.open_input_file(file) as source:
+            for row, cells in xlsx.sheet_rows(source, sheet):
                 if row > high:
                     return
                 if row >= low:
-                    yield partition.file, partition.sheet, row, cells
+                    yield file, sheet, row, cells
 
 
 def written_book(rows, folder: str, columns: list[str], sheet_of) -> pd.DataFrame:

@@ -57,3 +57,20 @@ def test_workbook_source_opens_only_wanted_sheets(spark, tmp_path):
     assert one.rdd.getNumPartitions() == 1 and sorted((r["row"], r["cells"]) for r in one.collect()) == [(4, [None, "40"]), (5, [None, "50"])]
     assert sorted((r["sheet"], r["row"]) for r in sheets.where("sheet in ('two', 'none') and row = 3").collect()) == [("two", 3)] * 2
     assert [r[0] for r in sheets.where("row < 2 and cells[1] = '10'").select("row").collect()] == [1, 1]
+
+
+def test_many_small_books_share_partitions_and_large_ones_do_not(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registered, "BOOKS", 4, raising=False)
+    row = '<row r="{0}"><c r="A{0}"><v>{1}</v></c></row>'
+    names = [f"b{k}" for k in range(30)]
+    for k, name in enumerate(names):
+        book(str(tmp_path / f"{name}.xlsx"), {"one": row.format(1, k), "two": "".join(row.format(n, k * n) for n in range(1, 2000 if name == "b7" else 3))})
+    opened, real = [], registered.xlsx.sheet_names
+    monkeypatch.setattr(registered.xlsx, "sheet_names", lambda source: opened.append(1) or real(source))
+    reader = registered.WorkbookReader({"path": f"{tmp_path}/*.xlsx"})
+    parts = reader.partitions()
+    assert len(parts) == 6 and len(opened) == 1  # both sheets of b7, and four of the others, which the driver does not open
+    got = sorted((r[0].rsplit("/", 1)[-1], *r[1:3], *r[3]) for p in parts for r in reader.read(p))
+    assert got == sorted((f"{n}.xlsx", s, r, str(k * r if s == "two" else k)) for k, n in enumerate(names) for s in ("one", "two") for r in range(1, 2 if s == "one" else 2000 if n == "b7" else 3))
+    sheets = spark.read.format("workbook").load(f"{tmp_path}/*.xlsx")
+    assert sheets.where("sheet = 'two' and row = 2").count() == 30 and sheets.where(F.col("file") == f"{tmp_path}/b3.xlsx").count() == 3
